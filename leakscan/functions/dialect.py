@@ -55,8 +55,8 @@ def strip_chars(value: Column, pattern: str) -> Column:
 
 
 def sql_string(text: str) -> str:
-    """``text`` as a SQL string literal."""
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    """``text`` as a SQL string literal, safe from variable substitution."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("$", "\\u0024") + "'"
 
 
 class PatternError(ValueError):
@@ -143,6 +143,9 @@ class _Translator:
             return (r"[\x{0}-\x{10FFFF}]" if self.dot_all else DOT), True
         if ch in "^$" and self.multiline:
             self._no_re2("multi-line anchor")
+        if self.re2 and ch in "^$":
+            # A hint is also run over whole texts, where lines start and end inside.
+            return ("(?m:^)" if ch == "^" else r"\r?(?m:$)"), False
         if ch == "^":
             return (f"(?:^|(?<=[{LINE_ENDS}]))" if self.multiline else "^"), False
         if ch == "$":

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakscan.functions.dialect import WS, to_java_pattern, trim_ws, utf16_length
 from leakscan.functions.text import split_lines
@@ -23,7 +24,7 @@ def is_risky_pattern(pattern: Column) -> Column:
     return (utf16_length(pattern) > MAX_PATTERN) | F.rlike(pattern, F.lit(NESTED_REPEAT))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _java_spelling(patterns: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Java spelling of each pattern, null where it does not compile."""
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from leakscan.functions.dialect import to_java_pattern, to_re2_hint, trim_ws, utf16_length
 from leakscan.functions.rules import FIRST_CUSTOM_ORD, RESERVED_RULE_IDS
@@ -20,7 +21,7 @@ RULE_ID = r"^[a-z0-9][a-z0-9-]{1,39}\z"
 FLAGS = r"^[imsu]*\z"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _java_spelling(rules: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Java spelling of pattern and flags, null where they do not compile."""
 
