@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 
 @dataclass(frozen=True)
@@ -24,10 +24,8 @@ class Corpus:
         outer = ", ".join(f"{e} AS {n}" for n, e in self.columns.items())
         return f"SELECT {outer} FROM (SELECT {inner} FROM {self.table})"
 
-    def read(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.of(spark.read.parquet(f"{sf_dir}/{self.table}.parquet"))
-
     def of(self, table: DataFrame) -> DataFrame:
+        """The corpus over ``table``, batch or streaming."""
         inner = [f"{_spell(e, 'sha2({}, 256)')} AS {n}" for n, e in self.base.items()]
         return table.selectExpr(*inner).selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
 

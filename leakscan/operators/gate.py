@@ -18,9 +18,11 @@ from pyspark.sql import types as T
 from leakscan.functions import context, generic
 from leakscan.functions.dialect import WS
 from leakscan.functions.rules import PROVIDER_RULES
+from leakscan.operators.token_scores import score_lines
 
 # Mask bits: which layers a line is a candidate for, and whether its text is code.
-PROVIDER, GENERIC, ENTROPY, GCP, TWILIO, K8S, CUSTOM, CODE = (1 << n for n in range(8))
+# A RANDOM line holds a token that is over the entropy threshold beyond doubt.
+PROVIDER, GENERIC, ENTROPY, GCP, TWILIO, K8S, CUSTOM, CODE, RANDOM = (1 << n for n in range(9))
 LINE_LAYERS = PROVIDER | GENERIC | ENTROPY | GCP | TWILIO | CUSTOM
 
 _PROVIDER = "|".join(r.hint for r in PROVIDER_RULES).replace(r"\s", WS)
@@ -125,6 +127,11 @@ def _select(batch, n_keys: int, n_passed: int, line_patterns: dict, text_pattern
         if len(asked):
             some = lines if len(asked) == len(lines) else lines.take(pa.array(asked))
             line_mask[asked] |= np.where(found(some, pattern), bit, 0).astype(np.int32) if pattern else np.int32(bit)
+    opaque = np.flatnonzero(line_mask & ENTROPY)
+    if len(opaque):
+        random, doubtful = score_lines(lines.take(pa.array(opaque)))
+        line_mask[opaque] &= ~ENTROPY
+        line_mask[opaque] |= np.where(random, RANDOM, np.where(doubtful, ENTROPY, 0)).astype(np.int32)
     kept = np.flatnonzero(line_mask)
     if len(kept):
         owners = chosen[parent[kept]]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.operators.lookup import salted_join
+from leakscan.operators.lookup import hot_salted_join
 from leakscan.options import ScanOptions
 
 # File modes with content (regular, executable, symlink), the
@@ -59,7 +59,7 @@ def classify_versions(
 
     A version is counted once, in that order of precedence. A blob carried by
     a third of all paths is spread over salt buckets; the joined side holds
-    only the exceptional blobs.
+    only the exceptional blobs. ``versions`` should be a stored table.
     """
     from leakscan.operators.allowlist import flag_allowlisted
 
@@ -69,7 +69,7 @@ def classify_versions(
         else versions.withColumn("allowlisted", F.lit(False))
     )
     exceptions = unscannable_blobs(versions, blobs, options)
-    joined = salted_join(flagged, exceptions, ["repo", "blob"], ["path"], options.salt_buckets)
+    joined = hot_salted_join(flagged, exceptions, ["repo", "blob"], ["path"], options)
     status = F.when(F.col("allowlisted"), "allowlisted").otherwise(F.coalesce("state", F.lit("scan")))
     return joined.withColumn("status", status).drop("state", "allowlisted")
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.options import ScanOptions
+from leakscan.sources.workspace import materialise
 
 
 def fits_broadcast(dim: DataFrame, limit_bytes: int) -> bool:
@@ -34,6 +35,30 @@ def salted_join(
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def hot_salted_join(
+    facts: DataFrame, dim: DataFrame, keys: Sequence[str], spread: Sequence[str], options: ScanOptions
+) -> DataFrame:
+    """Left join where only the keys that need it are spread over buckets.
+
+    Keys with at least ``hot_rows`` facts are found with one pre-aggregated
+    count and written down; there are at most rows / hot_rows of them. Their
+    facts are salted and only their ``dim`` rows are copied, so ``dim`` may be
+    as large as its keys. ``facts`` is read twice and should be a stored table.
+    """
+    hot = materialise(
+        facts.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= options.hot_rows).select(*keys), "hot"
+    )
+    if not fits_broadcast(hot, options.broadcast_limit_bytes):
+        return salted_join(facts, dim, keys, spread, options.salt_buckets)
+    hot = F.broadcast(hot.withColumn("_hot", F.lit(True)))
+    buckets = options.salt_buckets
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread), F.lit(buckets)).cast("int")).otherwise(0)
+    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(buckets - 1))).otherwise(F.array(F.lit(0)))
+    salted = facts.join(hot, list(keys), "left").withColumn("_salt", salt).drop("_hot")
+    copied = dim.join(hot, list(keys), "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    return salted.join(copied, [*keys, "_salt"], "left").drop("_salt")
+
+
 def attach(
     facts: DataFrame,
     dim: DataFrame,
@@ -57,4 +82,4 @@ def spread_small_input(df: DataFrame, by: Sequence[str]) -> DataFrame:
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, *by)
+    return df.repartition(cores, *by) if by else df.repartition(cores)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,9 @@ HITS = "array<struct<line:int,ord:int>>"
 # know the path yet (one blob, many paths) record both verdicts.
 GENERIC_CODE_ORD = GENERIC_ORD + 100
 
+# Notes a scan may leave at line 0 next to its findings.
+_READ, _UNREAD = -1, -2
+
 
 @dataclass(frozen=True)
 class CustomRule:
@@ -77,21 +81,30 @@ def _token_rules(rules: Sequence[CustomRule]) -> Column:
     return F.expr(f"array({', '.join(cases)})")
 
 
-def _line_ords(rules: Sequence[CustomRule], both_verdicts: bool) -> Column:
-    """array<int>: orders of the line rules ``_text`` matches, in listing order."""
+@cache
+def _heuristic_cases(application: str, both_verdicts: bool) -> Column:
+    """array<int>, with nulls: orders of the context, keyword and entropy rules.
+
+    Kept per application: assembling these expressions costs more than a second.
+    """
     line = F.col("_text")
+    keyword = _has(gate.GENERIC)
     found = [
         F.when(_has(gate.GCP) & context.gcp_line(line), GCP_ORD),
         F.when(_has(gate.TWILIO) & context.twilio_line(line), TWILIO_ORD),
     ]
-    keyword = _has(gate.GENERIC)
     if both_verdicts:
         found.append(F.when(keyword & generic.has_hardcoded_assignment(line, F.lit(False)), GENERIC_ORD))
         found.append(F.when(keyword & generic.has_hardcoded_assignment(line, F.lit(True)), GENERIC_CODE_ORD))
     else:
         found.append(F.when(keyword & generic.has_hardcoded_assignment(line, _has(gate.CODE)), GENERIC_ORD))
-    found.append(F.when(_has(gate.ENTROPY) & entropy_layer.has_high_entropy_token(line), ENTROPY_ORD))
-    return F.array_compact(F.concat(_token_rules(rules), F.array(*found)))
+    found.append(F.when(_has(gate.RANDOM) | _has(gate.ENTROPY) & entropy_layer.has_high_entropy_token(line), ENTROPY_ORD))
+    return F.array(*found)
+
+
+@cache
+def _manifest_lines(application: str, markers: tuple[str, ...]) -> Column:
+    return F.coalesce(context.k8s_secret_lines(F.col("_text"), markers), F.array().cast("array<int>"))
 
 
 def text_hits(
@@ -105,11 +118,14 @@ def text_hits(
     code: Column | bool = False,
     both_verdicts: bool = False,
     file_ord: Column | None = None,
+    note: Column | None = None,
     secrets: str | None = None,
 ) -> DataFrame:
     """``keys, line, rule_ord`` for every hit in the ``content`` of ``units``.
 
     Line 0 stands for the file as a whole. Null content has file hits only.
+    ``note`` is an extra order number to report at line 0, for callers that
+    count texts in the same pass.
     """
     as_column = lambda v: F.lit(v) if isinstance(v, bool) else v
     content = F.col("content")
@@ -124,12 +140,13 @@ def text_hits(
         + flag(as_column(code), gate.CODE)
     )
     # Whole-file hits known before any line is read; null when there are none.
-    carried = {"_file_ord": file_ord, "_secret_line": first_secret_line(content, F.col(secrets)) if secrets else None}
+    carried = {"_note": note, "_file_ord": file_ord, "_secret_line": first_secret_line(content, F.col(secrets)) if secrets else None}
     carried = {name: value for name, value in carried.items() if value is not None}
     lines = gate.candidate_lines(
         units.withColumns(carried) if carried else units, keys, flags, list(carried), [r.hint for r in rules]
     )
 
+    application = units.sparkSession.sparkContext.applicationId
     text = F.col("_text")
     none = F.array().cast(HITS)
 
@@ -137,17 +154,20 @@ def text_hits(
         return F.when(F.col(name).isNotNull(), F.array(F.struct(line.alias("line"), rule_ord.alias("ord")))).otherwise(none)
 
     file_hits = [none]
+    if "_note" in carried:
+        file_hits.append(file_hit("_note", F.lit(0), F.col("_note")))
     if "_file_ord" in carried:
         file_hits.append(file_hit("_file_ord", F.lit(0), F.col("_file_ord")))
     if "_secret_line" in carried:
         file_hits.append(file_hit("_secret_line", F.col("_secret_line"), F.lit(DOTENV_ORD)))
     file_hits.append(
         F.transform(
-            F.coalesce(context.k8s_secret_lines(text, markers), F.array().cast("array<int>")),
+            _manifest_lines(application, markers),
             lambda n: F.struct(n.alias("line"), F.lit(K8S_ORD).alias("ord")),
         )
     )
-    ords = _line_ords(rules, both_verdicts)
+    # In listing order: token shapes, user rules, then context and heuristics.
+    ords = F.array_compact(F.concat(_token_rules(rules), _heuristic_cases(application, both_verdicts)))
     if markers:
         ords = F.when(~inline_allowed(text, markers), ords)
     hits = F.when(F.col("_line") == 0, F.concat(*[h.cast(HITS) for h in file_hits])).otherwise(
@@ -172,7 +192,7 @@ def scan_texts(
     rules: Sequence[CustomRule] = (),
 ) -> DataFrame:
     """Content rules only: findings of ``files(repo, path, content)``."""
-    return _scan(files, options, rules, file_rules=False, secrets=None)
+    return _finding_columns(name_rules(_file_hits(files, options, rules, file_rules=False), rules))
 
 
 def scan_files(
@@ -186,28 +206,70 @@ def scan_files(
     ``secrets`` is ``dotenv_secrets(repo, ord, value)``. Env templates keep
     only the high-confidence rules; null content keeps only the name rule.
     """
-    if secrets is None:
-        return _scan(files, options, rules, file_rules=True, secrets=None)
-    attached = attach_secrets(files, secrets, options)
-    if attached is not None:
-        return _scan(attached, options, rules, file_rules=True, secrets="_secrets")
-    plain = _scan(files, options, rules, file_rules=True, secrets=None)
-    matches = xref_lines(files, secrets, ["repo", "path"], options).withColumn("rule_ord", F.lit(DOTENV_ORD))
-    return plain.unionByName(_finding_columns(name_rules(matches)))
+    return _finding_columns(name_rules(_checked_hits(files, options, rules, secrets), rules))
+
+
+def scan_coverage(
+    files: DataFrame,
+    options: ScanOptions = ScanOptions(),
+    rules: Sequence[CustomRule] = (),
+    secrets: DataFrame | None = None,
+) -> DataFrame:
+    """Per repository: files, files without content, findings, files with findings.
+
+    The files are counted by the scan itself, so content is read once. Every
+    repository is listed, with or without findings.
+    """
+    seen = F.when(F.col("content").isNull(), _UNREAD).otherwise(_READ)
+    hits = _checked_hits(files, options, rules, secrets, note=seen)
+    # One row per file first: no repository is counted in a single task.
+    per_file = hits.groupBy("repo", "path").agg(
+        F.count_if(F.col("rule_ord") < 0).alias("files"),
+        F.count_if(F.col("rule_ord") == _UNREAD).alias("unavailable"),
+        F.count_if(F.col("rule_ord") > 0).alias("findings"),
+    )
+    return per_file.groupBy("repo").agg(
+        F.sum("files").alias("files"),
+        F.sum("unavailable").alias("unavailable"),
+        F.sum("findings").alias("findings"),
+        F.count_if(F.col("findings") > 0).alias("files_with_findings"),
+    )
 
 
 def _finding_columns(named: DataFrame) -> DataFrame:
     return named.select("repo", "path", "line", "rule_id", "description", "rule_ord")
 
 
-def _scan(
-    files: DataFrame, options: ScanOptions, rules: Sequence[CustomRule], *, file_rules: bool, secrets: str | None
+def _checked_hits(
+    files: DataFrame,
+    options: ScanOptions,
+    rules: Sequence[CustomRule],
+    secrets: DataFrame | None,
+    note: Column | None = None,
+) -> DataFrame:
+    if secrets is None:
+        return _file_hits(files, options, rules, note=note)
+    attached = attach_secrets(files, secrets, options)
+    if attached is not None:
+        return _file_hits(attached, options, rules, note=note, secrets="_secrets")
+    matches = xref_lines(files, secrets, ["repo", "path"], options).withColumn("rule_ord", F.lit(DOTENV_ORD))
+    return _file_hits(files, options, rules, note=note).unionByName(matches)
+
+
+def _file_hits(
+    files: DataFrame,
+    options: ScanOptions,
+    rules: Sequence[CustomRule],
+    *,
+    file_rules: bool = True,
+    note: Column | None = None,
+    secrets: str | None = None,
 ) -> DataFrame:
     path = F.col("path")
     heuristics = paths.heuristic_exempt(path, options.default_excludes).isNull()
     if file_rules:
         heuristics = heuristics & ~paths.is_env_template(path)
-    hits = text_hits(
+    return text_hits(
         files,
         ["repo", "path"],
         options,
@@ -216,6 +278,6 @@ def _scan(
         entropy_on=heuristics,
         code=paths.is_code_file(path),
         file_ord=paths.filename_rule_ord(path) if file_rules else None,
+        note=note,
         secrets=secrets,
     )
-    return _finding_columns(name_rules(hits, rules))

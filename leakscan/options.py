@@ -17,8 +17,8 @@ class ScanOptions:
 
     ``inline_markers`` are the tool names whose ``<name>:allow`` comment
     silences a line. ``broadcast_limit_bytes`` bounds what a scan may broadcast
-    (measured before it is used); larger sides go through a salted shuffle join
-    with ``salt_buckets`` buckets.
+    (measured before it is used). Beyond it, and for keys that own more than
+    ``hot_rows`` rows, joins spread a key over ``salt_buckets`` tasks.
     """
 
     entropy: bool = True
@@ -28,4 +28,5 @@ class ScanOptions:
     inline_markers: tuple[str, ...] = ("leakscan", "gitleaks")
     max_blob_bytes: int = MAX_BLOB_BYTES
     broadcast_limit_bytes: int = 32 * 1024 * 1024
-    salt_buckets: int = 16
+    salt_buckets: int = 64
+    hot_rows: int = 100_000

@@ -13,7 +13,7 @@ from leakscan.functions.rules import DOTENV_ORD, ENTROPY_ORD, GENERIC_ORD
 from leakscan.functions.text import decode_blob
 from leakscan.operators import history
 from leakscan.operators.allowlist import flag_allowlisted
-from leakscan.operators.lookup import salted_join
+from leakscan.operators.lookup import hot_salted_join
 from leakscan.operators.scan import GENERIC_CODE_ORD, HITS, CustomRule, name_rules, text_hits
 from leakscan.operators.xref import attach_secrets, xref_lines
 from leakscan.options import ScanOptions
@@ -24,7 +24,10 @@ FINDING = ["repo", "path", "line", "rule_id", "description", "rule_ord", "blob",
 
 @dataclass(frozen=True)
 class HistoryScan:
-    """Tables of one history scan. ``versions`` has a status and hits per version."""
+    """Tables of one history scan. ``versions`` has a status and hits per version.
+
+    ``versions`` is written out once; findings and coverage only read it.
+    """
 
     commits: DataFrame
     versions: DataFrame
@@ -59,7 +62,7 @@ def blob_hits(
         else:
             late = xref_lines(units, secrets, keys, options).withColumn("rule_ord", F.lit(DOTENV_ORD))
     hits = text_hits(
-        units, keys, options, rules=rules, both_verdicts=True, file_ord=F.col("_absent"), secrets=column
+        units, keys, options, rules=rules, both_verdicts=True, note=F.col("_absent"), secrets=column
     )
     return hits if late is None else hits.unionByName(late)
 
@@ -85,12 +88,12 @@ def scan_versions(
     """``versions`` with ``status``, blob ``size`` and the array of ``hits``.
 
     Blob hits are written out once (they hold line numbers and rule orders,
-    no text). Blobs with hits, and blobs that cannot be scanned, are few; they
-    are joined back to the versions over salt buckets.
+    no text). Blobs with hits, and blobs that cannot be scanned, are joined back
+    to the versions; a blob carried by very many paths is salted.
     """
     found = blob_hits(blobs, options, rules, secrets)
     # A blob's hits come from one text; its row is assembled here, not scanned again.
-    per_blob = materialise(found).groupBy("repo", "blob").agg(
+    per_blob = materialise(found, "hits").groupBy("repo", "blob").agg(
         F.collect_list(F.struct("line", F.col("rule_ord").alias("ord"))).alias("_hits")
     )
     per_blob = per_blob.select(
@@ -108,9 +111,7 @@ def scan_versions(
         if allowlist is not None
         else versions.withColumn("allowlisted", F.lit(False))
     )
-    joined = salted_join(
-        flagged, per_blob.unionByName(exceptional), ["repo", "blob"], ["path"], options.salt_buckets
-    )
+    joined = hot_salted_join(flagged, per_blob.unionByName(exceptional), ["repo", "blob"], ["path"], options)
     path = F.col("path")
     status = F.when(F.col("allowlisted"), "allowlisted").otherwise(F.coalesce("state", F.lit("scan")))
     heuristics = paths.heuristic_exempt(path, options.default_excludes).isNull() & ~paths.is_env_template(path)
@@ -184,7 +185,7 @@ def scan_history(
     if not use_allowlist:
         allowlist, options = None, replace(options, ignore_inline_allow=True)
     walked = commits if commits is not None else changes.select("repo", "commit_index").distinct()
-    versions = history.introduce_versions(changes)
-    scanned = scan_versions(versions, blobs, options, rules, secrets, allowlist)
+    versions = materialise(history.introduce_versions(changes), "versions")
+    scanned = materialise(scan_versions(versions, blobs, options, rules, secrets, allowlist), "scanned")
     findings = history.flag_in_head(version_findings(scanned, rules), head_tree)
     return HistoryScan(walked, scanned, findings, history_coverage(walked, scanned))

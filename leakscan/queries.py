@@ -8,6 +8,7 @@ digests, never a matched value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from leakscan.options import ScanOptions
 from leakscan.plans import change_set
 from leakscan.plans.history_scan import HistoryScan, scan_history
 from leakscan.sources import raw_log, readers
-from leakscan.sources.workspace import fresh_path
+from leakscan.sources.workspace import fresh_path, materialise
 from leakscan.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +33,21 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@cache
+def _stored(application: str, sf_dir: str, corpus: str) -> str:
+    """Where a derived corpus is kept for the session, as a real table would be."""
+    spark = SparkSession.getActiveSession()
+    path = fresh_path(spark, corpus)
+    derived = getattr(corpora, corpus)
+    table = spread_small_input(_table(spark, sf_dir, derived.table), [])
+    derived.of(table).write.parquet(path)
+    return path
+
+
+def stored_corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(_stored(spark.sparkContext.applicationId, sf_dir, name))
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -75,7 +91,7 @@ def _places(findings: DataFrame) -> DataFrame:
 
 
 def entropy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = corpora.planted_entropy.read(spark, sf_dir)
+    tokens = stored_corpus(spark, sf_dir, "planted_entropy")
     return tokens.select("repo", "path", F.concat(F.lit("x = '"), "token", F.lit("'")).alias("content"))
 
 
@@ -85,7 +101,7 @@ def entropy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def read_file_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-01: changed files joined to their content; some have none."""
-    changes = corpora.planted_paths.read(spark, sf_dir).withColumn(
+    changes = stored_corpus(spark, sf_dir, "planted_paths").withColumn(
         "status", F.substring(F.lit("ACMRTDUX"), (F.col("k") % 8 + 1).cast("int"), F.lit(1))
     )
     contents = changes.where(F.col("k") % 3 != 0).select("repo", "path", F.concat(F.lit("c"), "path").alias("content"))
@@ -118,9 +134,8 @@ def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", (F.col("n") + 1).cast("bigint").alias("line"), F.length("t").cast("bigint").alias("chars"))
 
 
-def _raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _raw_logs(changes: DataFrame) -> DataFrame:
     """Logs written from the derived changes, in parts of 1000 order keys."""
-    changes = corpora.planted_changes.read(spark, sf_dir)
     nul = F.lit("\0")
     record = F.concat(
         F.lit(":100644 "), "new_mode", F.lit(" "), F.lit("1" * 40), F.lit(" "), "blob", F.lit(" "), "status", nul,
@@ -146,10 +161,22 @@ def _raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@cache
+def _log_path(application: str, sf_dir: str) -> str:
+    spark = SparkSession.getActiveSession()
+    path = fresh_path(spark, "raw_logs")
+    _raw_logs(stored_corpus(spark, sf_dir, "planted_changes")).write.parquet(path)
+    return path
+
+
+def _stored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(_log_path(spark.sparkContext.applicationId, sf_dir))
+
+
 @query
 def parse_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-04: raw log text to numbered commits and change records."""
-    _, changes = raw_log.parse_raw_log(_raw_logs(spark, sf_dir))
+    _, changes = raw_log.parse_raw_log(spread_small_input(_stored_logs(spark, sf_dir), ["repo", "part"]))
     return changes.select(
         "repo", F.col("commit_index").cast("bigint").alias("commit_index"), "commit_sha",
         F.unix_seconds("commit_time").alias("epoch"), "new_mode", "blob", "status", "path",
@@ -159,7 +186,7 @@ def parse_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def load_dotenv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-05: env files worth cross-referencing, by path and size."""
-    return readers.select_dotenv_files(corpora.planted_paths.read(spark, sf_dir)).select("repo", "path")
+    return readers.select_dotenv_files(stored_corpus(spark, sf_dir, "planted_paths")).select("repo", "path")
 
 
 def _allow_files(spark: SparkSession, sf_dir: str, staged: bool) -> DataFrame:
@@ -182,7 +209,7 @@ def load_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _path_query(value) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return corpora.planted_paths.read(spark, sf_dir).select("repo", "path", value(F.col("path")).alias("value"))
+        return stored_corpus(spark, sf_dir, "planted_paths").select("repo", "path", value(F.col("path")).alias("value"))
 
     return run
 
@@ -222,21 +249,21 @@ def _allow_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def path_allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-16: each path against the entries of its repository."""
-    files = corpora.planted_paths.read(spark, sf_dir).select("repo", "path")
+    files = stored_corpus(spark, sf_dir, "planted_paths").select("repo", "path")
     return allowlist.flag_allowlisted(files, allowlist.parse_allowlist(_allow_texts(spark, sf_dir)))
 
 
 @query
 def apply_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-47: the paths left after the allowlist."""
-    files = corpora.planted_paths.read(spark, sf_dir).select("repo", "path")
+    files = stored_corpus(spark, sf_dir, "planted_paths").select("repo", "path")
     return allowlist.apply_allowlist(files, allowlist.parse_allowlist(_allow_texts(spark, sf_dir)))
 
 
 @query
 def inline_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-17: which lines carry a marker."""
-    lines = _lines(corpora.planted_generic.read(spark, sf_dir))
+    lines = _lines(stored_corpus(spark, sf_dir, "planted_generic"))
     allowed = text.inline_allowed(F.col("text"), ScanOptions().inline_markers)
     return lines.select("repo", "path", F.col("line").cast("bigint").alias("line"), allowed.alias("allowed"))
 
@@ -316,7 +343,7 @@ def _layer(findings: DataFrame, *orders: int) -> DataFrame:
 @query
 def scan_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-21: token shapes over planted lines, hits and near misses."""
-    findings = scan.scan_texts(corpora.planted_lines.read(spark, sf_dir))
+    findings = scan.scan_texts(stored_corpus(spark, sf_dir, "planted_lines"))
     return _places(findings.where(F.col("rule_ord").between(101, 140)))
 
 
@@ -333,26 +360,26 @@ def scan_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-22: the rules of a user pack, next to the built-in ones."""
     pack = _table(spark, sf_dir, "region").limit(1).select(F.lit("team").alias("pack"), F.lit(_PACK).alias("text"))
     rules = packs.accepted_rules(packs.parse_rule_packs(pack), "team")
-    findings = scan.scan_texts(corpora.planted_lines.read(spark, sf_dir), rules=rules)
+    findings = scan.scan_texts(stored_corpus(spark, sf_dir, "planted_lines"), rules=rules)
     return _places(findings.where(F.col("rule_ord").between(1001, 1999)))
 
 
 @query
 def scan_gcp_sa(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-23 over configuration files."""
-    return _layer(scan.scan_texts(corpora.planted_context.read(spark, sf_dir)), 2001)
+    return _layer(scan.scan_texts(stored_corpus(spark, sf_dir, "planted_context")), 2001)
 
 
 @query
 def scan_k8s_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-24 over manifests, in row."""
-    return _layer(scan.scan_texts(corpora.planted_k8s.read(spark, sf_dir)), 2002)
+    return _layer(scan.scan_texts(stored_corpus(spark, sf_dir, "planted_k8s")), 2002)
 
 
 @query
 def yaml_secret_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W1-W3: the same manifests as a table of lines, with windows."""
-    lines = _lines(corpora.planted_k8s.read(spark, sf_dir))
+    lines = _lines(stored_corpus(spark, sf_dir, "planted_k8s"))
     found = yaml_windows.secret_data_lines(lines, ["repo", "path"])
     return found.select("repo", "path", F.col("line").cast("bigint").alias("line"))
 
@@ -360,14 +387,14 @@ def yaml_secret_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_twilio_ctx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-25 over configuration files."""
-    return _layer(scan.scan_texts(corpora.planted_context.read(spark, sf_dir)), 2003)
+    return _layer(scan.scan_texts(stored_corpus(spark, sf_dir, "planted_context")), 2003)
 
 
 # --- heuristic layer ---------------------------------------------------------
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _lines(corpora.planted_generic.read(spark, sf_dir))
+    lines = _lines(stored_corpus(spark, sf_dir, "planted_generic"))
     return lines.select("repo", "path", F.col("line").cast("bigint").alias("line"), F.explode(generic.generic_candidates(F.col("text"))).alias("c"))
 
 
@@ -391,7 +418,7 @@ def is_hardcoded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _value_query(verdict) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        values = corpora.planted_values.read(spark, sf_dir)
+        values = stored_corpus(spark, sf_dir, "planted_values")
         return values.select("k", verdict(F.col("value"), F.col("key_context")).alias("verdict"))
 
     return run
@@ -405,20 +432,20 @@ QUERIES["echoes_key"] = _value_query(lambda v, c: generic.echoes_key(v, c))
 @query
 def scan_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-35 over planted assignments."""
-    return _layer(scan.scan_texts(corpora.planted_generic.read(spark, sf_dir)), 2004)
+    return _layer(scan.scan_texts(stored_corpus(spark, sf_dir, "planted_generic")), 2004)
 
 
 @query
 def shannon_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-36 in micro-bits per character."""
-    tokens = corpora.planted_entropy.read(spark, sf_dir)
+    tokens = stored_corpus(spark, sf_dir, "planted_entropy")
     return tokens.select("path", F.round(entropy.shannon_entropy(F.col("token")) * 1000000).cast("bigint").alias("microbits"))
 
 
 @query
 def entropy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-37: how many strings a token is scored as, and the longest."""
-    tokens = corpora.planted_entropy.read(spark, sf_dir)
+    tokens = stored_corpus(spark, sf_dir, "planted_entropy")
     parts = entropy.entropy_candidates(F.col("token"))
     return tokens.select(
         "path", F.size(parts).cast("bigint").alias("parts"),
@@ -429,7 +456,7 @@ def entropy_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def looks_like_identifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-38 over the planted tokens."""
-    tokens = corpora.planted_entropy.read(spark, sf_dir)
+    tokens = stored_corpus(spark, sf_dir, "planted_entropy")
     return tokens.select("path", entropy.looks_like_identifier(F.col("token")).alias("verdict"))
 
 
@@ -445,14 +472,14 @@ def scan_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def parse_dotenv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-40: keys and digests of the values of every env file."""
-    pairs = xref.dotenv_assignments(corpora.planted_env.read(spark, sf_dir))
+    pairs = xref.dotenv_assignments(stored_corpus(spark, sf_dir, "planted_env"))
     return pairs.select("repo", "path", F.col("line").cast("bigint").alias("line"), "key", F.md5(F.col("value").cast("binary")).alias("digest"))
 
 
 @query
 def is_dotenv_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-41: which of those assignments hold a secret."""
-    pairs = xref.dotenv_assignments(corpora.planted_env.read(spark, sf_dir))
+    pairs = xref.dotenv_assignments(stored_corpus(spark, sf_dir, "planted_env"))
     verdict = dotenv.is_dotenv_secret(F.col("key"), F.col("value"))
     return pairs.select("repo", "path", F.col("line").cast("bigint").alias("line"), verdict.alias("verdict"))
 
@@ -460,8 +487,8 @@ def is_dotenv_secret(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def word_boundary_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-42: the line where a file first holds its service's value, if it does."""
-    users = corpora.planted_users.read(spark, sf_dir)
-    pairs = xref.dotenv_assignments(corpora.planted_env.read(spark, sf_dir)).where(F.col("value") != "")
+    users = stored_corpus(spark, sf_dir, "planted_users")
+    pairs = xref.dotenv_assignments(stored_corpus(spark, sf_dir, "planted_env")).where(F.col("value") != "")
     service = F.regexp_extract("path", "^[^/]*", 0)
     joined = users.withColumn("service", service).join(
         pairs.select("repo", service.alias("service"), "key", "value"), ["repo", "service"]
@@ -472,22 +499,22 @@ def word_boundary_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def xref_dotenv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-43: files that hold a secret value of their repository."""
-    secrets = xref.dotenv_secrets(corpora.planted_env.read(spark, sf_dir))
-    return _layer(scan.scan_files(corpora.planted_users.read(spark, sf_dir), secrets=secrets), 10)
+    secrets = xref.dotenv_secrets(stored_corpus(spark, sf_dir, "planted_env"))
+    return _layer(scan.scan_files(stored_corpus(spark, sf_dir, "planted_users"), secrets=secrets), 10)
 
 
 @query
 def xref_dotenv_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-43 the way it runs when the values are too many to broadcast."""
-    secrets = xref.dotenv_secrets(corpora.planted_env.read(spark, sf_dir))
-    found = xref.xref_lines(corpora.planted_users.read(spark, sf_dir), secrets, ["repo", "path"], ScanOptions(), chunk=3)
+    secrets = xref.dotenv_secrets(stored_corpus(spark, sf_dir, "planted_env"))
+    found = xref.xref_lines(stored_corpus(spark, sf_dir, "planted_users"), secrets, ["repo", "path"], ScanOptions(), chunk=3)
     return found.select("repo", "path", F.col("line").cast("bigint").alias("line"))
 
 
 @query
 def dotenv_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-56: env files and value counts per repository."""
-    rows = xref.dotenv_coverage(corpora.planted_env.read(spark, sf_dir))
+    rows = xref.dotenv_coverage(stored_corpus(spark, sf_dir, "planted_env"))
     return rows.select("repo", F.array_join("files", ",").alias("files"), "file_count", "secret_count", "status")
 
 
@@ -495,12 +522,12 @@ def dotenv_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    changes = corpora.planted_changes.read(spark, sf_dir)
+    changes = stored_corpus(spark, sf_dir, "planted_changes")
     return changes.withColumn("commit_time", F.timestamp_seconds("epoch"))
 
 
 def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = corpora.planted_blobs.read(spark, sf_dir).where(F.col("kind") != 5).distinct()
+    rows = stored_corpus(spark, sf_dir, "planted_blobs").where(F.col("kind") != 5).distinct()
     return rows.select("repo", "blob", "size", F.encode("content", "UTF-8").alias("content"))
 
 
@@ -537,7 +564,7 @@ def distinct_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = _changes(spark, sf_dir)
-    versions = history.introduce_versions(changes)
+    versions = materialise(history.introduce_versions(changes))
     return history.classify_versions(versions, _blobs(spark, sf_dir), _history_allow(changes))
 
 
@@ -626,47 +653,55 @@ def caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def coverage_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-50, flagship: findings per document source, clean sources included."""
-    files = document_files(spark, sf_dir)
+    return scan.scan_coverage(document_files(spark, sf_dir))
+
+
+@query
+def coverage_of_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-50 from stored findings: files without content and clean repositories included."""
+    files = stored_corpus(spark, sf_dir, "planted_paths").select(
+        "repo", "path", F.when(F.col("k") % 3 != 0, "password: 'orange7secret'").alias("content")
+    )
     return report.coverage_summary(files, scan.scan_files(files))
 
 
 @query
 def findings_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-51 over the planted lines."""
-    rows = report.findings_by_file(scan.scan_files(corpora.planted_lines.read(spark, sf_dir)))
+    rows = report.findings_by_file(scan.scan_files(stored_corpus(spark, sf_dir, "planted_lines")))
     return rows.select("repo", "path", "findings", F.col("first_line").cast("bigint").alias("first_line"), "rules")
 
 
 @query
 def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-51: one report line per finding."""
-    files = corpora.planted_paths.read(spark, sf_dir).select("repo", "path", F.lit("k = 'x'").alias("content"))
-    lines = report.finding_lines(scan.scan_files(files.unionByName(corpora.planted_context.read(spark, sf_dir))))
+    files = stored_corpus(spark, sf_dir, "planted_paths").select("repo", "path", F.lit("k = 'x'").alias("content"))
+    lines = report.finding_lines(scan.scan_files(files.unionByName(stored_corpus(spark, sf_dir, "planted_context"))))
     return lines.select("repo", "path", "text")
 
 
 @query
 def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-53 over the planted lines."""
-    return report.findings_by_rule(scan.scan_files(corpora.planted_lines.read(spark, sf_dir)))
+    return report.findings_by_rule(scan.scan_files(stored_corpus(spark, sf_dir, "planted_lines")))
 
 
 @query
 def findings_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-53 by layer, over the planted lines."""
-    return report.findings_by_layer(scan.scan_files(corpora.planted_lines.read(spark, sf_dir)))
+    return report.findings_by_layer(scan.scan_files(stored_corpus(spark, sf_dir, "planted_lines")))
 
 
 @query
 def findings_by_repo_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-53 with subtotals per repository."""
-    return report.findings_by_repo_rule(scan.scan_files(corpora.planted_lines.read(spark, sf_dir)))
+    return report.findings_by_repo_rule(scan.scan_files(stored_corpus(spark, sf_dir, "planted_lines")))
 
 
 @query
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-57: per repository, blocked or not."""
-    files = corpora.planted_generic.read(spark, sf_dir)
+    files = stored_corpus(spark, sf_dir, "planted_generic")
     rows = change_set.gate_decision(files, scan.scan_files(files))
     return rows.select("repo", "findings", "blocked", F.col("exit_code").cast("bigint").alias("exit_code"))
 
@@ -674,8 +709,8 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def merge_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-58: findings of all layers, plus those of another scanner."""
-    findings = scan.scan_files(corpora.planted_context.read(spark, sf_dir))
-    other = corpora.planted_k8s.read(spark, sf_dir).select(
+    findings = scan.scan_files(stored_corpus(spark, sf_dir, "planted_context"))
+    other = stored_corpus(spark, sf_dir, "planted_k8s").select(
         "repo", "path", F.lit(1).alias("line"), F.lit("external-rule").alias("rule_id")
     )
     return _places(report.merge_findings(findings, other))
@@ -712,18 +747,18 @@ def findings_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def scan_file_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-71: names, env values and content together; some files have no content."""
-    secrets = xref.dotenv_secrets(corpora.planted_env.read(spark, sf_dir))
-    env = corpora.planted_env.read(spark, sf_dir).select("repo", "path", "content")
+    secrets = xref.dotenv_secrets(stored_corpus(spark, sf_dir, "planted_env"))
+    env = stored_corpus(spark, sf_dir, "planted_env").select("repo", "path", "content")
     templates = env.select("repo", F.concat("path", F.lit(".example")).alias("path"), "content")
-    unread = corpora.planted_paths.read(spark, sf_dir).select("repo", "path", F.lit(None).cast("string").alias("content"))
-    files = corpora.planted_users.read(spark, sf_dir).unionByName(env).unionByName(templates).unionByName(unread)
+    unread = stored_corpus(spark, sf_dir, "planted_paths").select("repo", "path", F.lit(None).cast("string").alias("content"))
+    files = stored_corpus(spark, sf_dir, "planted_users").unionByName(env).unionByName(templates).unionByName(unread)
     return _places(scan.scan_files(files, secrets=secrets))
 
 
 @query
 def scan_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-72: the scannable, not allowlisted files of each change set."""
-    files = corpora.planted_generic.read(spark, sf_dir).withColumn(
+    files = stored_corpus(spark, sf_dir, "planted_generic").withColumn(
         "status", F.substring(F.lit("ACMRTDUX"), (F.length("content") % 8 + 1).cast("int"), F.lit(1))
     )
     entries = allowlist.parse_allowlist(

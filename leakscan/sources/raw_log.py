@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from leakscan.sources.workspace import materialise
+
 _RECORD = "repo string, part int, local_index long, commit_sha string, epoch long, seq long, new_mode string, blob string, status string, path string"
 
 
@@ -70,7 +72,9 @@ def parse_raw_log(raw_logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     small row per part takes part in numbering them. A commit whose per-parent
     records straddle two parts stays one commit.
     """
-    records = parse_log_parts(raw_logs)
+    # Written once: the numbering needs a look at all parts before any record
+    # gets its commit, and the text should not be parsed twice for it.
+    records = materialise(parse_log_parts(raw_logs), "log")
     parts = records.groupBy("repo", "part").agg(
         F.max("local_index").alias("last_index"),
         F.min_by("commit_sha", "local_index").alias("first_sha"),

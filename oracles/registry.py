@@ -329,6 +329,10 @@ _FILE_LEVEL = (
     "LEFT JOIN (SELECT repo, count(*) AS n, count(DISTINCT path) AS with_findings FROM findings GROUP BY repo) g USING (repo)"
 )
 SQL["coverage_summary"] = _scan(DOCUMENTS, _FILE_LEVEL)
+_PASSWORD_LINE = text("password: 'orange7secret'")
+SQL["coverage_of_tables"] = _scan(
+    f"SELECT repo, path, CASE WHEN k % 3 <> 0 THEN {_PASSWORD_LINE} END AS content FROM ({corpora.planted_paths.sql()})", _FILE_LEVEL
+)
 _NAMED = f"findings JOIN {s.RULES} USING (rule_ord)"
 SQL["findings_by_file"] = _scan(
     _LINES,
