@@ -9,27 +9,22 @@ from leakscan.functions import paths
 from leakscan.functions.text import decode_blob
 from leakscan.operators.history import SCANNABLE_STATUSES
 from leakscan.options import MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH
+from leakscan.sources.tree import list_tree, read_contents
 
 # Allowlist files at the top of a repository, in reading order.
 ALLOWLIST_FILES = (".leakscanignore", ".gitleaksignore")
 
 
-def _relative(column, root: str):
-    """Path below ``root`` of a file listed by the binary reader."""
-    trimmed = root.rstrip("/")
-    return F.substring_index(F.concat(F.lit("/"), column), trimmed + "/", -1)
-
-
 def read_file_tree(spark: SparkSession, root: str, repo: str, max_bytes: int | None = None) -> DataFrame:
     """``files(repo, path, content)`` of every file under ``root``, decoded.
 
-    A size limit is pushed into the listing, so larger files are never read.
+    Dot files are included; files over the size limit are listed but not read.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    files = list_tree(spark, root)
     if max_bytes is not None:
-        raw = raw.where(F.col("length") <= max_bytes)
-    return raw.select(
-        F.lit(repo).alias("repo"), _relative(F.col("path"), root).alias("path"), decode_blob(F.col("content")).alias("content")
+        files = files.where(F.col("length") <= max_bytes)
+    return read_contents(files, root).select(
+        F.lit(repo).alias("repo"), "path", F.when(F.col("content").isNotNull(), decode_blob(F.col("content"))).alias("content")
     )
 
 
@@ -57,9 +52,15 @@ def select_dotenv_files(files: DataFrame) -> DataFrame:
 
 
 def read_dotenv_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    files = raw.select(F.lit(repo).alias("repo"), _relative(F.col("path"), root).alias("path"), "length", "content")
-    return select_dotenv_files(files).select("repo", "path", decode_blob(F.col("content")).alias("content"))
+    """``repo, path, content`` of the env files under ``root``.
+
+    Generated and vendored directories are not even listed.
+    """
+    listed = list_tree(spark, root, MAX_ENV_FILE_DEPTH, paths.ENV_SKIP_DIRECTORIES)
+    kept = select_dotenv_files(listed.withColumn("repo", F.lit(repo)))
+    return read_contents(kept, root).where(F.col("content").isNotNull()).select(
+        F.lit(repo).alias("repo"), "path", decode_blob(F.col("content")).alias("content")
+    )
 
 
 def select_allowlist_texts(
@@ -84,5 +85,5 @@ def select_allowlist_texts(
 
 def read_rule_packs(spark: SparkSession, location: str) -> DataFrame:
     """``rule_packs(pack, text)``, one row per JSON file at a trusted location."""
-    raw = spark.read.option("wholetext", "true").text(location).select("*", F.col("_metadata.file_name").alias("pack"))
+    raw = spark.read.text(location, wholetext=True).select("*", F.col("_metadata.file_name").alias("pack"))
     return raw.select("pack", F.col("value").alias("text"))
