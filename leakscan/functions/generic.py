@@ -194,12 +194,63 @@ def is_hardcoded(raw: Column, code_file: Column, key_context: Column) -> Column:
     return let(let(unprefixed, body), verdict)
 
 
-def has_hardcoded_assignment(line: Column, code_file: Column) -> Column:
-    """Whether any keyword on the line is given a hardcoded value."""
-    return let(
-        _fence_free(line),
-        lambda text: F.exists(
-            _candidate_values(text),
-            lambda v: is_hardcoded(v, code_file, F.substring(text, F.lit(1), F.length(text) - F.length(v))),
-        ),
+def _head_pattern(checked: str) -> str:
+    """Each fenced keyword, with the head of its value where it is assigned one.
+
+    Group 1 is the keyword with its trailing camel segment, group 2 as much of
+    the value as can matter: a quoted string, or an unquoted word and, since
+    the first word may be an auth scheme, the one after it. Both stand in a
+    look-ahead, so the next keyword is tried wherever it stands; a keyword
+    without a value matches with empty groups and keeps its place in the list.
+    """
+    keyword = f"{_OPEN}[^{_CLOSE}]*+{_CLOSE}"
+    camel = f"(?:{_OPEN}?[A-Z][a-z0-9{_OPEN}{_CLOSE}]*+)?+"
+    boundary = (
+        f"(?:(?<![A-Za-z0-9])(?<![A-Za-z0-9]{_CLOSE})"
+        f"|(?:(?<=[a-z0-9])|(?<=[a-z0-9]{_CLOSE}))(?={_OPEN}[A-Z]))"
     )
+    quoted = "(?:[fFrRbBuU]{1,2}(?=[\"'`]))?(?:\"[^\"]*+\"?|'[^']*+'?|`[^`]*+`?)"
+    word = f"[^{WS},;)}}\\]]*+"
+    head = f"{quoted}|(?=[^{WS}]){word}[{WS}:]*+{word}"
+    return f"(?:{boundary}(?=({keyword}{camel})[\"'`]?[{WS}]*+[:=][{WS}]*+{checked}({head})){keyword}|{keyword})"
+
+
+# A value runs to the end of its line. Where the line holds a lone line end,
+# only what follows the last one counts.
+_HEADS = _head_pattern("")
+_HEADS_TO_END = _head_pattern(f"(?={DOT}*+\\z)")
+
+
+def has_hardcoded_assignment(line: Column, code_file: Column) -> Column:
+    """Whether any keyword on the line is given a hardcoded value.
+
+    The verdict over ``generic_candidates``, without copying the rest of the
+    line for every keyword: only the head of each value is looked at, and the
+    text to the left only when the value might restate its key.
+    """
+
+    def without_fences(text: Column) -> Column:
+        return F.translate(text, _OPEN + _CLOSE, "")
+
+    def judge(fenced: Column) -> Column:
+        pattern = F.when(F.rlike(fenced, F.lit("[\r\u2028\u2029]")), _HEADS_TO_END).otherwise(F.lit(_HEADS))
+
+        def heads(pattern: Column) -> Column:
+            numbered = F.transform(
+                F.regexp_extract_all(fenced, pattern, F.lit(2)), lambda h, n: F.struct(h.alias("head"), n.alias("n"))
+            )
+            assigned = F.filter(numbered, lambda c: c.getField("head") != "")
+
+            def key_context(n: Column) -> Column:
+                left = F.array_join(F.slice(F.split(fenced, _OPEN, -1), F.lit(1), n + 1), "")
+                name = F.get(F.regexp_extract_all(fenced, pattern, F.lit(1)), n)
+                return F.concat(without_fences(F.concat(left, name)), F.lit(":"))
+
+            return F.exists(
+                assigned,
+                lambda c: is_hardcoded(without_fences(c.getField("head")), code_file, key_context(c.getField("n"))),
+            )
+
+        return let(pattern, heads)
+
+    return let(F.regexp_replace(_fence_free(line), f"((?i:{KEYWORDS}))", f"{_OPEN}$1{_CLOSE}"), judge)

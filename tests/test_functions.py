@@ -277,3 +277,32 @@ def test_line_gate_covers_every_candidate(spark):
     df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
     for row in df.select("n", F.size(generic.generic_candidates(F.col("line"))).alias("c")).collect():
         assert gated[row["n"]] or not row["c"], lines[row["n"]]
+
+
+def test_line_verdict_agrees_with_its_candidates(spark):
+    rng = random.Random(13)
+    pieces = ["password", "Token", "authToken", "secret", "SESSION_KEY", "api-key", "Password", "Value", "x9", "_", " ", " = ", ": ", ":", "=",
+              '"', "'", "`", "f\"", "Bearer ", "oauth:", "token ", "abcd1234", "Qw9", "your_", "process.env.X", "${v}", "{v}", ",", ";", "}", ")",
+              "session-key", "secretpassword", "reset/:id/", "encrypt", "zxcvbnmkjhgf", "\r", "\u2028", "\u00a0", "ABC_DEF", "...", "<a>", "é", "пароль"]
+    lines = ["".join(rng.choice(pieces) for _ in range(rng.randint(2, 16))) for _ in range(6000)]
+    df = spark.createDataFrame(list(enumerate(lines)), "n int, line string")
+    line = F.col("line")
+    for code in (True, False):
+        listed = F.exists(
+            generic.generic_candidates(line),
+            lambda c: generic.is_hardcoded(c.getField("value"), F.lit(code), c.getField("key_context")),
+        )
+        rows = df.select("n", listed.alias("a"), generic.has_hardcoded_assignment(line, F.lit(code)).alias("b")).collect()
+        wrong = [lines[r["n"]] for r in rows if r["a"] != r["b"]]
+        assert not wrong, wrong[:5]
+        assert 100 < sum(r["a"] for r in rows) < 5900
+
+
+def test_very_long_line_with_many_keywords(spark):
+    import time
+
+    line = "a.token=b.token,c.password=d(e),f.secret;" * 20_000 + 'x.password="orange7secret"'
+    df = spark.createDataFrame([(line,)], "line string")
+    start = time.time()
+    assert df.select(generic.has_hardcoded_assignment(F.col("line"), F.lit(True))).first()[0]
+    assert time.time() - start < 60
