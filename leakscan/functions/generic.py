@@ -138,7 +138,12 @@ def is_route_template(value: Column) -> Column:
 
 def echoes_key(value: Column, key_context: Column) -> Column:
     """A plain word that only restates the name it is assigned to."""
-    key = F.regexp_extract(key_context, f"([A-Za-z_][A-Za-z0-9_.$-]*)[{WS}]*[\"'`]?[{WS}]*[:=][{WS}]*\\z", 1)
+    # Read backwards from the assignment: the name is the run that ends there,
+    # from its first letter on. Read forwards, every long run of the line would
+    # be tried from each of its characters.
+    name_end = f"^[{WS}]*[:=][{WS}]*[\"'`]?[{WS}]*([A-Za-z0-9_.$-]+)"
+    run = F.reverse(F.regexp_extract(F.reverse(key_context), name_end, 1))
+    key = F.regexp_replace(run, "^[^A-Za-z_]+", "")
     letters = strip_chars(value, "[^A-Za-z]")
     flat = strip_chars(F.lower(value), "[^a-z0-9]")
     return (

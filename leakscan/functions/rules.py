@@ -64,7 +64,7 @@ PROVIDER_RULES = (
     ProviderRule("sentry-auth-token", "Sentry auth token", r"\bsntry[us]_[A-Za-z0-9_.-]{32,}", ("sntry",), r"sntry[us]_"),
     ProviderRule("flyio-token", "Fly.io API token", r"\bfm[12][a-z]?_[A-Za-z0-9+/=_-]{40,}", ("fm1", "fm2"), r"fm[12][a-z]?_[A-Za-z0-9+/=_-]{8}"),
     ProviderRule("terraform-cloud-token", "Terraform Cloud/Enterprise token", r"\b[A-Za-z0-9]{14}\.atlasv1\.[A-Za-z0-9_-]{60,}", (".atlasv1.",), r"\.atlasv1\."),
-    ProviderRule("jwt", "JSON Web Token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", ("eyJ",), r"eyJ[A-Za-z0-9_-]{8}"),
+    ProviderRule("jwt", "JSON Web Token", r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\b", (".eyJ",), r"eyJ[A-Za-z0-9_-]+\.eyJ"),
     ProviderRule("basic-auth-url", "Credentials embedded in URL", r"\b[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]{3,}@", ("://",), r"://[^/\s:@]+:[^/\s:@]", any_case=True),
 )
 
@@ -117,6 +117,13 @@ def java_shape(rule: ProviderRule) -> str:
             r"-----BEGIN(?= )(?:[A-Z0-9]| (?=[A-Z0-9]))*+"
             r"(?:(?<= PRIVATE KEY)|(?<= PRIVATE KEY BLOCK))-----"
         )
+    if rule.id == "basic-auth-url":
+        # Same strings, tried once per run of scheme characters instead of at
+        # every place in the run a scheme could start.
+        return (
+            r"(?i)(?<![a-z0-9+.-])(?:(?<!_)(?=[a-z])|(?=[a-z0-9+.-]*?[+.-][a-z]))[a-z0-9+.-]*+://"
+            rf"[^/{WS}:@]+:[^/{WS}:@]{{3,}}@"
+        )
     if shape.endswith(r"\b"):
         body = shape[:-2]
         last_class = body[body.rfind("["):body.rfind("]") + 1] if body[-1] in "}])" else ""

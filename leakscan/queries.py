@@ -34,9 +34,8 @@ def query(fn: Query) -> Query:
 
 
 @cache
-def _stored(application: str, sf_dir: str, corpus: str) -> str:
+def _stored(spark: SparkSession, sf_dir: str, corpus: str) -> str:
     """Where a derived corpus is kept for the session, as a real table would be."""
-    spark = SparkSession.getActiveSession()
     path = fresh_path(spark, corpus)
     derived = getattr(corpora, corpus)
     table = spread_small_input(_table(spark, sf_dir, derived.table), [])
@@ -45,7 +44,7 @@ def _stored(application: str, sf_dir: str, corpus: str) -> str:
 
 
 def stored_corpus(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(_stored(spark.sparkContext.applicationId, sf_dir, name))
+    return spark.read.parquet(_stored(spark, sf_dir, name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -162,15 +161,14 @@ def _raw_logs(changes: DataFrame) -> DataFrame:
 
 
 @cache
-def _log_path(application: str, sf_dir: str) -> str:
-    spark = SparkSession.getActiveSession()
+def _log_path(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "raw_logs")
     _raw_logs(stored_corpus(spark, sf_dir, "planted_changes")).write.parquet(path)
     return path
 
 
 def _stored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(_log_path(spark.sparkContext.applicationId, sf_dir))
+    return spark.read.parquet(_log_path(spark, sf_dir))
 
 
 @query

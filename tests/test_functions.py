@@ -306,3 +306,30 @@ def test_very_long_line_with_many_keywords(spark):
     start = time.time()
     assert df.select(generic.has_hardcoded_assignment(F.col("line"), F.lit(True))).first()[0]
     assert time.time() - start < 60
+
+
+def test_hostile_lines_stay_linear(spark):
+    import time
+
+    from leakscan.operators.scan import scan_texts
+
+    lines = {
+        "scheme": "a." * 400_000 + "://u:pw@",
+        "echo": "A_-b" * 250_000 + ' password = "password-word"',
+        "quote": "token = '" + "x" * 1_000_000,
+    }
+    df = spark.createDataFrame([(n, "a.js", t) for n, t in lines.items()], "repo string, path string, content string")
+    start = time.time()
+    scan_texts(df).collect()
+    assert time.time() - start < 60
+
+
+@pytest.mark.parametrize(
+    "line, hit",
+    [("a+b://u:pass@h", True), ("_a://u:pass@h", False), ("_a.b://u:pass@h", True), ("9://u:pass@h", False), ("9.x9://u:pass@h", True),
+     ("é.A://u:pass@h", True), ("://u:pass@h", False), ("x://u:pa@h", False), ("x_y://u:pass@h", False), ("-s3://u:pass@h", True), ("x y://u:p:pass@h", False)],
+)
+def test_url_scheme_rule(spark, line, hit):
+    plain = re.search(r"(?<![0-9A-Za-z_])[a-z][a-z0-9+.-]*://[^/\s:@]+:[^/\s:@]{3,}@", line, re.I | re.A)
+    assert bool(plain) == hit
+    assert _one(spark, m=F.rlike(F.lit(line), F.lit(java_shape(PROVIDER_RULES[39]))))["m"] == hit
