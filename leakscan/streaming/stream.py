@@ -46,20 +46,18 @@ def stream_gate(
     key: str = "change_set",
     options: ScanOptions = ScanOptions(),
     rules: Sequence[CustomRule] = (),
-    secrets: DataFrame | None = None,
-    allowlist: DataFrame | None = None,
 ) -> DataStreamWriter:
     """Judge every change set of ``changes(<key>, repo, path, status, content)`` as it arrives.
 
     ``decide`` receives one row per change set of the batch (finding count,
     blocked, exit status). A change set must arrive within one batch.
-    ``secrets`` and ``allowlist`` are keyed by repository, as in a batch scan.
+    Two change sets of one batch may touch the same path, so the change set
+    takes the repository's place while its files are scanned.
     """
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        # The path carries its change set through the scan, apart from the repository.
-        findings = scan_change_set(batch, options, rules, secrets, allowlist)
-        owned = batch.select("repo", "path", key).distinct().join(findings, ["repo", "path"])
-        decide(gate_decision(batch, owned, [key]), batch_id)
+        keyed = batch.withColumn("repo", F.col(key).cast("string"))
+        findings = scan_change_set(keyed, options, rules)
+        decide(gate_decision(keyed, findings).withColumnRenamed("repo", key), batch_id)
 
     return changes.writeStream.foreachBatch(judge)

@@ -84,7 +84,7 @@ def _arriving(spark, folder, rows, schema):
 
 def test_stream_scan_and_gate(spark, tmp_path):
     folder, schema = str(tmp_path / "in"), "change_set string, repo string, path string, status string, content string"
-    _arriving(spark, folder, [("c1", "r", "a.txt", "A", LEAK), ("c1", "r", "b.txt", "D", LEAK), ("c2", "r", "c.txt", "M", "x")], schema)
+    _arriving(spark, folder, [("c1", "r", "a.txt", "A", LEAK), ("c1", "r", "b.txt", "D", LEAK), ("c2", "r", "a.txt", "M", "x")], schema)
     source = spark.readStream.schema(schema).parquet(folder)
     out = str(tmp_path / "out")
     running = stream.stream_scan(source).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
