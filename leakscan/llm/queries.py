@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import decontamination, language_id, packing, simhash_dedup
+from leakscan.llm import decontamination, fingerprints, language_id, packing, quality_crf, simhash_dedup, token_count, warc
 from leakscan.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,64 @@ def query(fn: Query) -> Query:
     return fn
 
 
+@query
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` written as WARC records and read back as chunks; the last chunk of each stands for its record."""
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").cast("long").alias("key"), F.col("url").alias("uri"), F.col("html").cast("binary").alias("payload")
+    )
+    options = warc.WarcOptions(keep_data=False)
+    archives = warc.write_archives(pages, warc.archive_folder(spark), options)
+    last = warc.read_archives(spark, archives, options).where("last")
+    return last.select(
+        warc.record_key("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        warc.record_key("refers_to").alias("refers_to"),
+        (F.col("chunk") + 1).alias("n_chunks"),
+    )
+
+
+SQL["op1_warc_chunks"] = """
+WITH hashed AS (
+  SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+), firsts AS (
+  SELECT html, min(page_id) AS first FROM hashed GROUP BY html
+)
+SELECT h.page_id, CAST(strlen(h.html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(((CAST('0x' || substr(h.hex, CAST(k // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN h.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN h.page_id <> f.first THEN f.first END AS refers_to,
+  CAST(greatest((strlen(h.html) + 65535) // 65536, 1) AS INTEGER) AS n_chunks
+FROM hashed h JOIN firsts f ON h.html = f.html
+"""
+
+
+@query
+def op2_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text of ``documents`` under a public byte-level vocabulary."""
+    options = token_count.TokenCountOptions(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    counted = token_count.count_tokens(table(spark, sf_dir, "documents"), options)
+    return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash of every text of ``documents`` and of its edited form, with their likeness."""
+    found = fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.hexadecimal("fp").alias("fingerprint"),
+        fingerprints.hexadecimal("edited_fp").alias("edited_fingerprint"),
+        fingerprints.likeness("fp", "edited_fp").alias("near_edited"),
+        fingerprints.likeness("fp", "next_fp").alias("near_next"),
+    )
+
+
 @query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where windows of ten words of ``benchmark`` occur in ``documents``."""
@@ -35,6 +93,17 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every text of ``documents``, learned from four fifths of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col("quality").alias("label"))
+    scored = quality_crf.score(docs, quality_crf.fit(docs, labels))
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_lines"
+    )
+
+
 @query
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of ``documents`` whose fingerprints chain by two or fewer differing bits."""
