@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import decontamination, fingerprints, language_id, packing, quality_crf, simhash_dedup, token_count, warc
+from leakscan.llm import decontamination, fingerprints, language_id, packing, pitman_yor, quality_crf, simhash_dedup, token_count, warc
 from leakscan.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,3 +125,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of at most 2048 tokens."""
     options = packing.PackingOptions(public_tokenizers.path("word_bpe_49k.json"))
     return packing.pack_documents(table(spark, sf_dir, "documents"), options)
+
+
+@query
+def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all ``documents``, learned from six sevenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
+    return pitman_yor.score_texts(docs)
