@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import decontamination, fingerprints, language_id, packing, pitman_yor, quality_crf, simhash_dedup, token_count, warc
+from leakscan.llm import decontamination, fingerprints, language_id, packing, pitman_yor, quality_crf, simhash_dedup, substring_dedup, token_count, warc
 from leakscan.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -120,6 +120,22 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
 
 
+@query
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more of ``documents`` that repeat in another one; a row for each, in the later document."""
+    found = substring_dedup.grouped_passages(substring_dedup.repeated_passages(table(spark, sf_dir, "documents")))
+    return found.select(
+        F.col("b").alias("doc_id"),
+        F.col("a").alias("other_doc_id"),
+        F.col("begin_b").alias("begin_word"),
+        F.col("end_b").alias("end_word"),
+        F.col("begin_a").alias("other_begin_word"),
+        F.col("end_a").alias("other_end_word"),
+        "identity",
+        "group_id",
+    )
+
+
 @query
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All ``documents`` packed into sequences of at most 2048 tokens."""
