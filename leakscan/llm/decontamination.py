@@ -59,6 +59,7 @@ class DecontaminationOptions:
     window: int = 10  # words of a phrase; an item of fewer words is one phrase
     segment_bytes: int = 4 << 20  # of text in a segment; a longer text is a segment of its own
     block_bytes: int = 2 << 20  # of benchmark text that is sent to the tasks at once
+    broadcast_ids: int = 2_000_000  # contaminated documents, 8 bytes each, up to which their ids are sent to all tasks
 
 
 def words_of(data: bytes) -> list[bytes]:
@@ -256,3 +257,14 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, options: Decontaminati
         lambda a: a["n"],
     )
     return found.select("doc_id", "n_words", covered.alias("n_hit"), "items", "spans")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, options: DecontaminationOptions = DecontaminationOptions()) -> DataFrame:
+    """The rows of ``docs`` in which no window of ``benchmark`` occurs, in the columns of ``docs``.
+
+    Rows without an id are kept, as no result names them; rows that share an id
+    go together.
+    """
+    found = materialise(find_benchmark(docs, benchmark, options).where("n_hit > 0 AND doc_id IS NOT NULL").select("doc_id").distinct(), "contaminated")
+    bounded = found.count() <= options.broadcast_ids
+    return docs.join(F.broadcast(found) if bounded else found, "doc_id", "left_anti").select(*docs.columns)

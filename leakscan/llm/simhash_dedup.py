@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.llm.common import utf8
@@ -150,3 +150,16 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2) ->
     named = materialise(named, "components")
     joined = prints.join(named, "fp")
     return joined.select("doc_id", "fp", F.col("root").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, words_each: int = 3, max_bits: int = 2) -> DataFrame:
+    """The rows of ``docs`` without those that are near copies: of each group the smallest doc_id stays.
+
+    Rows without an id are kept, as no result names them. Of rows that share a
+    kept id the one with the smallest text stays.
+    """
+    found = near_duplicates(docs, words_each, max_bits).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
+    order = Window.partitionBy("doc_id").orderBy("text")
+    first = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
+    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
