@@ -13,9 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fold(doc_id: Column | str, folds: int) -> Column:
+def fold(doc_id: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
-    return F.pmod(F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string").cast("binary")), F.lit(folds))
+    text = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
+    return F.pmod(F.crc32(text.cast("binary")), F.lit(folds))
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -85,7 +85,7 @@ def codewords(languages: int, options: LanguageIdOptions) -> np.ndarray:
     """A row of +1 and -1 per language: every split once if they are few, else the best of some random codes."""
     if languages <= options.exhaustive_up_to:
         splits = range(1, 1 << max(languages - 1, 0))
-        return np.array([[1 if k == 0 or not s >> (k - 1) & 1 else -1 for s in splits] for k in range(languages)]).reshape(languages, -1)
+        return np.array([[1 if k == 0 or not s >> (k - 1) & 1 else -1 for s in splits] for k in range(languages)]).reshape(languages, len(splits))
     bits, best, apart = int(np.ceil(options.bits_per_doubling * np.log2(languages))), None, -1
     for seed in range(50):
         code = np.random.default_rng(seed).choice([-1, 1], (languages, bits))

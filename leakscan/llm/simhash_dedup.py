@@ -123,7 +123,8 @@ def links(classes: DataFrame, max_bits: int = 2) -> DataFrame:
     differ = F.col("fp1").bitwiseXOR(F.col("fp2"))
     lower = F.bit_count(differ.bitwiseAND(F.lit(_HALF)))
     near = here.join(there, "key").where((F.col("fp1") < F.col("fp2")) & (F.bit_count(differ) <= max_bits))
-    return near.where((F.col("key") < F.lit(1 << 31)) | (lower > 1)).select("u", "v")
+    # A pair may meet in either half; the one that is bound to find it counts.
+    return near.where((F.col("key") < F.lit(1 << 31)) == (lower <= 1)).select("u", "v")
 
 
 def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2) -> DataFrame:
