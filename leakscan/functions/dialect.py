@@ -65,6 +65,10 @@ class PatternError(ValueError):
 
 _CLASS_ESCAPES = {"d": "0-9", "w": WORD, "s": WS}
 _CONTROL = {"n": r"\n", "r": r"\r", "t": r"\t", "v": r"\x0B", "f": r"\f"}
+# Repeats of a group that the Java engine may nest on its stack.
+_SHALLOW_REPEATS = 200
+# The largest repeat count that the Java engine can hold.
+_MAX_REPEAT = (1 << 31) - 1
 
 
 def _literal(code: int) -> str:
@@ -85,6 +89,7 @@ class _Translator:
         self.multiline = "m" in flags
         self.dot_all = "s" in flags
         self.groups = self._count_groups()
+        self.repeats = 1  # of groups, multiplied as if each held the next; 0 for no bound
 
     def _count_groups(self) -> int:
         n, i, in_class = 0, 0, False
@@ -126,10 +131,22 @@ class _Translator:
                 self.pos += 1
                 out.append("|")
                 continue
+            group = self._peek() == "("
             atom, repeatable = self._atom(depth)
-            out.append(atom + self._quantifier(repeatable))
+            quantifier = self._quantifier(repeatable)
+            if group and quantifier:
+                self.repeats *= self._most(quantifier)
+            out.append(atom + quantifier)
         return "".join(out)
 
+    @staticmethod
+    def _most(quantifier: str) -> int:
+        """The most repeats that a quantifier allows; 0 for no bound."""
+        if quantifier[0] != "{":
+            return 1 if quantifier[0] == "?" else 0
+        low, comma, high = quantifier.rstrip("?").strip("{}").partition(",")
+        return max(1, int(high)) if high else 0 if comma else max(1, int(low))
+
     def _atom(self, depth: int) -> tuple[str, bool]:
         ch = self._peek()
         self.pos += 1
@@ -204,7 +221,7 @@ class _Translator:
             self.pos += 1
         elif ch == "{" and (found := self._braces(self.pos)):
             low, high, self.pos = found
-            if (high is not None and low > high) or max(low, high or 0) > (500 if self.re2 else 100_000):
+            if (high is not None and low > high) or max(low, high or 0) > (500 if self.re2 else _MAX_REPEAT):
                 raise PatternError("repeat count out of range")
             text = f"{{{low}}}" if high == low else f"{{{low},{'' if high is None else high}}}"
         else:
@@ -372,6 +389,17 @@ def to_java_pattern(pattern: str, flags: str = "") -> str:
     return body
 
 
+def repeats_deeply(pattern: str, flags: str = "") -> bool:
+    """Whether a group repeats without a small bound.
+
+    The Java engine takes a stack frame for every such repeat, so a long line
+    would end the whole process, which no rule may do.
+    """
+    translator = _Translator(pattern, flags)
+    translator.run()
+    return not 0 < translator.repeats <= _SHALLOW_REPEATS
+
+
 def to_re2_hint(pattern: str, flags: str = "") -> str:
     """An RE2 pattern that finds at least what ``pattern`` finds.
 

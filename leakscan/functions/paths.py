@@ -109,8 +109,8 @@ def filename_rule_ord(path: Column) -> Column:
     )
 
 
-def is_searched_for_env(path: Column, max_depth: int) -> Column:
-    """Whether an env file at this path is within the searched directories."""
+def is_searched_for_env(path: Column) -> Column:
+    """Whether an env file at this path is outside generated and vendored directories."""
     parts = F.filter(F.split(F.lower(path), "/", -1), lambda s: s != "")
     directories = F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))
-    return (F.size(directories) <= max_depth) & ~F.arrays_overlap(directories, _strings(ENV_SKIP_DIRECTORIES))
+    return ~F.arrays_overlap(directories, _strings(ENV_SKIP_DIRECTORIES))

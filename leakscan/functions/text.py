@@ -30,10 +30,9 @@ _REPLACEMENT = {"UTF-16LE": "\xfd\xff", "UTF-16BE": "\xff\xfd"}
 
 def decode_blob(data: Column) -> Column:
     """Text of a blob: byte-order marks, mark-less UTF-16LE, else Latin-1."""
-    head = F.substring(data, 1, 1024)
-    # Odd-position bytes of the first KiB, counted on its Latin-1 spelling.
+    # Odd-position bytes, counted on the Latin-1 spelling of the whole blob.
     pairs = let(
-        F.decode(head, "ISO-8859-1"),
+        F.decode(data, "ISO-8859-1"),
         lambda s: let(
             F.substring(s, F.lit(1), (F.length(s) / 2).cast("int") * 2),
             lambda even: F.struct(
@@ -56,7 +55,7 @@ def decode_blob(data: Column) -> Column:
             F.substring(data, 1, 3) == F.unhex(F.lit("EFBBBF")),
             F.make_valid_utf8(F.substring(data, 4, _REST).cast("string")),
         )
-        .when(F.contains(head, F.unhex(F.lit("00"))) & looks_utf16, _utf16(data, "UTF-16LE", *le))
+        .when(F.contains(data, F.unhex(F.lit("00"))) & looks_utf16, _utf16(data, "UTF-16LE", *le))
         .otherwise(F.decode(data, "ISO-8859-1"))
     )
 
@@ -67,14 +66,9 @@ def split_lines(content: Column) -> Column:
 
 
 def looks_binary(content: Column) -> Column:
-    """A NUL, or over 30 % control characters, in the first 8000 characters."""
-    return let(
-        F.substring(content, 1, 8000),
-        lambda s: F.contains(s, F.lit("\x00"))
-        | (
-            F.regexp_count(s, F.lit(r"[\x01-\x08\x0E-\x1F]")) / F.greatest(F.length(s), F.lit(1)) > 0.3
-        ),
-    )
+    """A NUL, or over 30 % control characters, in the whole text."""
+    control = F.regexp_count(content, F.lit(r"[\x01-\x08\x0E-\x1F]"))
+    return F.contains(content, F.lit("\x00")) | (control / F.greatest(F.length(content), F.lit(1)) > 0.3)
 
 
 def inline_allowed(line: Column, markers: tuple[str, ...]) -> Column:

@@ -19,6 +19,9 @@ from leakscan.options import ScanOptions
 MAX_PATTERN = 200
 NESTED_REPEAT = rf"\([^)]*[+*][^)]*\)[{WS}]*(?:[+*]|\{{[0-9]+,[{WS}]*\}})"
 
+# A reference to a group, or a group with a name.
+_REFERS = r"\\[1-9k]|\(\?<[A-Za-z]"
+
 
 def is_risky_pattern(pattern: Column) -> Column:
     return (utf16_length(pattern) > MAX_PATTERN) | F.rlike(pattern, F.lit(NESTED_REPEAT))
@@ -62,21 +65,29 @@ def parse_allowlist(texts: DataFrame) -> DataFrame:
 
 
 def matchers_by_repo(entries: DataFrame) -> DataFrame:
-    """One row per repository with its distinct matchers (allowlists are small files)."""
-    return entries.groupBy("repo").agg(F.collect_set(F.struct("is_regex", "matcher")).alias("_allow"))
+    """One row per repository with its distinct matchers (allowlists are small files).
+
+    Its regular expressions become one alternation, which the engine compiles
+    once for a run of rows of the repository. Those with groups that are
+    referred to or named stay apart, as joining would renumber them.
+    """
+    kind = (
+        F.when(~F.col("is_regex"), "literal")
+        .when(F.rlike("matcher", F.lit(_REFERS)), "apart")
+        .otherwise("joined")
+    )
+    sets = [F.sort_array(F.collect_set(F.when(kind == k, F.col("matcher")))).alias(k) for k in ("literal", "apart", "joined")]
+    lists = entries.groupBy("repo").agg(*sets)
+    joined = F.when(F.size("joined") > 0, F.array_join(F.transform("joined", lambda m: F.concat(F.lit("(?:"), m, F.lit(")"))), "|"))
+    return lists.select("repo", F.struct("literal", "apart", joined.alias("joined")).alias("_allow"))
 
 
 def path_allowlisted(path: Column, matchers: Column) -> Column:
-    """Whether any matcher of the list applies; false for a missing list."""
-    return F.coalesce(
-        F.exists(
-            matchers,
-            lambda m: F.when(m.getField("is_regex"), F.rlike(path, m.getField("matcher"))).otherwise(
-                F.contains(path, m.getField("matcher"))
-            ),
-        ),
-        F.lit(False),
-    )
+    """Whether any matcher of a repository's list applies; false for a missing list."""
+    by_literal = F.exists(matchers.getField("literal"), lambda m: F.contains(path, m))
+    by_joined = F.coalesce(F.rlike(path, matchers.getField("joined")), F.lit(False))
+    by_apart = F.exists(matchers.getField("apart"), lambda m: F.rlike(path, m))
+    return F.coalesce(by_literal | by_joined | by_apart, F.lit(False))
 
 
 def flag_allowlisted(rows: DataFrame, entries: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:

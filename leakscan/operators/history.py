@@ -37,12 +37,14 @@ def distinct_blobs(versions: DataFrame) -> DataFrame:
 
 
 def unscannable_blobs(versions: DataFrame, blobs: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """``repo, blob, state, size`` for referenced blobs that are missing or too large.
+    """``repo, blob, state, size`` for referenced blobs that are missing, or too large for a wanted limit.
 
     Only blob sizes are read, and only the exceptions come out.
     """
     sizes = blobs.select("repo", "blob", "size")
-    state = F.when(F.col("size").isNull(), "unavailable").when(F.col("size") > options.max_blob_bytes, "oversized")
+    state = F.when(F.col("size").isNull(), "unavailable")
+    if options.max_blob_bytes is not None:
+        state = state.when(F.col("size") > options.max_blob_bytes, "oversized")
     return (
         distinct_blobs(versions)
         .join(sizes, ["repo", "blob"], "left")

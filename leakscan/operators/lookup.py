@@ -73,13 +73,19 @@ def attach(
     return salted_join(facts, dim, keys, spread, options.salt_buckets, how)
 
 
+SMALL_INPUT_BYTES = 256 * 1024 * 1024
+
+
 def spread_small_input(df: DataFrame, by: Sequence[str]) -> DataFrame:
     """Give every core work when a small input arrives in a few splits.
 
-    Large inputs already come in more splits than cores and are returned as
-    they are: their content is never shuffled just to be scanned.
+    A single small file is one split whatever the split size. Inputs that the
+    planner takes for larger than ``SMALL_INPUT_BYTES`` are returned as they
+    are, however many cores there are: their content is never shuffled just to
+    be scanned.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > SMALL_INPUT_BYTES or df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, *by) if by else df.repartition(cores)

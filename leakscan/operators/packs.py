@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leakscan.functions.dialect import to_java_pattern, to_re2_hint, trim_ws, utf16_length
+from leakscan.functions.dialect import repeats_deeply, to_java_pattern, to_re2_hint, trim_ws, utf16_length
 from leakscan.functions.rules import FIRST_CUSTOM_ORD, RESERVED_RULE_IDS
 from leakscan.operators.allowlist import is_risky_pattern
+from leakscan.operators.gate import usable_hint
 from leakscan.operators.scan import CustomRule
 
-# Pack limits and the shape of ids and flags.
+# Pack limits, the shape of ids and flags, and the wording of refusals.
 MAX_RULES = 200
 MAX_DESCRIPTION = 120
 RULE_ID = r"^[a-z0-9][a-z0-9-]{1,39}\z"
@@ -23,13 +24,18 @@ FLAGS = r"^[imsu]*\z"
 
 @F.pandas_udf(T.StringType())
 def _java_spelling(rules: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Java spelling of pattern and flags, null where they do not compile."""
+    """Java spelling of pattern and flags, null where they do not compile.
+
+    Empty for patterns that compile but that no engine here can run on a line
+    of any length: a group repeats without bound, and RE2 has no spelling.
+    """
 
     def spell(pattern: str | None, flags: str | None) -> str | None:
         try:
             if pattern is None or len(set(flags or "")) != len(flags or ""):
                 return None
-            return to_java_pattern(pattern, flags or "")
+            java = to_java_pattern(pattern, flags or "")
+            return "" if repeats_deeply(pattern, flags or "") and not usable_hint(to_re2_hint(pattern, flags or "")) else java
         except ValueError:
             return None
 
@@ -113,6 +119,7 @@ def parse_rule_packs(packs: DataFrame) -> DataFrame:
         .when(is_risky_pattern(regex), "regex is too long or backtracks catastrophically")
         .when(flags.isNull() | ~F.rlike(flags, F.lit(FLAGS)), "flags may only be i, m, s or u")
         .when(F.col("java_pattern").isNull(), "regex does not compile")
+        .when(F.col("java_pattern") == "", "regex repeats a group in a way that long lines cannot be matched safely")
     )
     judged = spelled.withColumn("id_reason", id_reason).withColumn("other_reason", other_reason)
     # An id is taken by the first entry that is otherwise acceptable.
@@ -150,10 +157,16 @@ def accepted_rules(parsed: DataFrame, pack: str) -> list[CustomRule]:
         parsed.where((F.col("pack") == pack) & F.col("reason").isNull())
         .select("id", "description", "regex", "flags", "java_pattern")
         .orderBy("pos")
-        .limit(MAX_RULES)
         .collect()
     )
     return [
-        CustomRule(r["id"], r["description"], r["java_pattern"], FIRST_CUSTOM_ORD + n, to_re2_hint(r["regex"], r["flags"]))
+        CustomRule(
+            r["id"],
+            r["description"],
+            r["java_pattern"],
+            FIRST_CUSTOM_ORD + n,
+            usable_hint(to_re2_hint(r["regex"], r["flags"])),
+            repeats_deeply(r["regex"], r["flags"]),
+        )
         for n, r in enumerate(rows)
     ]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from leakscan.functions.rules import built_in_catalogue
 
+# Fixed value: how many oversized versions a short report lists.
 OVERSIZED_SHOWN = 10
 
 
@@ -109,16 +110,18 @@ def order_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("repo", "commit_index", F.collate("path", "UNICODE"), "line", "rule_ord", "path")
 
 
-def top_oversized(scanned: DataFrame, shown: int = OVERSIZED_SHOWN) -> DataFrame:
-    """The first oversized versions per repository, in walk order, and how many more."""
+def top_oversized(scanned: DataFrame, shown: int | None = None) -> DataFrame:
+    """The oversized versions per repository in walk order; with ``shown`` the first ones, and how many more."""
     large = scanned.where(F.col("status") == "oversized")
     first = Window.partitionBy("repo").orderBy("commit_index", "path", "blob")
-    listed = large.withColumn("position", F.row_number().over(first)).where(F.col("position") <= shown)
+    listed = large.withColumn("position", F.row_number().over(first))
+    if shown is not None:
+        listed = listed.where(F.col("position") <= shown)
     totals = large.groupBy("repo").agg(F.count("*").alias("total"))
     size = F.format_number(F.col("size") / (1024 * 1024), 1)
     label = F.concat("path", F.lit(" @ "), F.substring("commit_sha", 1, 12), F.lit(" ("), F.replace(size, F.lit(",")), F.lit(" MB)"))
     return listed.join(totals, "repo").select(
-        "repo", "position", label.alias("label"), F.greatest(F.col("total") - shown, F.lit(0)).alias("more")
+        "repo", "position", label.alias("label"), F.greatest(F.col("total") - (F.col("total") if shown is None else shown), F.lit(0)).cast("bigint").alias("more")
     )
 
 

@@ -47,13 +47,18 @@ _READ, _UNREAD = -1, -2
 
 @dataclass(frozen=True)
 class CustomRule:
-    """An accepted user rule: ``pattern`` spelled for Java, ``hint`` for RE2."""
+    """An accepted user rule: ``pattern`` spelled for Java, ``hint`` for RE2.
+
+    ``deep`` rules repeat a group without bound. They are matched by their
+    ``hint``, in linear time and constant stack, and never by Java.
+    """
 
     id: str
     description: str
     pattern: str
     ord: int
     hint: str = ""
+    deep: bool = False
 
 
 def _has(bit: int) -> Column:
@@ -76,7 +81,9 @@ def _token_rules(rules: Sequence[CustomRule]) -> Column:
             f" AND _text RLIKE {sql_string(java_shape(rule))} THEN {FIRST_PROVIDER_ORD + n} END"
         )
     cases += [
-        f"CASE WHEN (_mask & {gate.CUSTOM}) != 0 AND _text RLIKE {sql_string(r.pattern)} THEN {r.ord} END" for r in rules
+        f"CASE WHEN (_mask & {gate.CUSTOM}) != 0 AND _text RLIKE {sql_string(r.pattern)} THEN {r.ord} END"
+        for r in rules
+        if not r.deep
     ]
     return F.expr(f"array({', '.join(cases)})")
 
@@ -143,7 +150,12 @@ def text_hits(
     carried = {"_note": note, "_file_ord": file_ord, "_secret_line": first_secret_line(content, F.col(secrets)) if secrets else None}
     carried = {name: value for name, value in carried.items() if value is not None}
     lines = gate.candidate_lines(
-        units.withColumns(carried) if carried else units, keys, flags, list(carried), [r.hint for r in rules]
+        units.withColumns(carried) if carried else units,
+        keys,
+        flags,
+        list(carried),
+        [r.hint for r in rules],
+        {r.ord: r.hint for r in rules if r.deep},
     )
 
     application = units.sparkSession.sparkContext.applicationId
@@ -167,7 +179,8 @@ def text_hits(
         )
     )
     # In listing order: token shapes, user rules, then context and heuristics.
-    ords = F.array_compact(F.concat(_token_rules(rules), _heuristic_cases(application, both_verdicts)))
+    deep = F.coalesce("_deep", F.array().cast("array<int>"))
+    ords = F.array_compact(F.concat(_token_rules(rules), deep, _heuristic_cases(application, both_verdicts)))
     if markers:
         ords = F.when(~inline_allowed(text, markers), ords)
     hits = F.when(F.col("_line") == 0, F.concat(*[h.cast(HITS) for h in file_hits])).otherwise(

@@ -90,18 +90,14 @@ def xref_lines(
     return best.groupBy(*keys).agg(F.min("m").alias("m")).select(*keys, F.col("m.line").alias("line"))
 
 
-def dotenv_coverage(env_files: DataFrame, shown: int = 4) -> DataFrame:
-    """What the cross-reference can see per repository: files and value counts."""
+def dotenv_coverage(env_files: DataFrame, shown: int | None = None) -> DataFrame:
+    """What the cross-reference can see per repository: files (with ``shown`` the first names only) and value counts."""
     files = env_files.select("repo", "path").distinct()
     counts = files.groupBy("repo").agg(F.count("*").alias("file_count"))
-    # Only the first few names are kept, already before the shuffle.
+    # With a limit only the first few names are kept, already before the shuffle.
     rank = F.row_number().over(Window.partitionBy("repo").orderBy("path"))
-    names = (
-        files.withColumn("_n", rank)
-        .where(F.col("_n") <= shown)
-        .groupBy("repo")
-        .agg(F.sort_array(F.collect_list("path")).alias("files"))
-    )
+    named = files if shown is None else files.withColumn("_n", rank).where(F.col("_n") <= shown)
+    names = named.groupBy("repo").agg(F.sort_array(F.collect_list("path")).alias("files"))
     values = dotenv_secrets(env_files).groupBy("repo").agg(F.count("*").alias("secret_count"))
     return (
         counts.join(names, "repo")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-# Version size above which history reports a blob instead of
-# scanning it, largest env file worth reading, deepest env-file directory.
+# Fixed values, for callers who want such limits: version size above which
+# history reports a blob instead of scanning it, largest env file, deepest
+# env-file directory. Without them everything is scanned.
 MAX_BLOB_BYTES = 10 * 1024 * 1024
 MAX_ENV_FILE_BYTES = 1024 * 1024
 MAX_ENV_FILE_DEPTH = 5
@@ -19,6 +20,8 @@ class ScanOptions:
     silences a line. ``broadcast_limit_bytes`` bounds what a scan may broadcast
     (measured before it is used). Beyond it, and for keys that own more than
     ``hot_rows`` rows, joins spread a key over ``salt_buckets`` tasks.
+    ``max_blob_bytes`` leaves larger versions of a history unscanned and counts
+    them as oversized; by default there is no limit.
     """
 
     entropy: bool = True
@@ -26,7 +29,7 @@ class ScanOptions:
     ignore_inline_allow: bool = False
     default_excludes: bool = True
     inline_markers: tuple[str, ...] = ("leakscan", "gitleaks")
-    max_blob_bytes: int = MAX_BLOB_BYTES
+    max_blob_bytes: int | None = None
     broadcast_limit_bytes: int = 32 * 1024 * 1024
     salt_buckets: int = 64
     hot_rows: int = 100_000

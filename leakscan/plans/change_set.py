@@ -34,8 +34,12 @@ def scan_change_set(
 def gate_decision(change_sets: DataFrame, findings: DataFrame, keys: Sequence[str] = ("repo",)) -> DataFrame:
     """Per change set: finding count, whether it is blocked, and the exit status."""
     counts = findings.groupBy(*keys).agg(F.count("*").alias("findings"))
-    every = change_sets.select(*keys).distinct().join(counts, list(keys), "left")
+    return decide_by_count(change_sets.select(*keys).distinct().join(counts, list(keys), "left"), keys)
+
+
+def decide_by_count(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The decision for rows of ``keys, findings``; a null count is none."""
     total = F.coalesce("findings", F.lit(0)).cast("bigint")
-    return every.select(
+    return counts.select(
         *keys, total.alias("findings"), (total > 0).alias("blocked"), F.when(total > 0, 1).otherwise(0).alias("exit_code")
     )

@@ -13,7 +13,7 @@ from leakscan.functions.rules import DOTENV_ORD, ENTROPY_ORD, GENERIC_ORD
 from leakscan.functions.text import decode_blob
 from leakscan.operators import history
 from leakscan.operators.allowlist import flag_allowlisted
-from leakscan.operators.lookup import hot_salted_join
+from leakscan.operators.lookup import fits_broadcast, hot_salted_join
 from leakscan.operators.scan import GENERIC_CODE_ORD, HITS, CustomRule, name_rules, text_hits
 from leakscan.operators.xref import attach_secrets, xref_lines
 from leakscan.options import ScanOptions
@@ -43,11 +43,13 @@ def blob_hits(
 ) -> DataFrame:
     """``repo, blob, line, rule_ord`` of every blob, whatever paths carry it.
 
-    Blob content is read where it lies and never shuffled; what depends on the
-    path (exemptions, code or not) is decided later, per version. Rule order
-    -1 marks a blob whose content is missing.
+    Blob content is read where it lies; what depends on the path (exemptions,
+    code or not) is decided later, per version. Rule order -1 marks a blob
+    whose content is missing.
     """
-    units = blobs.where(F.col("size") <= options.max_blob_bytes).select(
+    if options.max_blob_bytes is not None:
+        blobs = blobs.where(F.col("size") <= options.max_blob_bytes)
+    units = blobs.select(
         "repo",
         "blob",
         F.when(F.col("content").isNotNull(), decode_blob(F.col("content"))).alias("content"),
@@ -67,6 +69,17 @@ def blob_hits(
     return hits if late is None else hits.unionByName(late)
 
 
+def wanted_blobs(flagged: DataFrame, blobs: DataFrame, options: ScanOptions) -> DataFrame:
+    """The rows of ``blobs`` that some version of ``flagged`` is to be scanned for.
+
+    The keys are sent to every task when they measure small enough, so content
+    stays where it lies; beyond that the content is joined to them.
+    """
+    keys = materialise(flagged.where(~F.col("allowlisted")).select("repo", "blob").distinct(), "wanted")
+    small = fits_broadcast(keys, options.broadcast_limit_bytes)
+    return blobs.join(F.broadcast(keys) if small else keys, ["repo", "blob"], "left_semi")
+
+
 def _applies(hit: Column, heuristics: Column, code: Column) -> Column:
     order = hit.getField("ord")
     return (
@@ -87,11 +100,18 @@ def scan_versions(
 ) -> DataFrame:
     """``versions`` with ``status``, blob ``size`` and the array of ``hits``.
 
-    Blob hits are written out once (they hold line numbers and rule orders,
-    no text). Blobs with hits, and blobs that cannot be scanned, are joined back
-    to the versions; a blob carried by very many paths is salted.
+    Which blobs a version needs is settled first: blobs that no version refers
+    to, or only versions on allowlisted paths, are neither decoded nor scanned.
+    Blob hits are written out once (they hold line numbers and rule orders, no
+    text). Blobs with hits, and blobs that cannot be scanned, are joined back to
+    the versions; a blob carried by very many paths is salted.
     """
-    found = blob_hits(blobs, options, rules, secrets)
+    flagged = (
+        materialise(flag_allowlisted(versions, allowlist, options), "flagged")
+        if allowlist is not None
+        else versions.withColumn("allowlisted", F.lit(False))
+    )
+    found = blob_hits(wanted_blobs(flagged, blobs, options), options, rules, secrets)
     # A blob's hits come from one text; its row is assembled here, not scanned again.
     per_blob = materialise(found, "hits").groupBy("repo", "blob").agg(
         F.collect_list(F.struct("line", F.col("rule_ord").alias("ord"))).alias("_hits")
@@ -106,11 +126,6 @@ def scan_versions(
     exceptional = history.unscannable_blobs(versions, blobs, options).select(
         "repo", "blob", "state", F.col("size").cast("bigint").alias("size"), F.array().cast(HITS).alias("_hits")
     )
-    flagged = (
-        flag_allowlisted(versions, allowlist, options)
-        if allowlist is not None
-        else versions.withColumn("allowlisted", F.lit(False))
-    )
     joined = hot_salted_join(flagged, per_blob.unionByName(exceptional), ["repo", "blob"], ["path"], options)
     path = F.col("path")
     status = F.when(F.col("allowlisted"), "allowlisted").otherwise(F.coalesce("state", F.lit("scan")))

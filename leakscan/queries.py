@@ -17,7 +17,7 @@ from leakscan import corpora
 from leakscan.functions import context, dotenv, entropy, generic, paths, text
 from leakscan.operators import allowlist, history, packs, report, scan, xref, yaml_windows
 from leakscan.operators.lookup import spread_small_input
-from leakscan.options import ScanOptions
+from leakscan.options import MAX_BLOB_BYTES, MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH, ScanOptions
 from leakscan.plans import change_set
 from leakscan.plans.history_scan import HistoryScan, scan_history
 from leakscan.sources import raw_log, readers
@@ -183,8 +183,16 @@ def parse_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def load_dotenv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-05: env files worth cross-referencing, by path and size."""
-    return readers.select_dotenv_files(stored_corpus(spark, sf_dir, "planted_paths")).select("repo", "path")
+    """O-05: env files worth cross-referencing, by path and within limits on size and depth."""
+    files = stored_corpus(spark, sf_dir, "planted_paths")
+    return readers.select_dotenv_files(files, MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH).select("repo", "path")
+
+
+@query
+def skipped_dotenv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-05: what the limits on size and depth leave out, by reason."""
+    files = stored_corpus(spark, sf_dir, "planted_paths")
+    return readers.skipped_dotenv_files(files, MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH)
 
 
 def _allow_files(spark: SparkSession, sf_dir: str, staged: bool) -> DataFrame:
@@ -512,7 +520,7 @@ def xref_dotenv_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def dotenv_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-56: env files and value counts per repository."""
-    rows = xref.dotenv_coverage(stored_corpus(spark, sf_dir, "planted_env"))
+    rows = xref.dotenv_coverage(stored_corpus(spark, sf_dir, "planted_env"), shown=4)
     return rows.select("repo", F.array_join("files", ",").alias("files"), "file_count", "secret_count", "status")
 
 
@@ -543,7 +551,12 @@ def _history_allow(changes: DataFrame) -> DataFrame:
 def _history(spark: SparkSession, sf_dir: str, use_allowlist: bool = True) -> HistoryScan:
     changes = _changes(spark, sf_dir)
     return scan_history(
-        changes, _blobs(spark, sf_dir), _head(changes), allowlist=_history_allow(changes), use_allowlist=use_allowlist
+        changes,
+        _blobs(spark, sf_dir),
+        _head(changes),
+        ScanOptions(max_blob_bytes=MAX_BLOB_BYTES),
+        allowlist=_history_allow(changes),
+        use_allowlist=use_allowlist,
     )
 
 
@@ -563,7 +576,8 @@ def distinct_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = _changes(spark, sf_dir)
     versions = materialise(history.introduce_versions(changes))
-    return history.classify_versions(versions, _blobs(spark, sf_dir), _history_allow(changes))
+    limited = ScanOptions(max_blob_bytes=MAX_BLOB_BYTES)
+    return history.classify_versions(versions, _blobs(spark, sf_dir), _history_allow(changes), limited)
 
 
 @query
@@ -632,7 +646,7 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def top_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-55: the first oversized versions of each repository."""
-    rows = report.top_oversized(_history(spark, sf_dir).versions)
+    rows = report.top_oversized(_history(spark, sf_dir).versions, report.OVERSIZED_SHOWN)
     return rows.select("repo", F.col("position").cast("bigint").alias("position"), "label", "more")
 
 
@@ -800,8 +814,7 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-61: each version once, however often it arrives."""
     arriving = corpora.planted_changes.of(_stream(spark, sf_dir, "lineitem"))
-    timed = arriving.withColumn("seen", F.timestamp_seconds("epoch"))
-    once = stream.first_seen(timed.select("repo", "blob", "path", "seen"), "seen", "3650 days")
+    once = stream.first_seen(arriving, "1 day")
     return _drain(spark, once).select("repo", "blob", "path")
 
 

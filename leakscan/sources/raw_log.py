@@ -2,67 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.sources.workspace import materialise
 
-_RECORD = "repo string, part int, local_index long, commit_sha string, epoch long, seq long, new_mode string, blob string, status string, path string"
-
-
-def _records(tokens: Iterator[str]) -> Iterator[tuple]:
-    """Walk the tokens of one log: (commit number, sha, epoch, record or None).
-
-    A path is whatever token follows a change record, so it may hold any byte,
-    even one that would start a header.
-    """
-    index, sha, epoch = -1, None, 0
-    for token in tokens:
-        token = token.lstrip("\n")
-        if token.startswith("\x01"):
-            header = token[1:].split(" ")
-            if header[0] != sha:
-                index, sha = index + 1, header[0]
-                epoch = int(header[1]) if len(header) > 1 and header[1].strip().isdigit() else None
-                yield index, sha, epoch, None
-        elif token.startswith(":") and sha is not None:
-            path = next(tokens, None)
-            if path is None:
-                return
-            fields = token[1:].split(" ") + [None] * 5
-            yield index, sha, epoch, (fields[1], fields[3], fields[4], path)
+# One step through a log: a header, a change record with the path that follows
+# it, or any other token. A path is whatever stands up to the next NUL, so it
+# may hold any other byte, even one that would start a header. Newlines before
+# a header or a record are not part of it.
+_STEP = "\\n*\x01[^\x00]*|\\n*:[^\x00]*\x00[^\x00]*|[^\x00]*\x00?"
 
 
 def parse_log_parts(raw_logs: DataFrame) -> DataFrame:
     """Records of ``raw_logs(repo, part, log)``, one row per commit and change.
 
     Every part is parsed on its own, so the log of a large repository can be
-    cut at any commit header into as many rows as there are cores.
+    cut at any commit header into as many rows as there are cores. A record
+    before the first header of its part raises: the log was cut elsewhere, and
+    nothing says whose change it is.
     """
-
-    def parse(batches):
-        import pandas as pd
-
-        names = [c.split()[0] for c in _RECORD.split(", ")]
-
-        def frame(rows):
-            return pd.DataFrame(rows, columns=names).astype({"epoch": "Int64"})
-
-        for batch in batches:
-            for repo, part, log in zip(batch["repo"], batch["part"], batch["log"], strict=True):
-                rows = []
-                # Row 0 of a commit carries no change: it keeps the commit known.
-                for seq, (index, sha, epoch, record) in enumerate(_records(iter(log.split("\0")))):
-                    rows.append((repo, part, index, sha, epoch, seq, *(record or (None, None, None, None))))
-                    if len(rows) == 50_000:
-                        yield frame(rows)
-                        rows = []
-                if rows:
-                    yield frame(rows)
-
-    return raw_logs.select("repo", "part", "log").mapInPandas(parse, _RECORD)
+    steps = F.regexp_extract_all("log", F.lit(_STEP), F.lit(0))
+    entries = raw_logs.select("repo", "part", F.posexplode(steps).alias("seq", "entry")).withColumn(
+        "entry", F.regexp_replace("entry", "^\\n+", "")
+    )
+    header, record = F.startswith("entry", F.lit("\x01")), F.startswith("entry", F.lit(":"))
+    kept = entries.where(header | record & F.contains("entry", F.lit("\0")))
+    words = F.split(F.substring("entry", 2, 1 << 30), " ", -1)
+    # A header is its commit and time; of a record the path is told apart before it is split.
+    meta = F.split(F.substring_index("entry", "\0", 1), " ", -1)
+    fields = kept.select(
+        "repo",
+        "part",
+        F.col("seq").cast("bigint").alias("seq"),
+        F.when(header, F.struct(words[0].alias("sha"), F.try_to_number(F.trim(F.get(words, F.lit(1))), F.lit("9" * 18)).cast("bigint").alias("epoch"))).alias("head"),
+        F.when(~header, F.get(meta, F.lit(1))).alias("new_mode"),
+        F.when(~header, F.get(meta, F.lit(3))).alias("blob"),
+        F.when(~header, F.get(meta, F.lit(4))).alias("status"),
+        F.when(~header, F.expr("substring(entry, instr(entry, '\\0') + 1)")).alias("path"),
+    )
+    so_far = Window.partitionBy("repo", "part").orderBy("seq")
+    walked = fields.withColumn("before", F.last("head.sha", ignorenulls=True).over(so_far.rowsBetween(Window.unboundedPreceding, -1)))
+    # A header that repeats the commit before it goes on with that commit.
+    fresh = F.col("head").isNotNull() & ~F.col("head.sha").eqNullSafe(F.col("before"))
+    walked = walked.withColumn("fresh", fresh).where(F.col("fresh") | F.col("head").isNull())
+    walked = walked.withColumn("commit", F.last(F.when(F.col("fresh"), F.col("head")), ignorenulls=True).over(so_far))
+    stray = F.raise_error(F.concat(F.lit("a log part does not begin with a commit header: "), F.coalesce(F.col("repo"), F.lit("")), F.lit(" "), F.col("part").cast("string")))
+    return walked.select(
+        "repo",
+        "part",
+        (F.sum(F.col("fresh").cast("bigint")).over(so_far) - 1).alias("local_index"),
+        F.when(F.col("commit").isNull(), stray.cast("string")).otherwise(F.col("commit.sha")).alias("commit_sha"),
+        F.col("commit.epoch").alias("epoch"),
+        "seq",
+        "new_mode",
+        "blob",
+        "status",
+        "path",
+    )
 
 
 def parse_raw_log(raw_logs: DataFrame) -> tuple[DataFrame, DataFrame]:

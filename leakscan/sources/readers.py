@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leakscan.functions import paths
 from leakscan.functions.text import decode_blob
 from leakscan.operators.history import SCANNABLE_STATUSES
-from leakscan.options import MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH
 from leakscan.sources.tree import list_tree, read_contents
 
 # Allowlist files at the top of a repository, in reading order.
 ALLOWLIST_FILES = (".leakscanignore", ".gitleaksignore")
 
 
-def read_file_tree(spark: SparkSession, root: str, repo: str, max_bytes: int | None = None) -> DataFrame:
-    """``files(repo, path, content)`` of every file under ``root``, decoded.
-
-    Dot files are included; files over the size limit are listed but not read.
-    """
-    files = list_tree(spark, root)
-    if max_bytes is not None:
-        files = files.where(F.col("length") <= max_bytes)
-    return read_contents(files, root).select(
+def read_file_tree(spark: SparkSession, root: str, repo: str) -> DataFrame:
+    """``files(repo, path, content)`` of every file under ``root``, decoded; dot files are included."""
+    return read_contents(list_tree(spark, root), root).select(
         F.lit(repo).alias("repo"), "path", F.when(F.col("content").isNotNull(), decode_blob(F.col("content"))).alias("content")
     )
 
@@ -38,26 +31,43 @@ def changed_files(changes: DataFrame, contents: DataFrame) -> DataFrame:
     return kept.join(contents, ["repo", "path"], "left").select("repo", "path", "status", "content")
 
 
-def select_dotenv_files(files: DataFrame) -> DataFrame:
+def select_dotenv_files(files: DataFrame, max_bytes: int | None = None, max_depth: int | None = None) -> DataFrame:
     """The env files of ``files(repo, path, length, content)`` whose values are cross-referenced.
 
     Only path and length decide, so content is read for the kept rows alone.
+    Limits are opt-in; ``skipped_dotenv_files`` lists what they leave out.
     """
-    path = F.col("path")
-    return files.where(
-        paths.is_dotenv_file(path)
-        & paths.is_searched_for_env(path, MAX_ENV_FILE_DEPTH)
-        & (F.col("length") <= MAX_ENV_FILE_BYTES)
-    )
+    kept = files.where(paths.is_dotenv_file(F.col("path")) & paths.is_searched_for_env(F.col("path")))
+    return kept.where(_env_limit(max_bytes, max_depth).isNull())
+
 
+def skipped_dotenv_files(files: DataFrame, max_bytes: int | None = None, max_depth: int | None = None) -> DataFrame:
+    """``repo, caveat, n``: the env files that a limit leaves out, for the caveats of a report."""
+    kept = files.where(paths.is_dotenv_file(F.col("path")) & paths.is_searched_for_env(F.col("path")))
+    left = kept.withColumn("caveat", _env_limit(max_bytes, max_depth)).where(F.col("caveat").isNotNull())
+    return left.groupBy("repo", "caveat").agg(F.count("*").alias("n"))
 
-def read_dotenv_files(spark: SparkSession, root: str, repo: str) -> DataFrame:
+
+def _env_limit(max_bytes: int | None, max_depth: int | None) -> Column:
+    """Which limit leaves an env file out; null for none."""
+    reason = F.lit(None).cast("string")
+    if max_bytes is not None:
+        reason = F.when(F.col("length") > max_bytes, "env file too large").otherwise(reason)
+    if max_depth is not None:
+        depth = F.size(F.filter(F.split("path", "/", -1), lambda s: s != "")) - 1
+        reason = F.when(depth > max_depth, "env file too deep").otherwise(reason)
+    return reason
+
+
+def read_dotenv_files(
+    spark: SparkSession, root: str, repo: str, max_bytes: int | None = None, max_depth: int | None = None
+) -> DataFrame:
     """``repo, path, content`` of the env files under ``root``.
 
     Generated and vendored directories are not even listed.
     """
-    listed = list_tree(spark, root, MAX_ENV_FILE_DEPTH, paths.ENV_SKIP_DIRECTORIES)
-    kept = select_dotenv_files(listed.withColumn("repo", F.lit(repo)))
+    listed = list_tree(spark, root, skip=paths.ENV_SKIP_DIRECTORIES)
+    kept = select_dotenv_files(listed.withColumn("repo", F.lit(repo)), max_bytes, max_depth)
     return read_contents(kept, root).where(F.col("content").isNotNull()).select(
         F.lit(repo).alias("repo"), "path", decode_blob(F.col("content")).alias("content")
     )

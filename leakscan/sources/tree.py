@@ -9,21 +9,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leakscan.sources.workspace import materialise
 
 _BATCH_BYTES = 32 * 1024 * 1024
+GROUP_BYTES = 64 * 1024 * 1024  # of files that one task reads, about
 
 
 def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, skip: tuple[str, ...] = (".git",)) -> DataFrame:
     """``path, length`` of every regular file below ``root``.
 
     Directories named in ``skip`` (any case) and those deeper than
-    ``max_depth`` are never opened. Symbolic links are not followed.
+    ``max_depth`` are never opened. Symbolic links are not followed. A root
+    that is missing, unreadable or not a directory raises: it must not look
+    like a clean one. A directory that goes away while the tree is walked is
+    left out.
     """
     skipped = frozenset(skip)
+    root = resolve_root(spark, root)
 
     def entries(batches: Iterator) -> Iterator:
         import os
@@ -36,7 +41,7 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, skip
         for batch in batches:
             for folder in batch["path"]:
                 rows = []
-                for info in system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=True)):
+                for info in system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=bool(folder))):
                     is_dir = info.type == fs.FileType.Directory
                     if local and os.path.islink(info.path) or not (is_dir or info.type == fs.FileType.File):
                         continue
@@ -59,8 +64,34 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, skip
     return files
 
 
+def resolve_root(spark: SparkSession, root: str) -> str:
+    """``root`` as a full address, as Spark resolves a path: without a scheme it is in the default file system."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(root)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    full = system.makeQualified(path).toString()
+    return full.replace("file:/", "file:///", 1) if full.startswith("file:/") and not full.startswith("file://") else full
+
+
+def balanced_by_bytes(files: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """``files(path, length)`` dealt out so that tasks read about equally many bytes.
+
+    A file's place in the running total of its listing split decides its group,
+    and groups are dealt out one by one, so neither the number of listing
+    tasks nor a folder of large files decides how many tasks read.
+    """
+    rows = files.withColumn("_split", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id())
+    running = Window.partitionBy("_split").orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("length").over(running), F.lit(0))
+    total = files.agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, -(-total // group_bytes))
+    grouped = rows.withColumn("_group", F.floor(before / group_bytes))
+    return grouped.repartition(tasks, "_split", "_group").drop("_split", "_nth", "_group")
+
+
 def read_contents(files: DataFrame, root: str) -> DataFrame:
     """``files`` with a binary ``content`` column, read in tasks; null if a file is gone."""
+    root = resolve_root(files.sparkSession, root)
 
     def read(batches: Iterator) -> Iterator:
         import pandas as pd
@@ -83,4 +114,4 @@ def read_contents(files: DataFrame, root: str) -> DataFrame:
                     rows, size = [], 0
             yield pd.DataFrame(rows, columns=["path", "length", "content"])
 
-    return files.select("path", "length").mapInPandas(read, "path string, length long, content binary")
+    return balanced_by_bytes(files.select("path", "length")).mapInPandas(read, "path string, length long, content binary")

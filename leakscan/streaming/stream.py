@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
-from leakscan.operators.history import NULL_BLOB, SCANNABLE_MODES, VERSION
+from leakscan.operators.allowlist import apply_allowlist
+from leakscan.operators.history import NULL_BLOB, SCANNABLE_MODES, SCANNABLE_STATUSES, VERSION
 from leakscan.operators.scan import CustomRule, scan_files
 from leakscan.options import ScanOptions
-from leakscan.plans.change_set import gate_decision, scan_change_set
+from leakscan.plans.change_set import decide_by_count
+from leakscan.sources.workspace import fresh_path
 
 
 def stream_scan(
@@ -24,19 +26,31 @@ def stream_scan(
     return scan_files(files, options, rules, secrets)
 
 
-def first_seen(versions: DataFrame, time: str, delay: str) -> DataFrame:
-    """Each (repo, blob, path) once within the watermark, as it first arrives."""
-    return versions.withWatermark(time, delay).dropDuplicatesWithinWatermark(VERSION)
+def _introducing(changes: DataFrame) -> DataFrame:
+    """The changes that bring a version: no deletions, no null blobs, only modes with content."""
+    return changes.where(
+        (F.col("status") != "D") & (F.col("blob") != NULL_BLOB) & F.col("new_mode").isin(*SCANNABLE_MODES)
+    )
+
+
+def first_seen(changes: DataFrame, delay: str, arrival: str = "arrived") -> DataFrame:
+    """Each introduced (repo, blob, path) once within ``delay`` of its arrival.
+
+    Time is when a row arrives, put into the column ``arrival``: clocks of
+    commits are not to be trusted, and a late one would be dropped. State is
+    kept for the delay; a version that returns after it is listed again.
+    """
+    arriving = _introducing(changes).select(*VERSION, F.current_timestamp().alias(arrival))
+    return arriving.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(VERSION)
 
 
 def introduced_so_far(changes: DataFrame) -> DataFrame:
     """The earliest known introduction per version, for update mode.
 
     Arrival order is not ancestry, so a later batch may still lower the index.
+    State grows with the versions of the repositories, as the answer does.
     """
-    kept = changes.where(
-        (F.col("status") != "D") & (F.col("blob") != NULL_BLOB) & F.col("new_mode").isin(*SCANNABLE_MODES)
-    )
+    kept = _introducing(changes)
     return kept.groupBy(*VERSION).agg(F.min("commit_index").alias("commit_index"))
 
 
@@ -46,18 +60,54 @@ def stream_gate(
     key: str = "change_set",
     options: ScanOptions = ScanOptions(),
     rules: Sequence[CustomRule] = (),
+    secrets: DataFrame | None = None,
+    allowlist: DataFrame | None = None,
+    journal: str | None = None,
 ) -> DataStreamWriter:
     """Judge every change set of ``changes(<key>, repo, path, status, content)`` as it arrives.
 
     ``decide`` receives one row per change set of the batch (finding count,
-    blocked, exit status). A change set must arrive within one batch.
-    Two change sets of one batch may touch the same path, so the change set
-    takes the repository's place while its files are scanned.
+    blocked, exit status). ``secrets`` and ``allowlist`` are per repository, as
+    in a scan. A change set may arrive over several batches: each batch decides
+    anew over all findings it has brought so far, so the last decision of a
+    change set is the one that holds and no later one is milder. The findings
+    (places, no values) are kept in a journal folder, by batch, so a batch that
+    is run again replaces its own; without ``journal`` each query has its own.
     """
+    folder = journal or fresh_path(changes.sparkSession, "gate-journal")
 
     def judge(batch: DataFrame, batch_id: int) -> None:
-        keyed = batch.withColumn("repo", F.col(key).cast("string"))
-        findings = scan_change_set(keyed, options, rules)
-        decide(gate_decision(keyed, findings).withColumnRenamed("repo", key), batch_id)
+        counted = _count_by_change_set(batch, key, options, rules, secrets, allowlist)
+        counted.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+        so_far = batch.sparkSession.read.parquet(folder).where(F.col("batch") <= batch_id)
+        arrived = so_far.where(F.col("batch") == batch_id).select(key)
+        totals = so_far.join(arrived, key, "left_semi").groupBy(key).agg(F.sum("findings").alias("findings"))
+        decide(decide_by_count(totals, [key]), batch_id)
 
     return changes.writeStream.foreachBatch(judge)
+
+
+def _count_by_change_set(
+    batch: DataFrame,
+    key: str,
+    options: ScanOptions,
+    rules: Sequence[CustomRule],
+    secrets: DataFrame | None,
+    allowlist: DataFrame | None,
+) -> DataFrame:
+    """``<key>, findings`` of every change set of a batch, those without findings included.
+
+    Two change sets may touch the same path, so the pair of change set and
+    repository stands for the repository while files are scanned. Allowlists
+    are applied before, and env values are handed to each pair.
+    """
+    pair = F.to_json(F.struct(F.col(key).alias("k"), F.col("repo").alias("r")), {"ignoreNullFields": "false"})
+    pairs = batch.select(key, "repo").distinct().withColumn("pair", pair)
+    files = batch.where(F.col("status").isin(*SCANNABLE_STATUSES))
+    if allowlist is not None:
+        files = apply_allowlist(files, allowlist, options)
+    files = files.withColumn("repo", pair).select("repo", "path", "content")
+    if secrets is not None:
+        secrets = pairs.join(secrets, "repo").select(F.col("pair").alias("repo"), "ord", "value")
+    found = scan_files(files, options, rules, secrets).groupBy(F.col("repo").alias("pair")).agg(F.count("*").alias("n"))
+    return pairs.join(found, "pair", "left").groupBy(key).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("findings"))

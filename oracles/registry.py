@@ -57,7 +57,13 @@ SQL["parse_raw_log"] = (
 )
 
 SQL["load_dotenv_files"] = (
-    f"SELECT repo, path FROM ({corpora.planted_paths.sql()}) WHERE {s.is_dotenv()} AND {s.env_searched()} AND length <= 1048576"
+    f"SELECT repo, path FROM ({corpora.planted_paths.sql()}) WHERE {s.is_dotenv()} AND {s.env_searched()} "
+    f"AND length <= 1048576 AND {s.env_depth()} <= 5"
+)
+
+SQL["skipped_dotenv_files"] = (
+    f"SELECT repo, CASE WHEN {s.env_depth()} > 5 THEN 'env file too deep' ELSE 'env file too large' END AS caveat, count(*) AS n "
+    f"FROM ({corpora.planted_paths.sql()}) WHERE {s.is_dotenv()} AND {s.env_searched()} AND (length > 1048576 OR {s.env_depth()} > 5) GROUP BY ALL"
 )
 
 SQL["load_allowlist"] = (
@@ -380,6 +386,9 @@ SQL["scan_change_set"] = _places(
 # --- streaming ---------------------------------------------------------------
 
 SQL["stream_scan"] = _places(_LINES)
-SQL["stream_first_seen"] = f"SELECT DISTINCT repo, blob, path FROM ({corpora.planted_changes.sql()})"
+SQL["stream_first_seen"] = (
+    f"SELECT DISTINCT repo, blob, path FROM ({corpora.planted_changes.sql()}) "
+    "WHERE status <> 'D' AND blob <> repeat('0', 40) AND new_mode IN ('100644', '100755', '120000')"
+)
 SQL["stream_introduced"] = query(_HISTORY[:2], "SELECT repo, blob, path, commit_index FROM versions")
 SQL["stream_gate"] = SQL["gate"].replace("SELECT repo, coalesce(n, 0) AS findings, coalesce", "SELECT repo AS change_set, coalesce(n, 0) AS findings, coalesce")

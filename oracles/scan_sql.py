@@ -117,7 +117,11 @@ def filename_ord(path: str = "path") -> str:
 def env_searched(path: str = "path") -> str:
     parts = f"list_filter(string_split(lower({path}), '/'), lambda s: s <> '')"
     directories = f"({parts})[1:len({parts}) - 1]"
-    return f"(len({parts}) - 1 <= 5 AND NOT list_has_any({directories}, {listed(ENV_SKIP_DIRECTORIES)}))"
+    return f"(NOT list_has_any({directories}, {listed(ENV_SKIP_DIRECTORIES)}))"
+
+
+def env_depth(path: str = "path") -> str:
+    return f"(len(list_filter(string_split({path}, '/'), lambda s: s <> '')) - 1)"
 
 
 # --- keyword assignments ---------------------------------------------------
@@ -228,9 +232,8 @@ def identifier(token: str) -> str:
 
 
 def binary(content: str = "content") -> str:
-    head = f"substr({content}, 1, 8000)"
     control = "[" + chr(92) + "x01-" + chr(92) + "x08" + chr(92) + "x0E-" + chr(92) + "x1F]"
-    return f"(contains({head}, chr(0)) OR {count(head, control)} / greatest(length({head}), 1) > 0.3)"
+    return f"(contains({content}, chr(0)) OR {count(content, control)} / greatest(length({content}), 1) > 0.3)"
 
 
 # --- dotenv ----------------------------------------------------------------

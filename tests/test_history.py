@@ -1,11 +1,12 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from leakscan.operators import allowlist, history, report
-from leakscan.options import ScanOptions
-from leakscan.plans.history_scan import scan_history
-from leakscan.sources.raw_log import parse_raw_log
+from leakscan.options import MAX_BLOB_BYTES, ScanOptions
+from leakscan.plans.history_scan import blob_hits, scan_history, wanted_blobs
+from leakscan.sources.raw_log import parse_log_parts, parse_raw_log
 
 LEAK = b"DB_PASS=qwspl@558x\n"
 CHANGES = (
@@ -68,7 +69,8 @@ def test_one_content_at_many_paths_is_judged_by_each_path(spark):
 
 
 def test_nothing_is_skipped_silently(spark):
-    cap = ScanOptions().max_blob_bytes
+    cap = MAX_BLOB_BYTES
+    limited = ScanOptions(max_blob_bytes=cap)
     changes, blobs, head = _tables(
         spark,
         [_change(0, "dump.sql", "big"), _change(0, "a", "ok"), _change(1, "gone", "missing"), _change(1, "unread", "null"),
@@ -76,7 +78,7 @@ def test_nothing_is_skipped_silently(spark):
         [("big", cap + 1, None), ("ok", cap, b"x"), ("null", 5, None), ("big2", cap + 1, None)],
     )
     entries = allowlist.parse_allowlist(spark.createDataFrame([("r", 1, "^fixtures/")], "repo string, ord int, text string"))
-    result = scan_history(changes, blobs, head, allowlist=entries)
+    result = scan_history(changes, blobs, head, limited, allowlist=entries)
     status = {r["path"]: r["status"] for r in result.versions.collect()}
     assert status == {"dump.sql": "oversized", "a": "scan", "gone": "unavailable", "unread": "unavailable",
                       "fixtures/x": "allowlisted", ".env": "unavailable"}
@@ -86,10 +88,30 @@ def test_nothing_is_skipped_silently(spark):
     assert caveats == {"allowlisted": 1, "oversized": 1, "unavailable": 3, "shallow": 1}
     label = report.top_oversized(result.versions).first()
     assert label["label"] == f"dump.sql @ {'0' * 12} (10.0 MB)" and label["more"] == 0
-    audit = scan_history(changes, blobs, head, allowlist=entries, use_allowlist=False)
+    audit = scan_history(changes, blobs, head, limited, allowlist=entries, use_allowlist=False)
     assert {r["path"] for r in audit.versions.where("status = 'oversized'").collect()} == {"dump.sql", "fixtures/x"}
 
 
+def test_without_a_limit_every_size_is_scanned(spark):
+    changes, blobs, head = _tables(spark, [_change(0, "a.txt", "big")], [("big", MAX_BLOB_BYTES + 1, LEAK)])
+    result = scan_history(changes, blobs, head)
+    assert result.findings.count() == 1 and result.versions.where("status = 'oversized'").count() == 0
+
+
+def test_unreferenced_blobs_are_not_scanned(spark):
+    rows = [("used", 9, LEAK), ("hidden", 9, LEAK)] + [(f"free{n}", 9, LEAK) for n in range(50)]
+    changes, blobs, head = _tables(spark, [_change(0, "a.txt", "used"), _change(1, "fixtures/x", "hidden")], rows)
+    entries = allowlist.parse_allowlist(spark.createDataFrame([("r", 1, "^fixtures/")], "repo string, ord int, text string"))
+    versions = history.introduce_versions(changes)
+    flagged = allowlist.flag_allowlisted(versions, entries)
+    for options in (ScanOptions(), ScanOptions(broadcast_limit_bytes=0)):
+        wanted = wanted_blobs(flagged, blobs, options)
+        assert [r["blob"] for r in wanted.collect()] == ["used"]
+        hits = blob_hits(wanted, options)
+        assert {r["blob"] for r in hits.collect()} == {"used"}
+        assert scan_history(changes, blobs, head, options, allowlist=entries).findings.count() == 1
+
+
 def test_audit_ignores_inline_markers(spark):
     text = LEAK.strip() + b" # leakscan:allow\n"
     changes, blobs, head = _tables(spark, [_change(0, "a.txt", "b")], [("b", len(text), text)])
@@ -145,7 +167,7 @@ def _meta(blob, status="A", mode="100644"):
 def test_raw_log_paths_and_merges(spark):
     crafted = "we\x01ird\nname ünïcode.txt"
     parts = [
-        ("r", 0, _log(_meta("x"), "lost", "\x01s1 1600000000", "\n" + _meta("b1"), crafted, _meta("b2"), ":colon", "\x01s2 1500000000",
+        ("r", 0, _log("junk", "\x01s1 1600000000", "\n" + _meta("b1"), crafted, _meta("b2"), ":colon", "\x01s2 1500000000",
                       _meta("b3"), "\x01like-a-header 5")),
         ("r", 1, _log("\x01s2 1500000000", _meta("b4"), "after", "\x01s3 1700000000", "\x01s1 1600000000", _meta("b5"), "again")),
         ("q", 0, _log("\x01s9 1", _meta("b9"), "p") + ":dangling"),
@@ -166,6 +188,18 @@ def test_raw_log_paths_and_merges(spark):
     assert versions.count() == 5
 
 
+def test_records_before_a_header_are_an_error(spark):
+    parts = [("r", 0, _log("\x01s1 1", _meta("b1"), "a")), ("r", 1, _log(_meta("x"), "whose?", "\x01s2 2", _meta("b2"), "b"))]
+    with pytest.raises(Exception, match="does not begin with a commit header: r 1"):
+        parse_raw_log(spark.createDataFrame(parts, "repo string, part int, log string"))
+
+
+def test_logs_are_parsed_without_python(spark):
+    plan = parse_log_parts(spark.createDataFrame([("r", 0, "")], "repo string, part int, log string"))
+    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
+    assert plan.count() == 0
+
+
 def test_unchanged_file_is_one_version(spark):
     changes = spark.createDataFrame(
         [_change(0, "constant", "c")] + [_change(n, "counter", f"b{n}") for n in range(5)] + [_change(4, "constant", "c")], CHANGES

@@ -1,4 +1,5 @@
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +43,49 @@ def test_rules_without_a_hint_still_see_every_line(spark):
     assert sorted((r["line"], r["rule_id"]) for r in found) == [(2, "looks"), (4, "looks"), (4, "plain")]
 
 
+TOKEN = "gh" + "p_" + "a" * 36
+
+
+@pytest.mark.parametrize(
+    "regexes",
+    [["(?:a{100}){100}"], [f"x{n}[0-9]{{500}}" for n in range(200)], ["(?:ab|c){2,}q", "(a{90}){90}", "z{499}"]],
+)
+def test_patterns_that_outgrow_the_gate_cost_no_built_in_finding(spark, regexes):
+    text = json.dumps({"rules": [{"id": f"rule-{n}", "description": "x", "regex": r} for n, r in enumerate(regexes)]})
+    rules = packs.accepted_rules(_pack(spark, text), "p")
+    assert len(rules) == len(regexes)
+    rows = [("r", "a", f"k = 1\n{TOKEN}"), ("r", "b", "z" * 600), ("r", "c", "a" * 10_000), ("r", "d", "x7" + "1" * 500), ("r", "e", "xx ababcq")]
+    found = {(r["path"], r["line"], r["rule_id"]) for r in scan_texts(_files(spark, rows), rules=rules).collect()}
+    assert {f for f in found if f[0] == "a"} == {("a", 2, "github-pat")}
+    expected = {(p, 1, f"rule-{n}") for n, rx in enumerate(regexes) for _, p, t in rows[1:] if re.search(rx, t)}
+    assert {f for f in found if f[2].startswith("rule-")} == expected
+
+
+def test_a_long_line_ends_no_task(spark):
+    text = json.dumps({"rules": [{"id": "loop", "description": "x", "regex": "x(?:a|b)*c"}, {"id": "start", "description": "x", "regex": "^(?:ab?|c)+$", "flags": "i"}]})
+    rules = packs.accepted_rules(_pack(spark, text), "p")
+    assert [r.deep for r in rules] == [True, True]
+    rows = [("r", "a", "x" + "ab" * 60_000 + "c\n" + TOKEN), ("r", "b", "x" + "ab" * 60_000), ("r", "c", "no\nabACcc\nxc abd")]
+    found = sorted((r["path"], r["line"], r["rule_id"]) for r in scan_texts(_files(spark, rows), rules=rules).collect())
+    assert found == [("a", 1, "loop"), ("a", 2, "github-pat"), ("c", 2, "start"), ("c", 3, "loop")]
+
+
+def test_deep_rules_without_a_linear_engine_are_refused(spark):
+    text = json.dumps({"rules": [{"id": "back", "description": "x", "regex": "(?:(a)|b\\1)*c"}, {"id": "nested", "description": "x", "regex": "((y|z){100}){100}"}, {"id": "good", "description": "x", "regex": "(?:ab){3}(?=c)"}]})
+    parsed = _pack(spark, text)
+    assert [r["reason"] for r in packs.rule_errors(parsed).collect()] == ["regex repeats a group in a way that long lines cannot be matched safely"] * 2
+    assert [r.id for r in packs.accepted_rules(parsed, "p")] == ["good"]
+
+
+def test_joined_allowlists_match_like_single_entries(spark):
+    entries = ["^a/", "b$", "(x)y\\1", "(?<n>q)7", "(?<n>w)8", "c.d", "lit[", "#no", "(u|v)w"]
+    parsed = allowlist.parse_allowlist(spark.createDataFrame([("r", 1, "\n".join(entries)), ("s", 1, "only")], "repo string, ord int, text string"))
+    paths = ["a/z", "za/", "xb", "bx", "xyx", "xy", "q7", "w8", "c-d", "lit[0", "uw", "xw", "only"]
+    rows = spark.createDataFrame([(r, p) for r in "rst" for p in paths], "repo string, path string")
+    found = {(r["repo"], r["path"]) for r in allowlist.flag_allowlisted(rows, parsed).where("allowlisted").collect()}
+    assert found == {("r", p) for p in ["a/z", "xb", "xyx", "q7", "w8", "c-d", "lit[0", "uw"]} | {("s", "only")}
+
+
 def test_anchored_rules_match_lines_not_texts(spark):
     text = json.dumps({"rules": [{"id": "anchored", "description": "x", "regex": "^v$"}]})
     rules = packs.accepted_rules(_pack(spark, text), "p")
@@ -168,7 +212,8 @@ def test_env_values_are_found_whichever_way_they_travel(spark):
 
 def test_env_coverage(spark):
     env = [("r", f"p{n}/.env", "API_KEY=serverOrange1234") for n in range(6)] + [("s", ".env", "A=1")]
-    rows = {r["repo"]: r for r in xref.dotenv_coverage(_files(spark, env)).collect()}
+    assert xref.dotenv_coverage(_files(spark, env)).where("repo = 'r'").first()["files"] == [f"p{n}/.env" for n in range(6)]
+    rows = {r["repo"]: r for r in xref.dotenv_coverage(_files(spark, env), shown=4).collect()}
     assert (rows["r"]["files"], rows["r"]["file_count"], rows["r"]["secret_count"], rows["r"]["status"]) == (
         [f"p{n}/.env" for n in range(4)], 6, 1, "PASS")
     assert (rows["s"]["secret_count"], rows["s"]["status"]) == (0, "WARN")

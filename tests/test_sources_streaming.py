@@ -3,10 +3,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from leakscan.operators import packs, xref
+from leakscan.operators import allowlist, packs, xref
 from leakscan.operators.scan import scan_files
 from leakscan.plans.change_set import gate_decision
-from leakscan.sources import readers, workspace, writers
+from leakscan.options import MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH
+from leakscan.sources import readers, tree, workspace, writers
 from leakscan.streaming import stream
 
 LEAK = "DB_PASS=qwspl@558x"
@@ -23,12 +24,27 @@ def _tree(root, files):
 def test_file_tree(spark, tmp_path):
     _tree(tmp_path, {"a/b.txt": LEAK, "win.txt": b"\xff\xfe" + LEAK.encode("utf-16-le"), "big.txt": "x" * 100 + "\n" + LEAK, ".env": "A=1", ".git/x": LEAK, "a/.npmrc": LEAK})
     os.symlink(tmp_path / "win.txt", tmp_path / "link.txt")
-    files = readers.read_file_tree(spark, str(tmp_path), "r", max_bytes=60)
-    listed = [".env", "a/.npmrc", "a/b.txt", "win.txt"]
+    files = readers.read_file_tree(spark, str(tmp_path), "r")
+    listed = [".env", "a/.npmrc", "a/b.txt", "big.txt", "win.txt"]
     assert sorted(r["path"] for r in files.collect()) == listed
     assert sorted(r["path"] for r in scan_files(files).collect()) == listed
 
 
+def test_missing_root_is_an_error(spark, tmp_path):
+    _tree(tmp_path, {"file.txt": LEAK})
+    for root in ("gone", "file.txt"):
+        with pytest.raises(Exception, match="gone|file.txt"):
+            readers.read_file_tree(spark, str(tmp_path / root), "r").collect()
+
+
+def test_reads_are_balanced_by_bytes(spark, tmp_path):
+    _tree(tmp_path, {f"d{n % 3}/f{n}.txt": "x" * 1000 for n in range(60)})
+    listed = tree.list_tree(spark, str(tmp_path))
+    dealt = tree.balanced_by_bytes(listed, 5000)
+    sizes = [r["n"] for r in dealt.groupBy(F.spark_partition_id()).agg(F.sum("length").alias("n")).collect()]
+    assert sum(sizes) == 60_000 and len(sizes) >= 6 and max(sizes) <= 20_000
+
+
 def test_env_files(spark, tmp_path):
     _tree(
         tmp_path,
@@ -42,9 +58,15 @@ def test_env_files(spark, tmp_path):
             "big/.env": "X_SECRET=" + "y" * (1024 * 1024) + "\n",
         },
     )
-    env = readers.read_dotenv_files(spark, str(tmp_path), "r")
+    env = readers.read_dotenv_files(spark, str(tmp_path), "r", MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH)
     assert sorted(r["path"] for r in env.collect()) == ["a/b/c/d/e/.env", "server/.env"]
     assert xref.dotenv_secrets(env).count() == 2
+    everything = readers.read_dotenv_files(spark, str(tmp_path), "r")
+    assert sorted(r["path"] for r in everything.collect()) == ["a/b/c/d/e/.env", "a/b/c/d/e/f/.env", "big/.env", "server/.env"]
+    listed = tree.list_tree(spark, str(tmp_path)).withColumn("repo", F.lit("r"))
+    skipped = readers.skipped_dotenv_files(listed, MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH)
+    assert {r["caveat"]: r["n"] for r in skipped.collect()} == {"env file too deep": 1, "env file too large": 1}
+    assert readers.skipped_dotenv_files(listed).count() == 0
 
 
 def test_allowlist_files(spark):
@@ -104,6 +126,28 @@ def test_stream_scan_and_gate(spark, tmp_path):
     assert found == {"c1": (1, 1), "c2": (0, 0), "c3": (1, 1)}
 
 
+def test_gate_with_allowlist_and_env_values_over_batches(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "change_set string, repo string, path string, status string, content string"
+    value = "Sup3rOrangeMonoValue"
+    parts = [
+        [("c1", "r", "a.txt", "A", "x"), ("c2", "r", "fixtures/a.txt", "A", LEAK), ("c2", "s", "b.txt", "A", f"k={value}")],
+        [("c1", "r", "b.txt", "A", f"it is '{value}'"), ("c3", "s", "fixtures/a.txt", "A", LEAK)],
+        [("c1", "r", "c.txt", "A", "clean after all"), (None, "r", "c.txt", "A", "x")],
+    ]
+    secrets = spark.createDataFrame([("r", "1", value)], "repo string, ord string, value string")
+    entries = allowlist.parse_allowlist(spark.createDataFrame([("r", 1, "^fixtures/")], "repo string, ord int, text string"))
+    decisions = {}
+    for part in parts:
+        _arriving(spark, folder, part, schema)
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        writer = stream.stream_gate(
+            source, lambda rows, n: decisions.update({(n, r["change_set"]): r["findings"] for r in rows.collect()}),
+            secrets=secrets, allowlist=entries, journal=str(tmp_path / "journal"),
+        )
+        writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    assert decisions == {(0, "c1"): 0, (0, "c2"): 0, (1, "c1"): 1, (1, "c3"): 1, (2, "c1"): 1}
+
+
 def test_stream_first_seen_and_introduced(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = "repo string, blob string, path string, seen timestamp, commit_index long, status string, new_mode string"
@@ -112,11 +156,13 @@ def test_stream_first_seen_and_introduced(spark, tmp_path):
         F.timestamp_seconds(F.lit(1700000000) + F.col("id")).alias("seen"), (100 - F.col("id")).alias("commit_index"),
         F.lit("M").alias("status"), F.lit("100644").alias("new_mode"),
     )
+    deleted = rows.limit(1).withColumns({"blob": F.lit("gone"), "status": F.lit("D")})
+    rows = rows.unionByName(deleted)
     for part in range(2):
         rows.where(F.col("commit_index") % 2 == part).coalesce(1).write.mode("append").parquet(folder)
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     out = str(tmp_path / "out")
-    once = stream.first_seen(source, "seen", "1 day").select("repo", "blob", "path")
+    once = stream.first_seen(source, "1 day").select("repo", "blob", "path")
     once.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination()
     assert spark.read.parquet(out).count() == 4
 
