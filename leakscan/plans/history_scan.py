@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from leakscan.functions import paths
 from leakscan.functions.rules import DOTENV_ORD, ENTROPY_ORD, GENERIC_ORD
 from leakscan.functions.text import decode_blob
-from leakscan.operators import history
+from leakscan.operators import history, report
 from leakscan.operators.allowlist import flag_allowlisted
 from leakscan.operators.lookup import fits_broadcast, hot_salted_join
 from leakscan.operators.scan import GENERIC_CODE_ORD, HITS, CustomRule, name_rules, text_hits
@@ -27,12 +27,26 @@ class HistoryScan:
     """Tables of one history scan. ``versions`` has a status and hits per version.
 
     ``versions`` is written out once; findings and coverage only read it.
+    ``rule_errors`` and ``shallow`` are what the caller knows of refused rules
+    and cut-off histories, so that ``caveats`` is complete without more input.
     """
 
     commits: DataFrame
     versions: DataFrame
     findings: DataFrame
     coverage: DataFrame
+    rule_errors: DataFrame | None = None
+    shallow: DataFrame | None = None
+
+    @property
+    def caveats(self) -> DataFrame:
+        """``repo, caveat, n`` for everything that was not scanned."""
+        return report.caveats(self.coverage, self.rule_errors, self.shallow)
+
+    @property
+    def oversized(self) -> DataFrame:
+        """Every version left out for its size, in walk order per repository."""
+        return report.top_oversized(self.versions)
 
 
 def blob_hits(
@@ -190,12 +204,16 @@ def scan_history(
     allowlist: DataFrame | None = None,
     use_allowlist: bool = True,
     commits: DataFrame | None = None,
+    rule_errors: DataFrame | None = None,
+    shallow: DataFrame | None = None,
 ) -> HistoryScan:
     """Scan every version in ``changes`` and say what was not scanned.
 
     ``use_allowlist=False`` audits the repository against its own wishes:
     neither its allowlist nor inline markers count. ``commits`` is the list of
     walked commits; commits without any change row are otherwise unknown.
+    ``rule_errors`` (refused rules) and ``shallow(repo, shallow)`` are passed on
+    into the caveats.
     """
     if not use_allowlist:
         allowlist, options = None, replace(options, ignore_inline_allow=True)
@@ -203,4 +221,4 @@ def scan_history(
     versions = materialise(history.introduce_versions(changes), "versions")
     scanned = materialise(scan_versions(versions, blobs, options, rules, secrets, allowlist), "scanned")
     findings = history.flag_in_head(version_findings(scanned, rules), head_tree)
-    return HistoryScan(walked, scanned, findings, history_coverage(walked, scanned))
+    return HistoryScan(walked, scanned, findings, history_coverage(walked, scanned), rule_errors, shallow)

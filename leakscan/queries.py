@@ -20,7 +20,7 @@ from leakscan.operators.lookup import spread_small_input
 from leakscan.options import MAX_BLOB_BYTES, MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH, ScanOptions
 from leakscan.plans import change_set
 from leakscan.plans.history_scan import HistoryScan, scan_history
-from leakscan.sources import raw_log, readers
+from leakscan.sources import raw_log, readers, writers
 from leakscan.sources.workspace import fresh_path, materialise
 from leakscan.streaming import stream
 
@@ -203,6 +203,38 @@ def _allow_files(spark: SparkSession, sf_dir: str, staged: bool) -> DataFrame:
     return rows.select(F.concat(F.lit("nation"), F.col("s_suppkey").cast("string")).alias("repo"), name.alias("path"), content.alias("content"))
 
 
+@query
+def read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-01: files written to a directory tree, listed and read back."""
+    root = fresh_path(spark, "tree")
+    written = stored_corpus(spark, sf_dir, "planted_paths").select("repo", "k", F.concat(F.lit("content of "), "path").alias("value"))
+    written.write.partitionBy("repo", "k").text(root)
+    files = readers.read_file_tree(spark, root, "tree").where(F.col("path").endswith(".txt"))
+    part = lambda name: F.regexp_extract("path", f"(?:^|/){name}=([^/]*)/", 1)
+    return files.select(
+        part("repo").alias("repo"), part("k").cast("bigint").alias("k"), F.md5(F.rtrim("content", F.lit("\n")).cast("binary")).alias("digest")
+    )
+
+
+@query
+def load_rule_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-06: pack files at a trusted location, read and judged; how often each reason occurs."""
+    root = fresh_path(spark, "packs")
+    _rule_packs(spark, sf_dir).where(F.trim("text") != "").write.partitionBy("pack").text(root)
+    parsed = packs.parse_rule_packs(readers.read_rule_packs(spark, root))
+    return parsed.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query
+def write_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-08: findings written as a report and read back; only its columns are there."""
+    out = fresh_path(spark, "report")
+    findings = scan.scan_texts(stored_corpus(spark, sf_dir, "planted_lines")).where(F.col("rule_ord").between(101, 140))
+    writers.write_findings(findings.withColumn("value", F.lit("matched")), out)
+    back = spark.read.parquet(out)
+    return _places(back).withColumn("columns", F.lit(",".join(sorted(back.columns))))
+
+
 @query
 def load_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-07: allowlist files per repository, the staged version first."""
@@ -698,10 +730,22 @@ def findings_by_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.findings_by_rule(scan.scan_files(stored_corpus(spark, sf_dir, "planted_lines")))
 
 
+def _every_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Planted content and names of every kind; repositories named after their kind, but those with env values."""
+    own = lambda files, kind: files.select(F.concat(F.lit(f"{kind}/"), "repo").alias("repo"), "path", "content")
+    files = own(entropy_files(spark, sf_dir), "entropy")
+    for kind in ("lines", "context", "k8s", "generic"):
+        files = files.unionByName(own(stored_corpus(spark, sf_dir, f"planted_{kind}"), kind))
+    names = stored_corpus(spark, sf_dir, "planted_paths").withColumn("content", F.lit(None).cast("string"))
+    users = stored_corpus(spark, sf_dir, "planted_users").select("repo", "path", "content")
+    return files.unionByName(own(names, "paths")).unionByName(users)
+
+
 @query
 def findings_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-53 by layer, over the planted lines."""
-    return report.findings_by_layer(scan.scan_files(stored_corpus(spark, sf_dir, "planted_lines")))
+    """O-53 by layer, over planted content for every layer and planted file names."""
+    files = _every_layer(spark, sf_dir)
+    return report.findings_by_layer(scan.scan_files(files, secrets=xref.dotenv_secrets(stored_corpus(spark, sf_dir, "planted_env"))))
 
 
 @query
@@ -742,8 +786,9 @@ def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def scan_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-70 over every conversation turn, per-rule counts by role."""
-    findings = scan.scan_texts(conversation_files(spark, sf_dir))
+    """O-70 over every conversation turn, a third of them with a planted assignment, per-rule counts by role."""
+    planted = F.when(F.pmod(F.regexp_extract("path", "[0-9]+", 0).cast("bigint"), F.lit(3)) == 0, F.concat(F.lit("\nDB_PASS=z"), F.substring(F.md5("content"), 1, 12))).otherwise("")
+    findings = scan.scan_texts(conversation_files(spark, sf_dir).withColumn("content", F.concat("content", planted)))
     return findings.groupBy("repo", "rule_id").agg(F.count("*").alias("findings"))
 
 

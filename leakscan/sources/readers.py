@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leakscan.functions import paths
 from leakscan.functions.text import decode_blob
 from leakscan.operators.history import SCANNABLE_STATUSES
-from leakscan.sources.tree import list_tree, read_contents
+from leakscan.sources.tree import list_tree, read_contents, resolve_root
 
 # Allowlist files at the top of a repository, in reading order.
 ALLOWLIST_FILES = (".leakscanignore", ".gitleaksignore")
@@ -94,6 +94,12 @@ def select_allowlist_texts(
 
 
 def read_rule_packs(spark: SparkSession, location: str) -> DataFrame:
-    """``rule_packs(pack, text)``, one row per JSON file at a trusted location."""
-    raw = spark.read.text(location, wholetext=True).select("*", F.col("_metadata.file_name").alias("pack"))
-    return raw.select("pack", F.col("value").alias("text"))
+    """``rule_packs(pack, text)``, one row per JSON file in or below a trusted folder.
+
+    A pack is named by its path below the folder, so no two share a name. A
+    folder that is missing raises.
+    """
+    root = resolve_root(spark, location).rstrip("/") + "/"
+    raw = spark.read.text(location, wholetext=True, recursiveFileLookup=True).select("value", "_metadata.file_path")
+    place = F.regexp_replace("file_path", "^file:/+", "file:///")
+    return raw.select(F.replace(place, F.lit(root), F.lit("")).alias("pack"), F.col("value").alias("text"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,12 +30,32 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the intermediate tables that are written inside.
+
+    For whole jobs: write or collect the results before leaving.
+    """
+    before = len(_written)
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        while len(_written) > before:
+            path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: later steps neither repeat the work nor lose it with an
-    executor.
+    executor. The table stays until the enclosing ``scratch`` ends.
     """
     path = fresh_path(df.sparkSession, name)
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

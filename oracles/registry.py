@@ -66,6 +66,8 @@ SQL["skipped_dotenv_files"] = (
     f"FROM ({corpora.planted_paths.sql()}) WHERE {s.is_dotenv()} AND {s.env_searched()} AND (length > 1048576 OR {s.env_depth()} > 5) GROUP BY ALL"
 )
 
+SQL["read_tree"] = f"SELECT repo, k, md5(concat('content of ', path)) AS digest FROM ({corpora.planted_paths.sql()})"
+
 SQL["load_allowlist"] = (
     "SELECT concat('nation', cast(s_suppkey AS varchar)) AS repo, cast(CASE WHEN s_suppkey % 2 = 0 THEN 1 ELSE 2 END AS bigint) AS ord, "
     "concat(CASE WHEN s_suppkey % 3 = 0 THEN 'staged ' ELSE 'working ' END, s_name) AS text "
@@ -158,12 +160,15 @@ SQL["parse_rule_pack"] = (
     "UNION ALL SELECT concat('pack', cast(k AS varchar)), 0, 'pack', reason FROM refused WHERE reason IS NOT NULL"
 )
 
+SQL["load_rule_packs"] = f"SELECT reason, count(*) AS n FROM ({SQL['parse_rule_pack']}) GROUP BY reason"
+
 # --- line and context rules --------------------------------------------------
 
 _LINES = corpora.planted_lines.sql()
 _CONTEXT = corpora.planted_context.sql()
 _K8S = corpora.planted_k8s.sql()
 SQL["scan_provider"] = _places(_LINES, file_rules=False, layers=("provider",))
+SQL["write_findings"] = f"SELECT *, 'description,line,path,repo,rule_id,rule_ord' AS columns FROM ({SQL['scan_provider']})"
 SQL["scan_custom"] = _scan(
     _LINES,
     "SELECT repo, path, cast(line AS bigint) AS line, 'team-name' AS rule_id FROM live WHERE regexp_matches(text, '(?i)\\bcustomer#0+[1-9][0-9]*$') "
@@ -350,7 +355,23 @@ SQL["finding_lines"] = _scan(
     f"SELECT repo, path, concat('[', rule_id, '] ', description, ' (', CASE WHEN line > 0 THEN concat('line ', cast(line AS varchar)) ELSE 'file' END, ')') AS text FROM {_NAMED}",
 )
 SQL["findings_by_rule"] = _scan(_LINES, f"SELECT rule_id, count(*) AS findings FROM {_NAMED} GROUP BY rule_id")
-SQL["findings_by_layer"] = _scan(_LINES, f"SELECT layer, count(*) AS findings FROM {_NAMED} GROUP BY layer")
+_EVERY_LAYER = " UNION ALL ".join(
+    f"SELECT concat('{kind}/', repo) AS repo, path, {content} AS content FROM ({files})"
+    for kind, files, content in (
+        ("entropy", ENTROPY_FILES, "content"),
+        ("lines", _LINES, "content"),
+        ("context", corpora.planted_context.sql(), "content"),
+        ("k8s", corpora.planted_k8s.sql(), "content"),
+        ("generic", _GENERIC, "content"),
+        ("paths", corpora.planted_paths.sql(), "NULL"),
+    )
+)
+SQL["findings_by_layer"] = _scan(
+    f"{_EVERY_LAYER} UNION ALL SELECT repo, path, content FROM ({_USERS})",
+    f"SELECT layer, count(*) AS findings FROM {_NAMED} GROUP BY layer",
+    _SECRETS,
+    secrets_from="env_secrets",
+)
 SQL["findings_by_repo_rule"] = _scan(_LINES, f"SELECT repo, rule_id, count(*) AS findings FROM {_NAMED} GROUP BY ROLLUP (repo, rule_id)")
 _DECISION = (
     "SELECT repo, coalesce(n, 0) AS findings, coalesce(n, 0) > 0 AS blocked, cast(CASE WHEN n > 0 THEN 1 ELSE 0 END AS bigint) AS exit_code "
@@ -364,7 +385,8 @@ SQL["merge_findings"] = _scan(
 SQL["scan_text"] = _places(DOCUMENTS, file_rules=False)
 SQL["scan_pages"] = _places(PAGES, file_rules=False)
 SQL["scan_conversations"] = _scan(
-    CONVERSATIONS, f"SELECT repo, rule_id, count(*) AS findings FROM {_NAMED} GROUP BY repo, rule_id", file_rules=False
+    f"SELECT repo, path, concat(content, CASE WHEN cast(regexp_extract(path, '[0-9]+') AS bigint) % 3 = 0 "
+    f"THEN concat(chr(10), 'DB_PASS=z', substr(md5(content), 1, 12)) ELSE '' END) AS content FROM ({CONVERSATIONS})", f"SELECT repo, rule_id, count(*) AS findings FROM {_NAMED} GROUP BY repo, rule_id", file_rules=False
 )
 SQL["findings_by_label"] = _scan(
     DOCUMENTS,

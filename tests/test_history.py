@@ -86,6 +86,10 @@ def test_nothing_is_skipped_silently(spark):
     shallow = spark.createDataFrame([("r", True)], "repo string, shallow boolean")
     caveats = {r["caveat"]: r["n"] for r in report.caveats(result.coverage, shallow=shallow).collect()}
     assert caveats == {"allowlisted": 1, "oversized": 1, "unavailable": 3, "shallow": 1}
+    errors = spark.createDataFrame([("p", "rule 1", "not an object")], "pack string, where string, reason string")
+    known = scan_history(changes, blobs, head, limited, allowlist=entries, rule_errors=errors, shallow=shallow)
+    assert {r["caveat"]: r["n"] for r in known.caveats.collect()} == {**caveats, "invalid rules": 1}
+    assert [r["position"] for r in known.oversized.collect()] == [1]
     label = report.top_oversized(result.versions).first()
     assert label["label"] == f"dump.sql @ {'0' * 12} (10.0 MB)" and label["more"] == 0
     audit = scan_history(changes, blobs, head, limited, allowlist=entries, use_allowlist=False)

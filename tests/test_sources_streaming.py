@@ -96,6 +96,16 @@ def test_writer_lets_no_value_through(spark, tmp_path, fmt):
     assert back.count() == 1 and "value" not in back.columns
 
 
+def test_scratch_tables_are_deleted(spark):
+    kept = workspace.materialise(spark.range(3))
+    with workspace.scratch(spark):
+        gone = workspace.materialise(spark.range(4))
+        assert gone.count() == 4
+        (path,) = {os.path.dirname(f).removeprefix("file://") for f in gone.inputFiles()}
+        assert os.path.isdir(path)
+    assert not os.path.exists(path) and kept.count() == 3
+
+
 def test_checkpoint_folder_comes_from_the_session(spark):
     assert workspace.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
