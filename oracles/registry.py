@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from leakscan import corpora
-from leakscan.operators.history import NULL_BLOB
-from leakscan.queries import _PATTERNS
 from oracles import scan_sql as s
+from oracles.fixed import CYCLED_PATTERNS, NULL_BLOB
 from oracles.scan_sql import matches, query, text
 
 DOCUMENTS = "SELECT source AS repo, concat('src/', source, '/', cast(doc_id AS varchar), '.txt') AS path, text AS content FROM documents"
@@ -117,7 +116,7 @@ SQL["inline_allowed"] = query(
 
 _PATTERN_ROWS = (
     f"SELECT k, CASE WHEN k % 7 = 0 THEN concat(p, repeat('x', 195)) ELSE p END AS pattern FROM (SELECT p_partkey AS k, "
-    f"{s.listed(_PATTERNS)}[p_partkey % {len(_PATTERNS)} + 1] AS p FROM part)"
+    f"{s.listed(CYCLED_PATTERNS)}[p_partkey % {len(CYCLED_PATTERNS)} + 1] AS p FROM part)"
 )
 _RISKY = f"(length(pattern) > 200 OR {matches('pattern', chr(92) + '([^)]*[+*][^)]*' + chr(92) + f')[{s.WS}]*(?:[+*]|[{{][0-9]+,[{s.WS}]*[}}])')})"
 SQL["is_risky_pattern"] = f"SELECT k, {_RISKY} AS risky FROM ({_PATTERN_ROWS})"

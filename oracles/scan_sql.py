@@ -6,7 +6,8 @@ needs a look-around is restated over maximal runs or list elements.
 
 from __future__ import annotations
 
-from leakscan.functions.paths import (
+from oracles.fixed import (
+    CATALOGUE,
     CODE_EXTENSIONS,
     DOC_DIRECTORIES,
     DOC_EXTENSIONS,
@@ -15,10 +16,10 @@ from leakscan.functions.paths import (
     GENERATED_DIRECTORIES,
     I18N_DIRECTORIES,
     LOCKFILES,
+    PROVIDER_SHAPES,
     SECRET_FILE_NAMES,
     SECRET_FILE_SUFFIXES,
 )
-from leakscan.functions.rules import PROVIDER_RULES, built_in_catalogue
 
 # The white space class, as RE2 spells it.
 WS = r"\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
@@ -351,7 +352,7 @@ def scan_ctes(
     if "provider" in layers:
         union += [
             f"SELECT repo, path, line, {101 + n} AS rule_ord FROM live WHERE {provider_match(r)}"
-            for n, r in enumerate(PROVIDER_RULES)
+            for n, r in enumerate(PROVIDER_SHAPES)
         ]
     if "context" in layers:
         gcp = (f'"type"[{WS}]*:[{WS}]*"service_account"', f'"private_key(?:_id)?"[{WS}]*:', f'"private_key_id"[{WS}]*:[{WS}]*"[A-Za-z0-9]{{16,}}"')
@@ -383,7 +384,7 @@ def scan_ctes(
     return ctes
 
 
-RULES = "(VALUES " + ", ".join(f"({o}, {text(i)}, {text(d)}, {text(layer)})" for o, i, d, layer in built_in_catalogue()) + ") AS rules(rule_ord, rule_id, description, layer)"
+RULES = "(VALUES " + ", ".join(f"({o}, {text(i)}, {text(d)}, {text(layer)})" for o, i, d, layer in CATALOGUE) + ") AS rules(rule_ord, rule_id, description, layer)"
 
 
 COLUMNS = {"findings": "(repo, path, line, rule_ord)"}
