@@ -47,7 +47,7 @@ WITH hashed AS (
   SELECT html, min(page_id) AS first FROM hashed GROUP BY html
 )
 SELECT h.page_id, CAST(strlen(h.html) AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(range(0, 32), k -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
     CAST(((CAST('0x' || substr(h.hex, CAST(k // 4 * 5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS INTEGER)) & 31) + 1 AS INTEGER), 1)), '') AS payload_digest,
   CASE WHEN h.page_id = f.first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN h.page_id <> f.first THEN f.first END AS refers_to,
@@ -93,6 +93,33 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL["op4_decontaminate"] = r"""
+WITH lowered AS (
+  SELECT doc_id, row_number() OVER () AS row,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), items AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark
+), phrases AS (
+  SELECT DISTINCT item_id, size, array_to_string(words[k : k + size - 1], ' ') AS phrase
+  FROM (SELECT item_id, words, least(len(words), 10) AS size, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS k FROM items WHERE len(words) > 0)
+), places AS (
+  SELECT row, size, k, array_to_string(words[k : k + size - 1], ' ') AS phrase
+  FROM (SELECT row, words, size, unnest(range(1, len(words) - size + 2)) AS k FROM lowered, (SELECT DISTINCT size FROM phrases) WHERE len(words) >= size)
+), found AS (
+  SELECT row, p.size, k, item_id FROM places p JOIN phrases q ON p.phrase = q.phrase AND p.size = q.size
+), hits AS (
+  SELECT row, count(DISTINCT w) AS n FROM (SELECT row, unnest(range(k, k + size)) AS w FROM found) GROUP BY row
+), listed AS (
+  SELECT row, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT row, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY row
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(l.n, 0) AS n_items,
+  sha256(coalesce(l.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM lowered LEFT JOIN hits h USING (row) LEFT JOIN listed l USING (row)
+"""
+
+
 @query
 def op5_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every text of ``documents``, learned from four fifths of the labels."""
