@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from leakscan.functions.dialect import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, WS_CHARS, let
+from leakscan.functions.dialect import NOT_AFTER_WORD, NOT_BEFORE_WORD, WS, WS_CHARS
 from leakscan.functions.text import inline_allowed, split_lines
 
 # The shapes that identify each context and its lines.

@@ -80,8 +80,9 @@ def stream_gate(
         counted = _count_by_change_set(batch, key, options, rules, secrets, allowlist)
         counted.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
         so_far = batch.sparkSession.read.parquet(folder).where(F.col("batch") <= batch_id)
-        arrived = so_far.where(F.col("batch") == batch_id).select(key)
-        totals = so_far.join(arrived, key, "left_semi").groupBy(key).agg(F.sum("findings").alias("findings"))
+        arrived = so_far.where(F.col("batch") == batch_id).select(F.col(key).alias("_now"))
+        # A change set without a name is judged too.
+        totals = so_far.join(arrived, F.col(key).eqNullSafe(F.col("_now")), "left_semi").groupBy(key).agg(F.sum("findings").alias("findings"))
         decide(decide_by_count(totals, [key]), batch_id)
 
     return changes.writeStream.foreachBatch(judge)

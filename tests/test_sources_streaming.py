@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from leakscan.operators import allowlist, packs, xref
 from leakscan.operators.scan import scan_files
-from leakscan.plans.change_set import gate_decision
 from leakscan.options import MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH
 from leakscan.sources import readers, tree, workspace, writers
 from leakscan.streaming import stream
@@ -155,7 +154,7 @@ def test_gate_with_allowlist_and_env_values_over_batches(spark, tmp_path):
             secrets=secrets, allowlist=entries, journal=str(tmp_path / "journal"),
         )
         writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-    assert decisions == {(0, "c1"): 0, (0, "c2"): 0, (1, "c1"): 1, (1, "c3"): 1, (2, "c1"): 1}
+    assert decisions == {(0, "c1"): 0, (0, "c2"): 0, (1, "c1"): 1, (1, "c3"): 1, (2, "c1"): 1, (2, None): 0}
 
 
 def test_stream_first_seen_and_introduced(spark, tmp_path):
