@@ -45,7 +45,8 @@ def simhash(texts: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     cut = texts.select(*key, words.alias("t"))
     size = F.greatest(F.size("t"), F.lit(1))
     # A row without words still stands for its text: its only term is null and weighs nothing.
-    zipped = F.arrays_zip(F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit(None).cast("string"))).alias("a"), F.slice("t", F.lit(2), size).alias("b"), F.slice("t", F.lit(3), size).alias("c"))
+    first = F.when(F.size("t") > 0, F.col("t")).otherwise(F.array(F.lit(None).cast("string")))
+    zipped = F.arrays_zip(first.alias("a"), F.slice("t", F.lit(2), size).alias("b"), F.slice("t", F.lit(3), size).alias("c"))
     terms = cut.select(*key, F.inline(zipped).alias("a", "b", "c"))
     weight = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in "abc"), F.lit(0)).cast("long")
     hashed = terms.select(*key, F.xxhash64("a", "b", "c").alias("h"), weight.alias("w"))
