@@ -218,11 +218,17 @@ def read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def load_rule_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-06: pack files at a trusted location, read and judged; how often each reason occurs."""
+    """O-06: pack files at a trusted location, read and judged; how often each reason occurs over all packs.
+
+    Equal packs are one file, which counts as often as there are of them.
+    """
     root = fresh_path(spark, "packs")
-    _rule_packs(spark, sf_dir).where(F.trim("text") != "").write.partitionBy("pack").text(root)
+    texts = _rule_packs(spark, sf_dir).where(F.trim("text") != "").groupBy("text").agg(F.min("pack").alias("name"), F.count("*").alias("copies"))
+    texts = materialise(texts, "packs")
+    texts.select("text", "name").write.partitionBy("name").text(root)
     parsed = packs.parse_rule_packs(readers.read_rule_packs(spark, root))
-    return parsed.groupBy("reason").agg(F.count("*").alias("n"))
+    named = parsed.withColumn("name", F.regexp_extract("pack", "name=([^/]*)/", 1))
+    return named.join(texts.select("name", "copies"), "name").groupBy("reason").agg(F.sum("copies").alias("n"))
 
 
 @query
