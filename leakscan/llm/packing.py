@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import utf8
+from leakscan.llm.common import by_bytes, utf8
 from leakscan.sources.workspace import materialise
 
 #: Words in which lower case is letter by letter and accents are composed; apostrophes stand apart, as they part words.
@@ -44,7 +44,8 @@ class PackingOptions:
     length: int = 2048
     end_id: int = 0
     group_pieces: int = 100_000  # pieces that one task packs, about
-    cached_words: int = 600_000  # in each Python worker; further words are encoded again each time
+    batch_bytes: int = 4 << 20  # of text that is encoded at once
+    cached_words: int = 300_000  # in each Python worker; further words are encoded again each time
 
 
 class WordEncoder(dict):
@@ -112,17 +113,18 @@ def pieces(docs: DataFrame, options: PackingOptions) -> DataFrame:
         encoder, end = _encoder(options.tokenizer, options.cached_words), np.array([options.end_id], "<u4").tobytes()
         step = 4 * options.length
         for batch in batches:
-            out = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
-                data = memoryview(encoder.encode(text) + end)
-                for k, start in enumerate(range(0, len(data), step)):
-                    part = data[start : start + step]
-                    out.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
+            for some in by_bytes(batch, "text", options.batch_bytes):
+                out = []
+                for doc_id, text in zip(some.column(0).to_pylist(), utf8(some.column(1)), strict=True):
+                    data = memoryview(encoder.encode(text) + end)
+                    for k, start in enumerate(range(0, len(data), step)):
+                        part = data[start : start + step]
+                        out.append((doc_id, k, start // 4, len(part) // 4, zlib.crc32(part)))
+                columns = list(zip(*out, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32"],
+                )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECE_SCHEMA)
 
