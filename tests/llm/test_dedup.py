@@ -240,6 +240,35 @@ def test_every_exact_repeat_is_covered(spark):
     assert need and missed <= 0.02 * need
 
 
+def missed_windows(rows, found):
+    """Words of windows of 50 that two documents have, and that no passage covers."""
+    own = {k: t.split() for k, t in rows}
+    where = {}
+    for k, w in own.items():
+        for p in range(len(w) - 49):
+            where.setdefault(tuple(w[p : p + 50]), []).append((k, p))
+    shared = [x for x in where.values() if len({k for k, _ in x}) > 1]
+    assert shared
+    return sum(len(set(range(p, p + 50)) - found.get(k, set())) for x in shared for k, p in x)
+
+
+def test_repeats_of_lines_that_stand_elsewhere_are_found(spark):
+    lines = [words(906 + k, 25) for k in range(3)]  # no seed spans two of them
+    rows = [(k, f"{words(600 + k, 40)} {lines[k % 3]} {words(700 + k, 40)}") for k in (0, 1, 2, 30, 31, 32)]
+    rows += [(k, f"{words(800 + k, 30)} {' '.join(lines)} {words(820 + k, 30)}") for k in (10, 11, 12, 13)]
+    found = passages_of(spark, rows)
+    assert missed_windows(rows, covered(found)) == 0
+    edges = [(r["a"], r["b"]) for r in found]
+    assert set(union({10, 11, 12, 13}, edges).values()) == {10}
+
+
+def test_no_window_is_missed_among_shuffled_lines(spark):
+    rng = random.Random(12)
+    lines = [words(1500 + k, rng.randrange(8, 30)) for k in range(12)]
+    rows = [(k, " ".join(rng.choice(lines) for _ in range(12))) for k in range(40)]
+    assert missed_windows(rows, covered(passages_of(spark, rows))) == 0
+
+
 def test_chain_prefers_the_collinear(spark):
     options = substring_dedup.PassageOptions()
     pa_, pb = np.array([10, 20, 30, 40, 25]), np.array([110, 120, 131, 141, 5])
