@@ -269,6 +269,31 @@ def test_no_window_is_missed_among_shuffled_lines(spark):
     assert missed_windows(rows, covered(passages_of(spark, rows))) == 0
 
 
+def changed(passage, identity, seed):
+    """``passage`` with other words in some places, not at its ends; every so manyth if ``seed`` is None."""
+    own = passage.split()
+    step, count = round(1 / (1 - identity)), round(len(own) * (1 - identity))
+    for k in range(step - 1, len(own) - 1, step) if seed is None else random.Random(seed).sample(range(1, len(own) - 1), count):
+        own[k] = f"other{k}"
+    return " ".join(own)
+
+
+@pytest.mark.parametrize("identity", [0.8, 0.85, 0.9])
+def test_recall_of_changed_passages(spark, identity):
+    rows, planted = [], {}
+    for k in range(60):
+        passage = words(5000 + k, 50 + k % 3 * 25)
+        rows.append((k, f"{words(6000 + k, 60)} {passage} {words(6100 + k, 60)}"))
+        rows.append((100 + k, f"{words(6200 + k, 30)} {changed(passage, identity, k or None)} {words(6300 + k, 30)}"))
+        planted[k] = range(60, 60 + len(passage.split()))
+    # By construction an alignment of every pair has 50 words or more at this identity.
+    found = passages_of(spark, rows)
+    assert {(r["a"], r["b"]) for r in found} <= {(k, 100 + k) for k in range(60)} and all(r["identity"] >= 0.8 - 1e-9 for r in found)
+    got = covered(found)
+    assert 0 in got and sum(k in got for k in planted) >= 0.95 * len(planted)
+    assert sum(len(set(p) & got.get(k, set())) for k, p in planted.items()) >= 0.85 * sum(map(len, planted.values()))
+
+
 def test_chain_prefers_the_collinear(spark):
     options = substring_dedup.PassageOptions()
     pa_, pb = np.array([10, 20, 30, 40, 25]), np.array([110, 120, 131, 141, 5])
