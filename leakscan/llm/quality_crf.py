@@ -8,7 +8,9 @@ lengths.
 
 The field is fitted on the driver to a bounded sample of labelled documents,
 whose lines carry their document's label: at most ``train_documents`` and
-``train_lines``, the first by a hash of the id. Everything else covers all rows.
+``train_lines``, the first by a hash of the id. Either label may take half of
+both, and what the other leaves; a document gives at most ``document_lines``,
+in pieces spread over it. Everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leakscan.llm.common import by_bytes, utf8
+from leakscan.sources.workspace import materialise
 
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _LETTERS = _UPPER + _UPPER.lower() + bytes(range(0x80, 0x100))
@@ -37,6 +40,7 @@ FEATURES = 3 * _OWN + 1
 class QualityOptions:
     train_documents: int = 6000
     train_lines: int = 120_000
+    document_lines: int = 2000
     window: int = 200  # lines of a training sequence; longer documents are cut for training only
     steps: int = 150
     rate: float = 0.1
@@ -163,37 +167,73 @@ def fit_field(own: np.ndarray, lengths: np.ndarray, labels: np.ndarray, options:
     return LineField(mean, scale, theta[:FEATURES].copy(), theta[FEATURES:-2].reshape(2, 2).copy(), theta[-2:].copy())
 
 
+def shares(sizes: list[int], total: int) -> list[int]:
+    """How much of ``total`` each of two labels may have: half, and what the other has no use for."""
+    return [min(own, max(total // 2, total - other)) for own, other in (sizes, sizes[::-1])]
+
+
+def pieces(lines: int, take: int, window: int) -> list[tuple[int, int]]:
+    """(first, behind the last) line of pieces of at most ``window``, ``take`` lines in all, spread over ``lines``."""
+    take = min(take, lines)
+    count = -(-take // window)
+    starts = [k * window + k * (lines - take) // count for k in range(count)]
+    return [(at, at + min(window, take - k * window)) for k, at in enumerate(starts)]
+
+
+def sample(docs: DataFrame, labels: DataFrame, options: QualityOptions) -> DataFrame:
+    """(doc_id, label, text, take): the texts to learn from, one an id, and how many of their lines."""
+    chosen = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
+    chosen = chosen.where("label = most").join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("label").cast("int").alias("label"))
+    order = (F.xxhash64("doc_id"), "doc_id")
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
+    # At most ``train_documents`` ids of either label: bounded whatever the tables hold.
+    ids = [chosen.where(F.col("label") == k).orderBy(*order).limit(options.train_documents).collect() for k in (0, 1)]
+    ids = [own[:n] for own, n in zip(ids, shares([len(own) for own in ids], options.train_documents), strict=True)]
+    named = spark.createDataFrame([(r["doc_id"], r["label"], at) for own in ids for at, r in enumerate(own)], f"doc_id {kind}, label int, at int")
+    held = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(named), "doc_id")
+    # Rows that share an id count once, with the smallest text.
+    held = materialise(held.groupBy("doc_id").agg(F.first("label").alias("label"), F.first("at").alias("at"), F.min("text").alias("text")), "labelled")
+    lines = F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1
+    sizes: list[list[tuple]] = [[], []]
+    for r in held.select("doc_id", "label", "at", lines.alias("n")).collect():
+        sizes[r["label"]].append((r["at"], r["doc_id"], min(r["n"], options.document_lines)))
+    takes = []
+    for own, left in zip(sizes, shares([sum(x[2] for x in own) for own in sizes], options.train_lines), strict=True):
+        for _, doc_id, n in sorted(own):
+            if left:
+                takes.append((doc_id, min(n, left)))
+                left -= takes[-1][1]
+    taken = spark.createDataFrame(takes, f"doc_id {kind}, take int")
+    return held.join(F.broadcast(taken), "doc_id").select("doc_id", "label", "text", "take")
+
+
 def fit(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityOptions()) -> LineField | None:
     """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, label). None where both labels do not occur.
 
     Labels other than 0 and 1, and ids with both, are not used. The sample is
-    chosen among the ids, so only its texts are read into features.
+    chosen among the ids, so only its texts are read into features; it does not
+    depend on how the tables are stored.
     """
-    chosen = labels.where(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("most"))
-    chosen = chosen.where("label = most").select("doc_id", "label").orderBy(F.xxhash64("doc_id"), "doc_id").limit(options.train_documents)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text", options.batch_bytes):
-                blobs = [document_features(data).tobytes() for data in utf8(part.column(1))]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], ["label", "lines"])
-
-    # At most ``train_documents`` ids: bounded whatever the tables hold.
-    sampled = docs.join(F.broadcast(chosen), "doc_id").select(F.col("label").cast("int").alias("label"), "text")
-    sampled = sampled.mapInArrow(run, "label int, lines binary").limit(2 * options.train_documents)
-    own, lengths, marks, lines = [], [], [], 0
-    for row in sampled.toLocalIterator():
-        if lines >= options.train_lines:
-            break
-        rows = np.frombuffer(row["lines"], np.float32).reshape(-1, _OWN)
-        for start in range(0, len(rows), options.window):
-            own.append(rows[start : start + options.window])
-            lengths.append(len(own[-1]))
+                cuts = []
+                for data, take in zip(utf8(part.column(2)), part.column(3).to_pylist(), strict=True):
+                    rows = document_features(data)
+                    cuts.append([rows[a:b].tobytes() for a, b in pieces(len(rows), take, options.window)])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cuts, pa.list_(pa.binary()))], ["doc_id", "label", "pieces"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    learned = sample(docs, labels, options).mapInArrow(run, f"doc_id {kind}, label int, pieces array<binary>").orderBy("doc_id")
+    own, marks = [], []
+    for row in learned.collect():  # at most ``train_lines`` lines
+        for piece in row["pieces"]:
+            own.append(np.frombuffer(piece, np.float32).reshape(-1, _OWN))
             marks.append(np.full(len(own[-1]), row["label"]))
-            lines += len(own[-1])
     if len({int(x[0]) for x in marks}) < 2:
         return None
-    return fit_field(np.concatenate(own), np.array(lengths), np.concatenate(marks), options)
+    return fit_field(np.concatenate(own), np.array([len(x) for x in own]), np.concatenate(marks), options)
 
 
 def score_batch(texts: list[bytes], field: LineField) -> tuple[np.ndarray, np.ndarray]:

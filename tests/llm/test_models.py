@@ -146,6 +146,23 @@ def test_training_sample_is_bounded(spark):
     assert quality_crf.fit(docs, labels, options) is not None
 
 
+def test_sample_of_lines_is_bounded_and_has_both_labels(spark, monkeypatch):
+    # Stored by label, with more lines than are learned from, and one text that could fill the sample alone.
+    rows = [(k, "\n".join([f"line {k}"] * (5000 if k == 3 else 40)), int(k >= 30)) for k in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string").coalesce(1)
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, label int")
+    options = quality_crf.QualityOptions(train_lines=600, document_lines=100, steps=2)
+    seen = []
+    fit_field = quality_crf.fit_field
+    monkeypatch.setattr(quality_crf, "fit_field", lambda own, lengths, marks, options: seen.append((own, lengths, marks)) or fit_field(own, lengths, marks, options))
+    for stored in (docs, docs.orderBy(F.desc("doc_id")).repartition(4)):
+        assert quality_crf.fit(stored, labels, options) is not None
+    (own, lengths, marks), again = seen
+    assert len(own) == 600 and np.bincount(marks).tolist() == [300, 300] and lengths.max() <= 100
+    assert all((x == y).all() for x, y in zip(seen[0], again, strict=True))
+    assert quality_crf.pieces(1000, 500, 200) == [(0, 200), (366, 566), (733, 833)] and quality_crf.pieces(5, 9, 2) == [(0, 2), (2, 4), (4, 5)]
+
+
 SMALL = pitman_yor.PitmanYorOptions(classes=11, segment_bytes=2000)
 
 
