@@ -230,6 +230,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, options: Decontaminati
     they came in. Either table may be empty. Other columns are not read.
     """
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), "text")
+    items = materialise(items.distinct(), "items")  # equal rows would all be dealt to one block
     blocks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // options.block_bytes))
     docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
     if blocks > 1:  # rows are numbered once, as the blocks' results are put together by them

@@ -85,3 +85,13 @@ def test_drop_contaminated(spark):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(ids, key=str) == sorted([i for i, _ in ODD if i not in (8, 9)], key=str)
+
+
+def test_equal_items_are_sent_once(spark, monkeypatch):
+    benchmark = spark.createDataFrame([(1, words(1, 30))] * 500 + [(k, words(k, 30)) for k in range(2, 12)] + [(None, words(1, 30))] * 3, "item_id long, text string")
+    docs = documents(spark, [(k, f"{words(50 + k, 20)} {words(k, 30)}") for k in range(1, 4)])
+    sent, phrases_of = [], dc.phrases_of
+    monkeypatch.setattr(dc, "phrases_of", lambda items, window: sent.append(len(items)) or phrases_of(items, window))
+    found = dc.find_benchmark(docs, benchmark, dc.DecontaminationOptions(block_bytes=1000)).collect()
+    assert sum(sent) == 12 and 1 < len(sent) < 12
+    assert {(r["doc_id"], tuple(r["items"]), r["n_hit"]) for r in found} == {(k, (str(k),), 30) for k in range(1, 4)}
