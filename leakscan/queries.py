@@ -586,13 +586,13 @@ def _history_allow(changes: DataFrame) -> DataFrame:
     )
 
 
-def _history(spark: SparkSession, sf_dir: str, use_allowlist: bool = True) -> HistoryScan:
+def _history(spark: SparkSession, sf_dir: str, use_allowlist: bool = True, limit: int | None = None) -> HistoryScan:
     changes = _changes(spark, sf_dir)
     return scan_history(
         changes,
         _blobs(spark, sf_dir),
         _head(changes),
-        ScanOptions(max_blob_bytes=MAX_BLOB_BYTES),
+        ScanOptions(max_blob_bytes=limit),
         allowlist=_history_allow(changes),
         use_allowlist=use_allowlist,
     )
@@ -659,7 +659,7 @@ def audit_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def history_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-50 over history: what was and was not scanned."""
-    return _history(spark, sf_dir).coverage
+    return _history(spark, sf_dir, limit=MAX_BLOB_BYTES).coverage
 
 
 @query
@@ -684,14 +684,14 @@ def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def top_oversized(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-55: the first oversized versions of each repository."""
-    rows = report.top_oversized(_history(spark, sf_dir).versions, report.OVERSIZED_SHOWN)
+    rows = report.top_oversized(_history(spark, sf_dir, limit=MAX_BLOB_BYTES).versions, report.OVERSIZED_SHOWN)
     return rows.select("repo", F.col("position").cast("bigint").alias("position"), "label", "more")
 
 
 @query
 def caveats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-59: everything that was not scanned."""
-    scanned = _history(spark, sf_dir)
+    scanned = _history(spark, sf_dir, limit=MAX_BLOB_BYTES)
     shallow = scanned.commits.select("repo").distinct().withColumn("shallow", F.col("repo").endswith("7"))
     errors = packs.rule_errors(packs.parse_rule_packs(_rule_packs(spark, sf_dir)))
     return report.caveats(scanned.coverage, errors, shallow)

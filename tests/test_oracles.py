@@ -6,8 +6,10 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from leakscan import queries
 from leakscan.queries import QUERIES
 from tools.verify import TABLES, rows
 
@@ -45,3 +47,11 @@ def test_query(spark, sql, name):
 
 def test_entry_lists_every_source(spark):
     assert entry.entry(spark).count() == 20
+
+
+def test_finding_queries_scan_blobs_of_any_size(spark, monkeypatch):
+    blobs = queries._blobs
+    expected = queries.scan_whole_history(spark, SF_DIR).count()
+    monkeypatch.setattr(queries, "_blobs", lambda spark, sf_dir: blobs(spark, sf_dir).withColumn("size", F.lit(64 << 20).cast("bigint")))
+    assert queries.scan_whole_history(spark, SF_DIR).count() == expected > 0
+    assert queries.caveats(spark, SF_DIR).where("caveat = 'oversized'").count() > 0
