@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import decontamination, fingerprints, language_id, packing, pitman_yor, quality_crf, simhash_dedup, substring_dedup, token_count, warc
+from leakscan.llm import decontamination, fingerprints, language_id, packing, periodic_runs, pitman_yor, quality_crf, simhash_dedup, substring_dedup, token_count, warc
 from leakscan.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,3 +175,20 @@ def op10_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """log10 probabilities of all ``documents``, learned from six sevenths of them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", (fold("doc_id", 7) == 2).alias("held_out"))
     return pitman_yor.score_texts(docs)
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of words that repeat four times or more in every text of ``documents``, repeats planted in a tenth of them."""
+    found = periodic_runs.periodic_runs(periodic_runs.plant_repeats(table(spark, sf_dir, "documents")))
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"),
+        F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
