@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import decontamination, fingerprints, language_id, packing, periodic_runs, pitman_yor, quality_crf, simhash_dedup, substring_dedup, token_count, warc
+from leakscan.llm import decontamination, fingerprints, language_id, packing, periodic_runs, pitman_yor, quality_crf, sharding, simhash_dedup, substring_dedup, token_count, warc
 from leakscan.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -192,3 +192,18 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(line, "").cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` shuffled into 16 written shards of equal counts, and read back."""
+    found = sharding.sharded(table(spark, sf_dir, "documents"), sharding.ShardOptions(shards=16))
+    return found.select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
