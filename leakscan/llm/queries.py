@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leakscan.llm import decontamination, fingerprints, language_id, packing, periodic_runs, pitman_yor, quality_crf, sharding, simhash_dedup, substring_dedup, token_count, warc
+from leakscan.llm import collocations, decontamination, fingerprints, language_id, packing, periodic_runs, pitman_yor, quality_crf, sharding, simhash_dedup, substring_dedup, token_count, warc
 from leakscan.llm.common import fold, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -207,3 +207,46 @@ def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 phrases of each language of ``documents`` that most exceed what their parts would have."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM (SELECT lang, unnest(pieces) AS piece FROM pieces)
+), grams AS (
+  SELECT lang, m, array_to_string(words[k : k + m - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS k FROM words, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(words) >= m)
+  GROUP BY ALL
+), totals AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM grams WHERE m = 1 GROUP BY lang
+), often AS (
+  SELECT lang, m, phrase, string_split(phrase, ' ') AS w, f FROM grams WHERE f >= 30
+), inside AS (
+  SELECT lang, array_to_string(w[k : k + s - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT lang, w, f, s, unnest(range(1, m - s + 2)) AS k FROM often, (SELECT unnest([2, 3]) AS s) WHERE m > s)
+  GROUP BY ALL
+), kept AS (
+  SELECT o.* FROM often o LEFT JOIN inside i ON o.lang = i.lang AND o.phrase = i.phrase
+  WHERE m >= 2 AND (i.longer IS NULL OR CAST(100 AS HUGEINT) * i.longer < CAST(80 AS HUGEINT) * o.f)
+), cuts AS (
+  SELECT lang, m, phrase, f, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 :], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)
+), priced AS (
+  SELECT c.lang, c.phrase, c.f AS a, h.f AS l, t.f AS r, k, CAST(CAST(2000000 AS HUGEINT) * c.f // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM cuts c JOIN often h ON c.lang = h.lang AND c.head = h.phrase JOIN often t ON c.lang = t.lang AND c.tail = t.phrase
+), lowest AS (
+  SELECT * FROM priced QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
