@@ -73,10 +73,3 @@ def boundary_line(content: Column, needle: Column) -> Column:
             ),
         ),
     )
-
-
-def first_secret_line(content: Column, secrets: Column) -> Column:
-    """Line of the first listed secret value that stands in the text, or null."""
-    present = F.filter(secrets, lambda s: F.contains(content, s))
-    lines = F.transform(present, lambda s: boundary_line(content, s))
-    return F.get(F.filter(lines, lambda n: n.isNotNull()), F.lit(0))

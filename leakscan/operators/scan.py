@@ -29,10 +29,9 @@ from leakscan.functions.rules import (
     java_shape,
 )
 from leakscan.functions.dialect import sql_string
-from leakscan.functions.dotenv import first_secret_line
 from leakscan.functions.text import inline_allowed
 from leakscan.operators import gate
-from leakscan.operators.xref import attach_secrets, xref_lines
+from leakscan.operators.xref import xref_lines
 from leakscan.options import ScanOptions
 
 HITS = "array<struct<line:int,ord:int>>"
@@ -126,7 +125,6 @@ def text_hits(
     both_verdicts: bool = False,
     file_ord: Column | None = None,
     note: Column | None = None,
-    secrets: str | None = None,
 ) -> DataFrame:
     """``keys, line, rule_ord`` for every hit in the ``content`` of ``units``.
 
@@ -147,7 +145,7 @@ def text_hits(
         + flag(as_column(code), gate.CODE)
     )
     # Whole-file hits known before any line is read; null when there are none.
-    carried = {"_note": note, "_file_ord": file_ord, "_secret_line": first_secret_line(content, F.col(secrets)) if secrets else None}
+    carried = {"_note": note, "_file_ord": file_ord}
     carried = {name: value for name, value in carried.items() if value is not None}
     lines = gate.candidate_lines(
         units.withColumns(carried) if carried else units,
@@ -170,8 +168,6 @@ def text_hits(
         file_hits.append(file_hit("_note", F.lit(0), F.col("_note")))
     if "_file_ord" in carried:
         file_hits.append(file_hit("_file_ord", F.lit(0), F.col("_file_ord")))
-    if "_secret_line" in carried:
-        file_hits.append(file_hit("_secret_line", F.col("_secret_line"), F.lit(DOTENV_ORD)))
     file_hits.append(
         F.transform(
             _manifest_lines(application, markers),
@@ -262,9 +258,6 @@ def _checked_hits(
 ) -> DataFrame:
     if secrets is None:
         return _file_hits(files, options, rules, note=note)
-    attached = attach_secrets(files, secrets, options)
-    if attached is not None:
-        return _file_hits(attached, options, rules, note=note, secrets="_secrets")
     matches = xref_lines(files, secrets, ["repo", "path"], options).withColumn("rule_ord", F.lit(DOTENV_ORD))
     return _file_hits(files, options, rules, note=note).unionByName(matches)
 
@@ -276,7 +269,6 @@ def _file_hits(
     *,
     file_rules: bool = True,
     note: Column | None = None,
-    secrets: str | None = None,
 ) -> DataFrame:
     path = F.col("path")
     heuristics = paths.heuristic_exempt(path, options.default_excludes).isNull()
@@ -292,5 +284,4 @@ def _file_hits(
         code=paths.is_code_file(path),
         file_ord=paths.filename_rule_ord(path) if file_rules else None,
         note=note,
-        secrets=secrets,
     )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
-from leakscan.functions.dotenv import first_secret_line, is_dotenv_secret, parse_assignment
+from leakscan.functions.dotenv import WORD, is_dotenv_secret, parse_assignment
 from leakscan.functions.text import split_lines
-from leakscan.operators.lookup import fits_broadcast, salted_join
+from leakscan.operators.anchors import anchor_places, anchored, build_filter, gram_bytes
+from leakscan.operators.lookup import attach
 from leakscan.options import ScanOptions
 
 
@@ -37,57 +40,60 @@ def dotenv_secrets(env_files: DataFrame) -> DataFrame:
     return found.groupBy("repo", "value").agg(F.min(place).alias("ord"))
 
 
-def _arrays(secrets: DataFrame) -> DataFrame:
-    return secrets.groupBy("repo").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("ord", "value"))), lambda s: s.getField("value")).alias(
-            "_secrets"
-        )
-    )
-
-
-def attach_secrets(files: DataFrame, secrets: DataFrame, options: ScanOptions) -> DataFrame | None:
-    """``files`` with the repository's ``_secrets``, or null when they measure
-    too large to be sent to every task."""
-    if not fits_broadcast(secrets, options.broadcast_limit_bytes):
-        return None
-    return files.join(F.broadcast(_arrays(secrets)), "repo", "left")
-
-
-def xref_lines(
-    units: DataFrame, secrets: DataFrame, keys: Sequence[str], options: ScanOptions, chunk: int = 512
-) -> DataFrame:
+def _standing(places: DataFrame) -> DataFrame:
+    """``places`` with before and size of a value: the text that would be it, where it is no part of a longer word."""
+    start = F.col("at") - F.col("before")
+    byte = lambda at: F.rlike(F.substring("around", at, F.lit(1)).cast("string"), F.lit(f"^[{WORD}]$"))
+    inner = (start > 0) & byte(start) & byte(start + 1)
+    behind = start + F.col("size")
+    inner = inner | (behind < F.octet_length("around")) & byte(behind) & byte(behind + 1)
+    whole = places.where((start >= 0) & (behind <= F.octet_length("around"))).where(~inner)
+    ahead = F.substring("around", F.lit(1), start).cast("string")
+    return whole.withColumns({
+        "line": F.col("line") + F.regexp_count(ahead, F.lit("\n")),
+        "value": F.substring("around", start + 1, F.col("size")).cast("string"),
+    })
+
+
+def xref_matches(units: DataFrame, secrets: DataFrame, keys: Sequence[str], options: ScanOptions) -> DataFrame:
+    """``keys, ord, line`` of every place in a unit where a secret value of its repository stands.
+
+    One way for value sets of any size, batch and stream (``anchors``). Places
+    of anchors meet the sizes of the values they may stand for, then the values
+    themselves, both by equality; values that share an anchor are never
+    paired with all its places. A stream knows the values that there were when
+    it began. Rows without a repository and empty values match nothing.
+    """
+    secrets = secrets.where("repo IS NOT NULL AND value <> ''")
+    gram = gram_bytes(secrets)
+    known = anchored(secrets, gram)
+    places = anchor_places(units, keys, build_filter(known, gram)).where("repo IS NOT NULL")
+    spread = [*(k for k in keys if k != "repo"), "at", "line"]
+    # Anchors stand for values of a few sizes each; what lies there is then looked up as a whole.
+    sizes = known.groupBy("repo", "hash").agg(F.collect_set(F.struct("before", "size")).alias("sizes"))
+    sized = attach(places, sizes, ["repo", "hash"], spread, options, "inner")
+    read = _standing(sized.select("*", F.inline("sizes")))
+    return attach(read, secrets.select("repo", "value", "ord"), ["repo", "value"], spread, options, "inner").select(*keys, "ord", "line")
+
+
+def xref_lines(units: DataFrame, secrets: DataFrame, keys: Sequence[str], options: ScanOptions) -> DataFrame:
     """``keys, line`` of each unit that holds a secret value of its repository.
 
-    For secret sets of any size: values travel in chunks of at most ``chunk``,
-    every repository is spread over salt buckets, and the earliest listed
-    secret that matches decides the line.
+    The earliest listed secret that stands in a unit decides its line. Units
+    with the same keys count as one, of a stream: in one batch.
     """
-    # The chunk of a value comes from its hash, so no repository is ever
-    # sorted or numbered in one task.
-    chunks = secrets.groupBy("repo").agg(F.ceil(F.count("*") / chunk).alias("_n"))
-    sized = salted_join(secrets, chunks, ["repo"], ["value"], options.salt_buckets, "inner")
-    numbered = sized.withColumn(
-        "_chunk", F.pmod(F.xxhash64("value"), F.greatest(F.col("_n"), F.lit(1)))
-    )
-    arrays = numbered.groupBy("repo", "_chunk").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "value"))).alias("_secrets")
-    )
-    content = F.col("content")
-    joined = salted_join(
-        units.select(*keys, "content"), arrays, ["repo"], [k for k in keys if k != "repo"], options.salt_buckets, "inner"
-    )
-    matches = F.filter(
-        F.transform(
-            F.filter("_secrets", lambda s: F.contains(content, s.getField("value"))),
-            lambda s: F.struct(
-                s.getField("ord").alias("ord"),
-                first_secret_line(content, F.array(s.getField("value"))).alias("line"),
-            ),
-        ),
-        lambda m: m.getField("line").isNotNull(),
-    )
-    best = joined.select(*keys, F.get(matches, F.lit(0)).alias("m")).where(F.col("m").isNotNull())
-    return best.groupBy(*keys).agg(F.min("m").alias("m")).select(*keys, F.col("m.line").alias("line"))
+    met = xref_matches(units, secrets, keys, options)
+    if not met.isStreaming:
+        return met.groupBy(*keys).agg(F.min(F.struct("ord", "line")).alias("m")).select(*keys, F.col("m.line").alias("line"))
+    # Rows of one unit arrive together: each group is whole within its batch, and nothing is kept of it.
+    schema = met.select(*keys, "line").schema
+
+    def first(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts))
+        best = rows.sort_values(["ord", "line"], kind="stable").iloc[0]
+        yield pd.DataFrame([[*key, best["line"]]], columns=schema.names).astype({"line": "int32"})
+
+    return met.groupBy(*keys).applyInPandasWithState(first, schema, "none int", "append", "NoTimeout")
 
 
 def dotenv_coverage(env_files: DataFrame, shown: int | None = None) -> DataFrame:

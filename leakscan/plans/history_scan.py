@@ -15,7 +15,7 @@ from leakscan.operators import history, report
 from leakscan.operators.allowlist import flag_allowlisted
 from leakscan.operators.lookup import fits_broadcast, hot_salted_join
 from leakscan.operators.scan import GENERIC_CODE_ORD, HITS, CustomRule, name_rules, text_hits
-from leakscan.operators.xref import attach_secrets, xref_lines
+from leakscan.operators.xref import xref_lines
 from leakscan.options import ScanOptions
 from leakscan.sources.workspace import materialise
 
@@ -69,18 +69,11 @@ def blob_hits(
         F.when(F.col("content").isNotNull(), decode_blob(F.col("content"))).alias("content"),
         F.when(F.col("content").isNull(), -1).alias("_absent"),
     )
-    keys, late = ["repo", "blob"], None
-    column = None
-    if secrets is not None:
-        attached = attach_secrets(units, secrets, options)
-        if attached is not None:
-            units, column = attached, "_secrets"
-        else:
-            late = xref_lines(units, secrets, keys, options).withColumn("rule_ord", F.lit(DOTENV_ORD))
-    hits = text_hits(
-        units, keys, options, rules=rules, both_verdicts=True, note=F.col("_absent"), secrets=column
-    )
-    return hits if late is None else hits.unionByName(late)
+    keys = ["repo", "blob"]
+    hits = text_hits(units, keys, options, rules=rules, both_verdicts=True, note=F.col("_absent"))
+    if secrets is None:
+        return hits
+    return hits.unionByName(xref_lines(units, secrets, keys, options).withColumn("rule_ord", F.lit(DOTENV_ORD)))
 
 
 def wanted_blobs(flagged: DataFrame, blobs: DataFrame, options: ScanOptions) -> DataFrame:

@@ -551,7 +551,7 @@ def xref_dotenv(spark: SparkSession, sf_dir: str) -> DataFrame:
 def xref_dotenv_large(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-43 the way it runs when the values are too many to broadcast."""
     secrets = xref.dotenv_secrets(stored_corpus(spark, sf_dir, "planted_env"))
-    found = xref.xref_lines(stored_corpus(spark, sf_dir, "planted_users"), secrets, ["repo", "path"], ScanOptions(), chunk=3)
+    found = xref.xref_lines(stored_corpus(spark, sf_dir, "planted_users"), secrets, ["repo", "path"], ScanOptions(broadcast_limit_bytes=0))
     return found.select("repo", "path", F.col("line").cast("bigint").alias("line"))
 
 
@@ -861,6 +861,15 @@ def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _places(_drain(spark, stream.stream_scan(arriving)))
 
 
+@query
+def stream_env_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-60: env values looked up in files as they arrive, by joins alone."""
+    secrets = xref.dotenv_secrets(stored_corpus(spark, sf_dir, "planted_env"))
+    arriving = corpora.planted_users.of(_stream(spark, sf_dir, "supplier"))
+    found = stream.stream_scan(arriving, ScanOptions(broadcast_limit_bytes=0), secrets=secrets)
+    return _layer(_drain(spark, found), 10)
+
+
 @query
 def stream_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-61: each version once, however often it arrives."""

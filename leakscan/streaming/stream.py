@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming.state import GroupState
 
 from leakscan.operators.allowlist import apply_allowlist
 from leakscan.operators.history import NULL_BLOB, SCANNABLE_MODES, SCANNABLE_STATUSES, VERSION
 from leakscan.operators.scan import CustomRule, scan_files
 from leakscan.options import ScanOptions
+from leakscan.operators.xref import xref_matches
 from leakscan.plans.change_set import decide_by_count
-from leakscan.sources.workspace import fresh_path
 
 
 def stream_scan(
@@ -22,7 +25,10 @@ def stream_scan(
     rules: Sequence[CustomRule] = (),
     secrets: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of each arriving ``files(repo, path, content)`` row; stateless, append."""
+    """Findings of each arriving ``files(repo, path, content)`` row; append, nothing is kept from batch to batch.
+
+    ``secrets`` may be of any size; those known when the stream begins count.
+    """
     return scan_files(files, options, rules, secrets)
 
 
@@ -62,53 +68,79 @@ def stream_gate(
     rules: Sequence[CustomRule] = (),
     secrets: DataFrame | None = None,
     allowlist: DataFrame | None = None,
-    journal: str | None = None,
+    keep_ms: int | None = None,
 ) -> DataStreamWriter:
     """Judge every change set of ``changes(<key>, repo, path, status, content)`` as it arrives.
 
     ``decide`` receives one row per change set of the batch (finding count,
     blocked, exit status). ``secrets`` and ``allowlist`` are per repository, as
-    in a scan. A change set may arrive over several batches: each batch decides
-    anew over all findings it has brought so far, so the last decision of a
-    change set is the one that holds and no later one is milder. The findings
-    (places, no values) are kept in a journal folder, by batch, so a batch that
-    is run again replaces its own; without ``journal`` each query has its own.
+    in a scan. A change set may arrive over several batches: the count of what
+    it has brought so far is kept as its state, so the last decision of a change
+    set is the one that holds and no later one is milder. A batch costs what it
+    brings, however many came before it. State is versioned by batch in the
+    query's checkpoint: a batch that is run again, after a restart too, starts
+    from the same counts and decides the same. A change set that has brought
+    nothing for ``keep_ms`` is forgotten; without a time it is kept. A change set
+    without a name is judged too.
     """
-    folder = journal or fresh_path(changes.sparkSession, "gate-journal")
-
-    def judge(batch: DataFrame, batch_id: int) -> None:
-        counted = _count_by_change_set(batch, key, options, rules, secrets, allowlist)
-        counted.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
-        so_far = batch.sparkSession.read.parquet(folder).where(F.col("batch") <= batch_id)
-        arrived = so_far.where(F.col("batch") == batch_id).select(F.col(key).alias("_now"))
-        # A change set without a name is judged too.
-        totals = so_far.join(arrived, F.col(key).eqNullSafe(F.col("_now")), "left_semi").groupBy(key).agg(F.sum("findings").alias("findings"))
-        decide(decide_by_count(totals, [key]), batch_id)
-
-    return changes.writeStream.foreachBatch(judge)
+    counted = _count_by_change_set(changes, key, options, rules, secrets, allowlist)
+    kind = changes.schema[key].dataType.simpleString()
+
+    def add(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        total, holders = state.get[0] if state.exists else 0, set()
+        for rows in parts:
+            total += int(rows["findings"].sum())
+            holders.update(rows["holder"].dropna())
+        total += len(holders)
+        state.update((total,))
+        if keep_ms is not None:
+            state.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame({"name": list(name), "findings": [total]})
+
+    timeout = "NoTimeout" if keep_ms is None else "ProcessingTimeTimeout"
+    totals = counted.groupBy("name").applyInPandasWithState(add, f"name {kind}, findings long", "findings long", "append", timeout)
+    return decide_by_count(totals.withColumnRenamed("name", key), [key]).writeStream.foreachBatch(decide)
 
 
 def _count_by_change_set(
-    batch: DataFrame,
+    changes: DataFrame,
     key: str,
     options: ScanOptions,
     rules: Sequence[CustomRule],
     secrets: DataFrame | None,
     allowlist: DataFrame | None,
 ) -> DataFrame:
-    """``<key>, findings`` of every change set of a batch, those without findings included.
+    """``name, holder, findings``: rows whose findings, and distinct holders, add up to the findings of each change set.
+
+    One without findings has a row too. A holder is a file with an env value,
+    which is one finding however many places and values there are.
 
     Two change sets may touch the same path, so the pair of change set and
     repository stands for the repository while files are scanned. Allowlists
-    are applied before, and env values are handed to each pair.
+    are applied before. Rows are added up where they are found, before they
+    are exchanged.
     """
+    kind = changes.schema[key].dataType.simpleString()
     pair = F.to_json(F.struct(F.col(key).alias("k"), F.col("repo").alias("r")), {"ignoreNullFields": "false"})
-    pairs = batch.select(key, "repo").distinct().withColumn("pair", pair)
-    files = batch.where(F.col("status").isin(*SCANNABLE_STATUSES))
+    files = changes.where(F.col("status").isin(*SCANNABLE_STATUSES))
     if allowlist is not None:
         files = apply_allowlist(files, allowlist, options)
-    files = files.withColumn("repo", pair).select("repo", "path", "content")
+    files = files.select(pair.alias("pair"), "repo", "path", "content")
+    found = scan_files(files.select(F.col("pair").alias("repo"), "path", "content"), options, rules).select(F.col("repo").alias("pair"))
+    none, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    rows = changes.select(F.col(key).alias("name"), F.lit(None).cast("string").alias("holder"), none.alias("findings"))
+    name = F.from_json("pair", f"k {kind}")["k"].alias("name")
+    rows = rows.unionByName(found.select(name, F.lit(None).cast("string").alias("holder"), one.alias("findings")))
     if secrets is not None:
-        secrets = pairs.join(secrets, "repo").select(F.col("pair").alias("repo"), "ord", "value")
-    found = scan_files(files, options, rules, secrets).groupBy(F.col("repo").alias("pair")).agg(F.count("*").alias("n"))
-    return pairs.join(found, "pair", "left").groupBy(key).agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("findings"))
+        held = xref_matches(files, secrets, ["pair", "repo", "path"], options)
+        rows = rows.unionByName(held.select(name, F.to_json(F.struct("repo", "path")).alias("holder"), none.alias("findings")))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            added = pa.Table.from_batches([batch]).group_by(["name", "holder"]).aggregate([("findings", "sum")])
+            yield from added.select(["name", "holder", "findings_sum"]).rename_columns(["name", "holder", "findings"]).combine_chunks().to_batches()
+
+    return rows.mapInArrow(add_up, f"name {kind}, holder string, findings long")

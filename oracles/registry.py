@@ -407,6 +407,7 @@ SQL["scan_change_set"] = _places(
 # --- streaming ---------------------------------------------------------------
 
 SQL["stream_scan"] = _places(_LINES)
+SQL["stream_env_values"] = SQL["xref_dotenv"]
 SQL["stream_first_seen"] = (
     f"SELECT DISTINCT repo, blob, path FROM ({corpora.planted_changes.sql()}) "
     "WHERE status <> 'D' AND blob <> repeat('0', 40) AND new_mode IN ('100644', '100755', '120000')"

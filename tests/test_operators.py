@@ -1,4 +1,5 @@
 import json
+import random
 import re
 
 import pytest
@@ -210,6 +211,53 @@ def test_env_values_are_found_whichever_way_they_travel(spark):
     assert small.columns == large.columns
 
 
+def _naive_line(content, value):
+    """The line of the first occurrence that is no part of a longer word."""
+    word, at = re.compile("[0-9A-Za-z_]"), content.find(value)
+    while at >= 0:
+        left = not word.match(value[0]) or at == 0 or not word.match(content[at - 1])
+        right = not word.match(value[-1]) or at + len(value) == len(content) or not word.match(content[at + len(value)])
+        if left and right:
+            return content[:at].count("\n") + 1
+        at = content.find(value, at + 1)
+    return None
+
+
+@pytest.mark.parametrize("limit", [32 << 20, 0])
+def test_env_values_of_any_shape_are_found(spark, limit):
+    """Values that share anchors, are symbols only, reach far or overlap, against a search for each."""
+    rng = random.Random(limit)
+    pieces = ["abc", "key_1", "ÄÖ", "漢", "-", "--", ".", "$$", " ", "\n", "x", "production", "q" * 9, "/", "😀"]
+    draw = lambda n: "".join(rng.choices(pieces, k=n))
+    values = sorted({v for v in (draw(rng.randrange(1, 6)).strip() for _ in range(150)) if v and "\n" not in v})
+    values += ["!#" * 300, "production-" + "z9." * 900, "é" * 40, "$", "--production--", "production"]
+    secrets = [(rng.choice("rs"), f"{k:04}", v) for k, v in enumerate(dict.fromkeys(values))]
+    files = [(rng.choice("rst"), f"f{k}", draw(rng.randrange(0, 60))) for k in range(300)]
+    for repo, _, v in secrets[-8:]:
+        files += [(repo, f"at{len(files)}", v), (repo, f"mid{len(files)}", f"a\n\n {v} b"), (repo, f"in{len(files)}", f"a\nx{v}x")]
+    files += [("r", "none", None), ("r", "empty", ""), (None, "nowhere", "production")]
+    expected = set()
+    for repo, path, content in files:
+        lines = [(k, line) for r, k, v in secrets if r == repo and content is not None and (line := _naive_line(content, v))]
+        if lines:
+            expected.add((repo, path, min(lines)[1]))
+    frame = spark.createDataFrame(secrets, "repo string, ord string, value string")
+    found = xref.xref_lines(_files(spark, files), frame, ["repo", "path"], ScanOptions(broadcast_limit_bytes=limit))
+    assert {tuple(r) for r in found.collect()} == expected and len(expected) > 100
+
+
+def test_no_env_values(spark):
+    none = spark.createDataFrame([], "repo string, ord string, value string")
+    assert xref.xref_lines(_files(spark, USERS), none, ["repo", "path"], ScanOptions()).count() == 0
+
+
+def test_content_is_not_exchanged_for_env_values(spark):
+    found = xref.xref_lines(_files(spark, USERS), _secrets(spark), ["repo", "path"], ScanOptions(broadcast_limit_bytes=0))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    above = plan.split("MapInArrow")[0]
+    assert "Join" in above and "content" not in above
+
+
 def test_env_coverage(spark):
     env = [("r", f"p{n}/.env", "API_KEY=serverOrange1234") for n in range(6)] + [("s", ".env", "A=1")]
     assert xref.dotenv_coverage(_files(spark, env)).where("repo = 'r'").first()["files"] == [f"p{n}/.env" for n in range(6)]

@@ -1,11 +1,12 @@
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from leakscan.operators import allowlist, packs, xref
 from leakscan.operators.scan import scan_files
-from leakscan.options import MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH
+from leakscan.options import MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH, ScanOptions
 from leakscan.sources import readers, tree, workspace, writers
 from leakscan.streaming import stream
 
@@ -151,12 +152,69 @@ def test_gate_with_allowlist_and_env_values_over_batches(spark, tmp_path):
         source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
         writer = stream.stream_gate(
             source, lambda rows, n: decisions.update({(n, r["change_set"]): r["findings"] for r in rows.collect()}),
-            secrets=secrets, allowlist=entries, journal=str(tmp_path / "journal"),
+            secrets=secrets, allowlist=entries,
         )
         writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
     assert decisions == {(0, "c1"): 0, (0, "c2"): 0, (1, "c1"): 1, (1, "c3"): 1, (2, "c1"): 1, (2, None): 0}
 
 
+def test_gate_decides_again_alike_and_forgets(spark, tmp_path):
+    """A batch whose commit is lost is run again with the counts before it; its cost doesn't depend on earlier ones."""
+    folder, schema = str(tmp_path / "in"), "change_set long, repo string, path string, status string, content string"
+    seen = []
+
+    def run(checkpoint, **more):
+        source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        writer = stream.stream_gate(source, lambda rows, n: seen.append((n, sorted((r["change_set"], r["findings"]) for r in rows.collect()))), **more)
+        query = writer.option("checkpointLocation", str(tmp_path / checkpoint)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return query
+
+    for n in range(3):
+        _arriving(spark, folder, [(7, "r", f"f{n}.txt", "A", LEAK), (n, "r", "x", "A", "clean")], schema)
+        query = run("cp")
+    assert seen == [(0, [(0, 0), (7, 1)]), (1, [(1, 0), (7, 2)]), (2, [(2, 0), (7, 3)])]
+    assert query.lastProgress["numInputRows"] == 4  # two rows, read for their names and for their content
+    for name in ("2", ".2.crc"):
+        os.remove(tmp_path / "cp" / "commits" / name)
+    seen.clear()
+    run("cp")
+    assert seen == [(2, [(2, 0), (7, 3)])]
+
+
+def test_gate_forgets_change_sets_that_bring_nothing(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "change_set long, repo string, path string, status string, content string"
+    seen = {}
+    _arriving(spark, folder, [(7, "r", "f.txt", "A", LEAK)], schema)
+    source = spark.readStream.schema(schema).parquet(folder)
+    writer = stream.stream_gate(source, lambda rows, n: seen.update({(n, r["change_set"]): r["findings"] for r in rows.collect()}), keep_ms=1)
+    query = writer.option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    try:
+        for wanted in (1, 2):
+            until = time.time() + 60
+            while len(seen) < wanted and time.time() < until:
+                time.sleep(0.5)
+            time.sleep(3)  # batches without rows, in which the time runs out
+            _arriving(spark, folder, [(7, "r", f"g{wanted}.txt", "A", LEAK)], schema)
+    finally:
+        query.stop()
+    assert list(seen.values())[:2] == [1, 1]
+
+
+def test_stream_with_more_values_than_are_sent_to_tasks(spark, tmp_path):
+    folder, schema = str(tmp_path / "in"), "repo string, path string, content string"
+    value = "Sup3rOrangeMonoValue"
+    secrets = spark.createDataFrame([("r", f"{k:05}", f"{value}{k}") for k in range(500)], "repo string, ord string, value string")
+    options = ScanOptions(broadcast_limit_bytes=0)
+    for n in range(2):
+        _arriving(spark, folder, [("r", f"a{n}", f"x\n{value}{n + 3} {value}{n + 1}"), ("s", f"a{n}", f"{value}3"), ("r", f"b{n}", f"{value}{n}0000")], schema)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = str(tmp_path / "out")
+    found = stream.stream_scan(source, options, secrets=secrets)
+    found.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out).awaitTermination()
+    assert sorted((r["path"], r["line"]) for r in spark.read.parquet(out).where("rule_ord = 10").collect()) == [("a0", 2), ("a1", 2)]
+
+
 def test_stream_first_seen_and_introduced(spark, tmp_path):
     folder = str(tmp_path / "in")
     schema = "repo string, blob string, path string, seen timestamp, commit_index long, status string, new_mode string"
