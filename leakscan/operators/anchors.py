@@ -24,15 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
 
+from leakscan.operators.membership import HashFilter, build_filters
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
 _WORD = np.zeros(256, bool)
 _WORD[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")] = True
 _PAD = 8  # bytes behind a text that may be looked at
 _GRAM = 8  # bytes of an anchor without identifier characters, at most
-_PROBES = 4
-_BITS_EACH = 16
-_FEWEST_BITS, _MOST_BITS = 1 << 13, 1 << 28
 _NEAREST = 64  # bytes around an anchor in the first class of values; those of the next reach four times as far
 BLOCK_BYTES = 4 << 20  # of text that is searched at once
 
@@ -87,7 +86,7 @@ class _Bytes:
 class AnchorFilter:
     """What tasks need to know of all anchors."""
 
-    classes: tuple[tuple[int, np.ndarray], ...]  # (bytes around an anchor, bits in words of 32)
+    classes: tuple[tuple[int, HashFilter], ...]  # (bytes around an anchor, the anchors)
     shortest: int  # bytes of an anchor that is a run
     longest: int
     gram: int  # bytes of an anchor that is none; 0 if there are none
@@ -95,20 +94,11 @@ class AnchorFilter:
     def reach(self, hashes: np.ndarray) -> np.ndarray:
         """Bytes around each place that a value may need; -1 where none is anchored."""
         out = np.full(len(hashes), -1, np.int64)
-        for reach, bits in self.classes:
-            found = np.ones(len(hashes), bool)
-            for bit in _probes(hashes, 32 * len(bits)):
-                found &= (bits[bit >> np.uint64(5)] >> (bit & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1
-            out[found] = reach
+        for reach, held in self.classes:
+            out[held.may_hold(hashes)] = reach
         return out
 
 
-def _probes(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-    """The bits, a power of two of them, that stand for a hash."""
-    step = (hashes >> np.uint64(32)) | np.uint64(1)
-    return [(hashes + np.uint64(k) * step) & np.uint64(bits - 1) for k in range(_PROBES)]
-
-
 def anchored(values: DataFrame, gram: int) -> DataFrame:
     """``values(repo, ord, value)`` with hash, before and size: its anchor, the bytes before it and all its bytes."""
 
@@ -137,32 +127,17 @@ def gram_bytes(values: DataFrame) -> int:
 
 
 def build_filter(found: DataFrame, gram: int) -> AnchorFilter:
-    """The filter of ``anchored`` values: 16 bits for each, 32 MB a class at most; beyond, it lets more pass."""
+    """The filter of ``anchored`` values."""
     behind = F.greatest(F.col("before"), F.col("size") - F.col("before"))
     distance = F.greatest(F.ceil(F.log2(behind / _NEAREST) / 2), F.lit(0)).cast("int")
     classed = found.where("size > 0").select(distance.alias("kind"), "hash", F.col("value"))
     run = F.array_max(F.transform(F.split("value", "[^A-Za-z0-9_]+"), F.octet_length))
     sizes = classed.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.when(run > 0, run)).alias("shortest"), F.max(run).alias("longest")).collect()
-    bits = {r["kind"]: min(max(_FEWEST_BITS, 1 << (_BITS_EACH * r["n"] - 1).bit_length()), _MOST_BITS) for r in sizes}
-    if not bits:
+    if not sizes:
         return AnchorFilter((), 0, 0, 0)
-
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kinds, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64)
-            for kind in np.unique(kinds).tolist():
-                bit = np.concatenate(_probes(hashes[kinds == kind], bits[kind])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bit), kind, np.int32)), pa.array(bit)], ["kind", "bit"])
-
-    probed = classed.select("kind", "hash").mapInArrow(probe, "kind int, bit long")
-    words = probed.groupBy("kind", F.expr("bit div 32").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit % 32 as int))")).alias("held")).toArrow()
-    kinds, at, held = (words.column(k).to_numpy() for k in range(3))
-    classes = []
-    for kind in sorted(bits):
-        filled = np.zeros(bits[kind] // 32, np.uint32)
-        filled[at[kinds == kind]] = held[kinds == kind].astype(np.uint32)
-        classes.append((_NEAREST * 4**kind, filled))
-    return AnchorFilter(tuple(classes), min((r["shortest"] for r in sizes if r["shortest"]), default=0), max(r["longest"] for r in sizes), gram)
+    filters = build_filters(classed, {r["kind"]: r["n"] for r in sizes})
+    classes = tuple((_NEAREST * 4**kind, filters[kind]) for kind in sorted(filters))
+    return AnchorFilter(classes, min((r["shortest"] for r in sizes if r["shortest"]), default=0), max(r["longest"] for r in sizes), gram)
 
 
 def _slices(batch: pa.RecordBatch, content: int) -> Iterator[pa.RecordBatch]:
