@@ -4,16 +4,18 @@ The counts of all phrases of up to ``longest`` words come from one weighted de
 Bruijn graph for each language. A node is a run of ``longest - 1`` words of a
 piece of text, an edge the run of ``longest`` words that overlaps two nodes.
 
-1. Edges. Each stretch of input counts its edges, by hash, and the runs that
-   only the end of a piece keeps from being longer. Nodes are split over
-   buckets; a bucket's edges and counts are merged as sorted arrays.
+1. Edges. Each stretch of input counts its edges, and the runs that only the
+   end of a piece keeps from being longer. Nodes are split over buckets; a
+   bucket's edges and counts are merged as sorted arrays.
 2. Flow. A node occurs as often as its edges leave it, and once more for each
    piece that ends in it; a run of one word less occurs as often as the nodes
    that begin with it, and so on down to words. Nothing shorter than an edge
    is counted in the text, but for the ends of pieces.
-3. Names. Runs whose flow reaches ``least`` are looked up in the texts once
-   more: they get their words and, as hashes may collide, an exact count. A
-   collision can only add to a flow, so no run is missed.
+3. Names. Texts are dealt to classes by hash, and each run knows the lowest
+   class that has it. Runs whose flow reaches ``least`` are named by the texts
+   of that class alone: a filter of a bounded size picks them there, a join
+   by hash drops what else passes it. So a run is named about once, however
+   frequent it is and however many tasks meet it.
 4. Paths. An edge is joined to the next where their node has no other edge and
    no end, which is where all three have one count. Such unary paths are
    compacted by pointer doubling, in rounds as many as the logarithm of the
@@ -21,32 +23,37 @@ piece of text, an edge the run of ``longest`` words that overlaps two nodes.
 
 The runs of ``longest`` words are read off the paths, the shorter ones are the
 named flows. All shuffles are of counts that were added up before.
+
+Runs are told apart by 64 bits of hash (edges by 96) of their words' own 64, so
+a count could be wrong only where a frequent run shares them with another one.
+With 700,000 frequent runs among 10^8, as in 0.5 GB, the chance of any is about
+4 in a million.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leakscan.llm.common import by_bytes, utf8
 from leakscan.operators.lookup import attach
+from leakscan.operators.membership import build_filters
 from leakscan.options import ScanOptions
 from leakscan.sources.workspace import materialise
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_NODE = np.uint64(24)  # an edge's hash is its node's without the last so many bits, and the next word's in them
 _ENDS = re.compile(rb"[.,;:!?\x0A-\x0D]+")
 _END = b"\xff"  # in no UTF-8 text
+_CLASSES = 1 << 16  # of texts
 
 
 @dataclass(frozen=True)
@@ -56,12 +63,12 @@ class CollocationOptions:
     absorbed: int = 80  # percent of a phrase's occurrences that lie in one longer phrase, for the shorter one to go
     scale: int = 2_000_000  # of the score
     top: int = 2000  # phrases of a language in the report
-    segment_words: int = 1 << 20  # whose runs are counted at once
-    bucket_bytes: int = 8 << 20  # of text for each bucket of nodes: about 30 MB of hashes
-    broadcast_runs: int = 2_000_000  # hashes, 8 bytes each, up to which the frequent ones are sent to all tasks
-    names: int = 400_000  # phrases whose counts a task holds at once
+    segment_words: int = 1 << 19  # whose runs are counted at once
+    bucket_bytes: int = 8 << 20  # of text for each bucket of nodes: about 40 MB of hashes
+    filter_bits: int = 1 << 26  # of the filter of frequent runs, 8 MB; with more than 4 million runs, more others pass it
+    broadcast_runs: int = 2_000_000  # edges up to which the steps between them are sent to all tasks, 24 bytes each
     path_edges: int = 64  # edges in a row of a path
-    batch_bytes: int = 4 << 20  # of texts that are held as words at once
+    batch_bytes: int = 2 << 20  # of texts that are held as words at once
 
 
 def _mixed(hashes: np.ndarray) -> np.ndarray:
@@ -79,194 +86,212 @@ class Runs:
 
     def __init__(self, codes: np.ndarray, ends: np.ndarray, langs: np.ndarray, longest: int):
         """``codes``: of words, ``ends``: places behind pieces, the last place among them, ``langs``: of each place."""
-        n = len(codes)
+        n, odd = len(codes), np.full(1, _ODD)
         #: Words from each place to the end of its piece; 0 at ends.
         self.left = np.repeat(ends, np.diff(ends, prepend=-1)) - np.arange(n)
-        spread = _mixed((codes.astype(np.uint64) + np.uint64(1)) * _ODD)
-        odd = np.full(1, _ODD)
-        hashes = [_mixed(spread ^ langs)]
+        #: ``hashes[m]``: of the run of m + 1 words; right only where so many are left.
+        self.hashes = [_mixed(codes ^ langs)]
+        shifted = codes
         for m in range(1, longest):
-            shifted = np.append(spread[m:], np.zeros(min(m, n), np.uint64))
+            shifted = np.append(codes[m:], np.zeros(min(m, n), np.uint64))
             if m < longest - 1:
-                hashes.append(_mixed(hashes[-1] * odd + shifted))
-            else:
-                node = hashes[-1] >> _NODE << _NODE
-                hashes[-1] = node
-                following = np.maximum(_mixed(shifted * odd) >> (np.uint64(64) - _NODE), np.uint64(1))
-                hashes.append(node | following)
-        #: ``hashes[m]``: of the run of m + 1 words; right only where so many are left.
-        self.hashes = hashes
+                self.hashes.append(_mixed(self.hashes[-1] * odd + shifted))
+        #: Of the word behind each node, never 0.
+        self.following = np.maximum(shifted >> np.uint64(32), np.uint64(1)).astype(np.uint32)
+
+    def edges(self) -> np.ndarray:
+        return edge_hashes(self.hashes[-1], self.following)
+
+
+def edge_hashes(nodes: np.ndarray, following: np.ndarray) -> np.ndarray:
+    return _mixed(nodes * np.full(1, _ODD) + following.astype(np.uint64))
 
 
-def _merged(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(each key once, in order, its weights' sum, a place that has it)."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(weights[order], first) if len(first) else weights[:0], order[first]
+def _merged(keys: list[np.ndarray], weights: np.ndarray, classes: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(each key once, in order, the sum of its weights, its lowest class, a place that has it)."""
+    if not len(weights):
+        return keys, weights, classes, np.zeros(0, np.int64)
+    order = np.lexsort(keys[::-1]) if len(keys) > 1 else np.argsort(keys[0], kind="stable")
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+    return [k[first] for k in keys], np.add.reduceat(weights[order], first), np.minimum.reduceat(classes[order], first), order[first]
 
 
-def flows(runs: Runs, longest: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(words, hashes, counts): the edges, and from their flow all shorter runs but the nodes, which their edges tell."""
-    nodes, following = runs.hashes[longest - 2], runs.hashes[longest - 1]
+def flows(runs: Runs, classes: np.ndarray, longest: int) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """(words, keys, counts, classes): the edges, and from their flow all shorter runs but the nodes, which their edges tell.
+
+    ``classes``: of the text at each place. An edge's keys are its node and the word behind it.
+    """
     at = np.flatnonzero(runs.left >= longest - 1)
     # A node at the end of a piece is an edge to no word.
-    edges = np.where(runs.left[at] >= longest, following[at], nodes[at])
-    keys, counts, place = _merged(edges, np.ones(len(at), np.int64))
-    out, place = [(longest, keys, counts)], at[place]
+    behind = np.where(runs.left[at] >= longest, runs.following[at], np.uint32(0))
+    keys, counts, lowest, place = _merged([runs.hashes[-1][at], behind], np.ones(len(at), np.int64), classes[at])
+    yield longest, keys, counts, lowest
+    place = at[place]
     for words in range(longest - 2, 0, -1):
         last = np.flatnonzero(runs.left == words)
         at = np.append(place, last)
-        keys, counts, place = _merged(runs.hashes[words - 1][at], np.append(counts, np.ones(len(last), np.int64)))
+        counts, lowest = np.append(counts, np.ones(len(last), np.int64)), np.append(lowest, classes[last])
+        keys, counts, lowest, place = _merged([runs.hashes[words - 1][at]], counts, lowest)
         place = at[place]
-        out.append((words, keys, counts))
-    return out
+        yield words, keys, counts, lowest
 
 
-def _lang_hash(lang: str) -> np.uint64:
-    return _mixed(np.full(1, zlib.crc32(lang.encode()) + 1, np.uint64) * _ODD)[0]
+def _code(word: bytes) -> int:
+    return xxhash.xxh64_intdigest(word)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    """(lang, class, text), by which a text has one class wherever it stands."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.pmod(F.xxhash64(text), F.lit(_CLASSES)).cast("int").alias("class"), text.alias("text"))
+
+
+@dataclass
+class Part:
+    """A few texts: their words, an ``_END`` behind each piece."""
+
+    words: list[bytes]
+    codes: np.ndarray
+    ends: np.ndarray
+    langs: np.ndarray  # hash of each place's language
+    classes: np.ndarray  # class of each place's text
+    sizes: list[tuple[str, int]]  # language and words of each text
 
 
-def _parts(batches: Iterator[pa.RecordBatch], options: CollocationOptions) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray, list[tuple[str, int]]]]:
-    """(words, codes, places of ends, (language, words) of each text) of a few texts at once."""
+def _parts(batches: Iterator[pa.RecordBatch], options: CollocationOptions) -> Iterator[Part]:
+    end, hashed = np.uint64(_code(_END)), {}
     for batch in batches:
         for some in by_bytes(batch, "text", options.batch_bytes):
-            words, of = [], []
-            for lang, data in zip(some.column(0).to_pylist(), utf8(some.column(1)), strict=True):
+            words, sizes = [], []
+            for lang, data in zip(some.column(0).to_pylist(), utf8(some.column(2)), strict=True):
                 before = len(words)
                 words += words_of(data)
-                of.append((lang, len(words) - before))
-            codes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-            ends = np.array([k for k in np.flatnonzero(codes == zlib.crc32(_END)).tolist() if words[k] == _END], np.int64)
-            yield words, codes, ends, of
-
-
-def _langs(of: list[tuple[str, int]]) -> np.ndarray:
-    hashes = {lang: _lang_hash(lang) for lang, _ in of}
-    return np.repeat(np.array([hashes[lang] for lang, _ in of], np.uint64), [n for _, n in of])
+                sizes.append((lang, len(words) - before))
+                hashed.setdefault(lang, _code(lang.encode()) | 1)
+            codes = np.fromiter(map(_code, words), np.uint64, len(words))
+            ends = np.array([k for k in np.flatnonzero(codes == end).tolist() if words[k] == _END], np.int64)
+            each = [n for _, n in sizes]
+            langs = np.repeat(np.array([hashed[lang] for lang, _ in sizes], np.uint64), each)
+            classes = np.repeat(some.column(1).to_numpy().astype(np.uint16), each)
+            yield Part(words, codes, ends, langs, classes, sizes)
 
 
 def edge_counts(docs: DataFrame, buckets: int, options: CollocationOptions) -> DataFrame:
-    """(bucket, words, hashes, counts): what each stretch of input adds to each bucket, as sorted arrays."""
-
-    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        sizes = np.cumsum([0] + [len(codes) for codes, *_ in held[:-1]])
-        ends = np.concatenate([e + s for (_, e, _), s in zip(held, sizes, strict=True)])
-        runs = Runs(np.concatenate([h[0] for h in held]), ends, np.concatenate([h[2] for h in held]), options.longest)
-        for words, keys, counts in flows(runs, options.longest):
-            bucket = (keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+    """(bucket, words, lang, n, keys, behind, counts, classes): what each stretch of input adds to each bucket, as sorted arrays.
+
+    Rows with ``words`` 0 count the words of a language instead.
+    """
+    names = ["bucket", "words", "lang", "n", "keys", "behind", "counts", "classes"]
+
+    def packed(held: list[Part]) -> Iterator[pa.RecordBatch]:
+        sizes = np.cumsum([0] + [len(p.codes) for p in held[:-1]])
+        ends = np.concatenate([p.ends + s for p, s in zip(held, sizes, strict=True)])
+        runs = Runs(np.concatenate([p.codes for p in held]), ends, np.concatenate([p.langs for p in held]), options.longest)
+        for words, keys, counts, lowest in flows(runs, np.concatenate([p.classes for p in held]), options.longest):
+            bucket = (keys[0] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
             edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
             used = np.flatnonzero(np.diff(edges)).tolist()
-            blobs = [[a[edges[b] : edges[b + 1]].tobytes() for b in used] for a in (keys.astype("<u8"), counts.astype("<u4"))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(used, pa.int32()), pa.array([words] * len(used), pa.int32()), *(pa.array(b, pa.binary()) for b in blobs)],
-                ["bucket", "words", "hashes", "counts"],
-            )
+            behind = keys[1] if len(keys) > 1 else np.zeros(0, np.uint32)
+            arrays = keys[0].astype("<u8"), behind.astype("<u4"), counts.astype("<u4"), lowest.astype("<u2")
+            blobs = [pa.array([a[edges[b] : edges[b + 1]].tobytes() for b in used], pa.binary()) for a in arrays]
+            none = pa.nulls(len(used), pa.string()), pa.nulls(len(used), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([words] * len(used), pa.int32()), *none, *blobs], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for _, codes, ends, of in _parts(batches, options):
-            held.append((codes, ends, _langs(of)))
-            size += len(codes)
+        held, size, totals = [], 0, Counter()
+        for part in _parts(batches, options):
+            before = 0
+            for lang, n in part.sizes:
+                totals[lang] += n - int(np.searchsorted(part.ends, before + n) - np.searchsorted(part.ends, before))
+                before += n
+            part.words = []
+            held.append(part)
+            size += len(part.codes)
             if size >= options.segment_words:
                 yield from packed(held)
                 held, size = [], 0
         if held:
             yield from packed(held)
+        rows = [(_code(lang.encode()) % buckets, 0, lang, n, b"", b"", b"", b"") for lang, n in totals.items() if n]
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), *[pa.binary()] * 4]
+        columns = list(zip(*rows, strict=True)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names)
 
-    return _texts(docs).mapInArrow(run, "bucket int, words int, hashes binary, counts binary")
+    return _texts(docs).mapInArrow(run, "bucket int, words int, lang string, n long, keys binary, behind binary, counts binary, classes binary")
 
 
 def frequent_runs(counted: DataFrame, buckets: int, options: CollocationOptions) -> DataFrame:
-    """(words, hash) of all runs that occur ``least`` times or more: flows of whole nodes, bucket by bucket."""
+    """(words, hash, class, lang, n) of all runs that occur ``least`` times or more, by the flow of whole nodes.
+
+    ``lang`` is only set where ``words`` is 0: all words of a language.
+    """
+    names = ["words", "hash", "class", "lang", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        parts: dict[int, list[list[np.ndarray]]] = {}
+        totals: Counter = Counter()
         for batch in batches:
-            words, keys, counts = (batch.column(k) for k in range(3))
-            for k, m in enumerate(words.to_pylist()):
-                parts.setdefault(m, []).append((np.frombuffer(keys[k].as_buffer(), "<u8"), np.frombuffer(counts[k].as_buffer(), "<u4")))
-        for m, found in parts.items():
-            keys, flow, _ = _merged(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]).astype(np.int64))
-            out = {m: (keys, flow)}
-            if m == options.longest:
-                nodes, through, _ = _merged(keys >> _NODE << _NODE, flow)
-                inner = keys != keys >> _NODE << _NODE
-                out = {m: (keys[inner], flow[inner]), m - 1: (nodes, through)}
-            for n, (keys, flow) in out.items():
-                keys = keys[flow >= options.least]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, np.int32)), pa.array(keys.view(np.int64))], ["words", "hash"])
-
-    dealt = counted.repartitionById(buckets, F.col("bucket")).select("words", "hashes", "counts")
-    return dealt.mapInArrow(run, "words int, hash long")
+            for k, words in enumerate(batch.column(0).to_pylist()):
+                if words:
+                    blobs = [batch.column(c)[k].as_buffer() for c in range(3, 7)]
+                    parts.setdefault(words, []).append([np.frombuffer(b, kind) for b, kind in zip(blobs, ("<u8", "<u4", "<u4", "<u2"), strict=True)])
+                else:
+                    totals[batch.column(1)[k].as_py()] += batch.column(2)[k].as_py()
+        for words, held in parts.items():
+            keys, behind, counts, classes = (np.concatenate([h[k] for h in held]) for k in range(4))
+            keys, flow, lowest, _ = _merged([keys, behind] if words == options.longest else [keys], counts.astype(np.int64), classes)
+            out = [(words, keys[0], lowest, flow)]
+            if words == options.longest:
+                (nodes,), through, least, _ = _merged([keys[0]], flow, lowest)
+                inner = keys[1] != 0
+                out = [(words, edge_hashes(*keys)[inner], lowest[inner], flow[inner]), (words - 1, nodes, least, through)]
+            for size, found, lowest, flow in out:
+                often = flow >= options.least
+                columns = [pa.array(np.full(often.sum(), size, np.int32)), pa.array(found[often].view(np.int64)), pa.array(lowest[often].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.nulls(int(often.sum()), pa.string()), pa.array(flow[often])], names)
+        none = [pa.array([0] * len(totals), kind) for kind in (pa.int32(), pa.int64(), pa.int32())]
+        yield pa.RecordBatch.from_arrays([*none, pa.array(totals.keys(), pa.string()), pa.array(totals.values(), pa.int64())], names)
+
+    dealt = counted.repartitionById(buckets, F.col("bucket")).drop("bucket")
+    return dealt.mapInArrow(run, "words int, hash long, class int, lang string, n long")
 
 
 def named(docs: DataFrame, frequent: DataFrame, options: CollocationOptions) -> DataFrame:
-    """(lang, words, phrase, n): the runs of ``frequent`` with their words, counted anew; ``words`` 0 counts all words of a language.
-
-    Few hashes go to all tasks. Beyond ``broadcast_runs`` the tasks count all
-    runs, and those that are not frequent go in a join.
-    """
+    """(words, hash, lang, phrase): words for the runs of ``frequent``, found in the texts of each one's class. Some are named more than once."""
     spark, longest = docs.sparkSession, options.longest
-    known = None
-    if frequent.count() <= options.broadcast_runs:
-        rows = frequent.toArrow()
-        words, hashes = rows.column("words").to_numpy(), rows.column("hash").to_numpy().view(np.uint64)
-        known = spark.sparkContext.broadcast([np.sort(hashes[words == m + 1]) for m in range(longest)])
-
-    def is_known(hashes: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(wanted):
-            return np.zeros(len(hashes), bool)
-        return wanted[np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)] == hashes
+    runs = frequent.where("words > 0")
+    count = runs.count()
+    if not count:
+        return spark.createDataFrame([], "words int, hash long, lang string, phrase string")
+    # A run is only known together with its class.
+    known = spark.sparkContext.broadcast(build_filters(runs.select(F.lit(0).alias("kind"), F.expr("hash ^ shiftleft(cast(class + 1 as bigint), 40)").alias("hash")), {0: count}, options.filter_bits)[0])
+    used = np.zeros(_CLASSES, bool)
+    used[[r[0] for r in runs.select("class").distinct().collect()]] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
-
-        def rows() -> pa.RecordBatch:
-            keys = list(zip(*held, strict=True)) or [()] * 4
-            kinds = {"lang": pa.string(), "words": pa.int32(), "hash": pa.int64(), "phrase": pa.binary()}
-            columns = [pa.array(c, kind) for c, kind in zip(keys, kinds.values(), strict=True)]
-            columns[3] = columns[3].cast(pa.string())
-            return pa.RecordBatch.from_arrays([*columns, pa.array(held.values(), pa.int64())], [*kinds, "n"])
-
-        for words, codes, ends, of in _parts(batches, options):
-            runs, begin = Runs(codes, ends, _langs(of), longest), 0
-            where = [runs.left > m for m in range(longest)]
-            if known is not None:
-                where = [w & is_known(h, k) for w, h, k in zip(where, runs.hashes, known.value, strict=True)]
-            for lang, size in of:
-                here = slice(begin, begin + size)
-                held[lang, 0, 0, b""] += int((runs.left[here] > 0).sum())
-                for m in range(longest):
-                    at = np.flatnonzero(where[m][here])
-                    if m:
-                        phrases = [b" ".join(words[k : k + m + 1]) for k in (at + begin).tolist()]
-                    else:
-                        phrases = list(compress(words[here], where[m][here].tobytes()))
-                    if known is None:
-                        held.update((lang, m + 1, h, p) for h, p in zip(runs.hashes[m][here][at].view(np.int64).tolist(), phrases, strict=True))
-                    else:
-                        held.update((lang, m + 1, 0, p) for p in phrases)
-                begin += size
-                if len(held) > options.names:
-                    yield rows()
-                    held.clear()
-        yield rows()
-
-    found = _texts(docs).mapInArrow(run, "lang string, words int, hash long, phrase string, n long")
-    if known is None:
-        totals = found.where("words = 0")
-        added = found.where("words > 0").groupBy("lang", "words", "hash", "phrase").agg(F.sum("n").alias("n"))
-        found = added.join(frequent, ["words", "hash"], "left_semi").select(*found.columns).unionByName(totals)
-    return found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("words") == 0, 1).otherwise(options.least))
+        for batch in batches:
+            batch = batch.filter(pa.array(used[batch.column(1).to_numpy()]))
+            for part in _parts(iter([batch]), options):
+                found = Runs(part.codes, part.ends, part.langs, longest)
+                of = np.repeat(np.arange(len(part.sizes)), [n for _, n in part.sizes])
+                own = (part.classes.astype(np.uint64) + np.uint64(1)) << np.uint64(40)
+                rows: set = set()
+                for m, hashes in enumerate([*found.hashes, found.edges()]):
+                    at = np.flatnonzero(found.left > m)
+                    at = at[known.value.may_hold(hashes[at] ^ own[at])]
+                    phrases = [b" ".join(part.words[k : k + m + 1]) for k in at.tolist()]
+                    langs = [part.sizes[k][0] for k in of[at].tolist()]
+                    rows.update(zip([m + 1] * len(at), hashes[at].view(np.int64).tolist(), langs, phrases, strict=True))
+                columns = list(zip(*rows, strict=True)) or [()] * 4
+                arrays = [pa.array(c, kind) for c, kind in zip(columns, (pa.int32(), pa.int64(), pa.string(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*arrays[:3], arrays[3].cast(pa.string())], ["words", "hash", "lang", "phrase"])
+
+    return _texts(docs).mapInArrow(run, "words int, hash long, lang string, phrase string")
 
 
 def phrase_counts(docs: DataFrame, options: CollocationOptions = CollocationOptions()) -> DataFrame:
-    """(lang, words, phrase, n): all runs of 1 to ``longest`` words that occur ``least`` times or more, exactly counted.
+    """(lang, words, phrase, n): all runs of 1 to ``longest`` words that occur ``least`` times or more, counted.
 
     Words are joined by one space. A row with ``words`` 0 and an empty phrase
     counts all words of a language. Rows of ``docs`` (lang, text): a null lang
@@ -276,7 +301,10 @@ def phrase_counts(docs: DataFrame, options: CollocationOptions = CollocationOpti
     size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(1, -(-size // options.bucket_bytes))
     frequent = materialise(frequent_runs(edge_counts(docs, buckets, options), buckets, options), "frequent")
-    return materialise(named(docs, frequent, options), "runs")
+    names = named(docs, frequent, options).groupBy("words", "hash").agg(F.min(F.struct("lang", "phrase")).alias("name"))
+    found = frequent.drop("lang", "class").join(names, ["words", "hash"]).select("name.lang", "words", "name.phrase", "n")
+    totals = frequent.where("words = 0").groupBy("lang").agg(F.sum("n").alias("n")).select("lang", F.lit(0).alias("words"), F.lit("").alias("phrase"), "n")
+    return materialise(found.unionByName(totals), "runs")
 
 
 def _without(words: Column, ends: str) -> Column:
