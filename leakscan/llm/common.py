@@ -39,3 +39,11 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.Reco
         size += length
     if batch.num_rows > start:
         yield batch.slice(start)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -294,6 +294,73 @@ def test_recall_of_changed_passages(spark, identity):
     assert sum(len(set(p) & got.get(k, set())) for k, p in planted.items()) >= 0.85 * sum(map(len, planted.values()))
 
 
+@pytest.mark.parametrize("size,step", [(100, 10), (60, 6)])
+def test_changed_passages_whose_seeds_stand_elsewhere(spark, size, step):
+    """Each equal stretch is in a document before and one behind the two that share the passage."""
+    rows, pairs = [], 40
+    for k in range(pairs):
+        own = words(7000 + k, size).split()
+        other = [f"other{j}" if j % step == step - 1 else w for j, w in enumerate(own)]
+        rows.append((1000 + k, f"{words(7100 + k, 60)} {' '.join(own)} {words(7200 + k, 60)}"))
+        rows.append((2000 + k, f"{words(7300 + k, 30)} {' '.join(other)} {words(7400 + k, 30)}"))
+        for j in range(0, size, step):
+            stretch = " ".join(own[j : j + step - 1])
+            rows += [(n + k * 20 + j // step, f"{words(n + 9000 + 20 * k + j // step, 30)} {stretch} {words(n + 20 * k + j // step, 30)}") for n in (10_000, -20_000)]
+    found = {(r["a"], r["b"]) for r in passages_of(spark, rows)}
+    assert sum((1000 + k, 2000 + k) in found for k in range(pairs)) >= 0.9 * pairs
+
+
+def test_a_family_of_changed_copies(spark):
+    passage = words(7500, 100)
+    rows = [(k, f"{words(7600 + k, 40)} {changed(passage, 0.9, k + 1)} {words(7700 + k, 40)}") for k in range(30)]
+    found = passages_of(spark, rows)
+    own = [t.split()[40:140] for _, t in rows]
+    alike = [(x, y) for x in range(30) for y in range(x) if sum(v == w for v, w in zip(own[x], own[y], strict=True)) >= 82]
+    pairs = {(r["b"], r["a"]) for r in found}
+    assert len(alike) > 30 and sum(p in pairs for p in alike) >= 0.9 * len(alike)
+
+
+def test_equal_texts_are_paired_with_the_first(spark):
+    text = words(7800, 200)
+    rows = [(k, text) for k in range(40)] + [(100, f"{words(1, 20)} {text[:900]}"), (101, words(2, 30)), (102, words(2, 30))]
+    found = passages_of(spark, rows)
+    assert sorted((r["a"], r["b"], r["end_b"]) for r in found if r["b"] < 100) == [(0, k, 200) for k in range(1, 40)]
+    assert {(r["a"], r["b"]) for r in found if r["b"] >= 100} == {(0, 100)}
+
+
+def test_rows_that_share_an_id_keep_their_own_words(spark):
+    passage, clean = words(7900, 80), words(7901, 200)
+    rows = [(1, f"{words(7902, 30)} {passage}"), (5, f"{passage} {words(7903, 60)}"), (5, clean), (5, clean), (6, words(7904, 90))]
+    assert {(r["a"], r["b"]) for r in passages_of(spark, rows)} == {(1, 5)}
+    cut = [(r["doc_id"], r["text"]) for r in substring_dedup.cut_repeats(documents(spark, rows, spans="x", _spans=1, b=2, a=3)).collect()]
+    assert sorted(cut) == sorted([rows[0], (5, words(7903, 60)), (5, clean), rows[4]])
+
+
+def test_packed_numbers_come_back():
+    import pyarrow as pa
+
+    arrays = [np.array([0, 1, 1 << 31], "<u4"), np.array([-5, 0, 1 << 40], "<i8"), np.array([7, 8, 9], "<u4")]
+    back = substring_dedup._unplaned(pa.py_buffer(substring_dedup._planes(arrays)), ("<u4", "<i8", "<u4"))
+    assert all((x == y).all() for x, y in zip(arrays, back, strict=True))
+
+
+def test_linked_equals_brute_force():
+    rng = random.Random(5)
+    rows = sorted((rng.randrange(30), rng.randrange(25), p) for p in range(400))
+    keys, docs, places = (np.array(c) for c in zip(*rows, strict=True))
+    options = substring_dedup.PassageOptions(all_pairs=12)
+    found = {t for some in substring_dedup.linked(keys, docs, places, options) for t in zip(*(x.tolist() for x in some), strict=True)}
+    expected = set()
+    for key in set(keys.tolist()):
+        first = {}
+        for _, d, p in (own := [r for r in rows if r[0] == key]):
+            first.setdefault(d, p)
+        others = set(first) if len(first) <= 12 else {min(first), max(first)}
+        for _, d, p in own:
+            expected |= {(min(d, e), max(d, e), *((p, first[e]) if d < e else (first[e], p))) for e in others if e != d}
+    assert found == expected
+
+
 def test_chain_prefers_the_collinear(spark):
     options = substring_dedup.PassageOptions()
     pa_, pb = np.array([10, 20, 30, 40, 25]), np.array([110, 120, 131, 141, 5])
