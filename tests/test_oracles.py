@@ -4,6 +4,9 @@
 """
 
 import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -36,6 +39,19 @@ def test_every_query_has_sql():
     assert set(QUERIES) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("left", [("corpus_pipeline.py",), (), ("corpus_pipeline.py", "leakscan/llm/__pycache__/x.pyc")])
+def test_the_library_works_without_the_training_text_package(tmp_path, left):
+    top = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = str(tmp_path / "copy")
+    shutil.copytree(top, copy, ignore=lambda folder, names: [n for n in names if n in (".git", "llm", "__pycache__", "corpus_pipeline.py")])
+    for name in left:
+        os.makedirs(os.path.dirname(f"{copy}/{name}"), exist_ok=True)
+        shutil.copy(f"{top}/corpus_pipeline.py", f"{copy}/{name}")
+    code = "import __spark_entry__ as e; print(sorted(e.queries()) == sorted(e.QUERIES), set(e.oracle_sql()) <= set(e.queries()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=copy, capture_output=True, text=True, timeout=120)
+    assert done.stdout.split() == ["True", "True"], done.stderr
+
+
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query(spark, sql, name):
     df = entry.queries()[name](spark, SF_DIR)
