@@ -34,6 +34,7 @@ from leakscan.sources.workspace import materialise
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿŒœ]+")
 #: What the pre-tokenizer parts such a word into, once in lower case.
 _PART = re.compile("[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+")
+CACHED_CHARS = 64  # of a word that is remembered; longer ones are encoded each time
 _NEVER = np.iinfo(np.int64).max
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -78,7 +79,7 @@ class WordEncoder(dict):
             ids = array("I", [t.id for t in self._merge(text.translate(self._letters))]).tobytes()
         else:
             ids = self._library(text)
-        if len(self._parts) < self._cached:
+        if len(self._parts) < self._cached and len(text) <= CACHED_CHARS:
             self._parts[text] = ids
         return ids
 
@@ -88,7 +89,7 @@ class WordEncoder(dict):
             ids = b"".join([parts.get(x) or self._part(x) for x in _PART.findall(text.lower())])
         else:
             ids = self._library(text)
-        if len(self) < self._cached:
+        if len(self) < self._cached and len(word) <= CACHED_CHARS:
             self[word] = ids
         return ids
 
@@ -141,7 +142,7 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
         change[1:] += 2 * counts[1 : size - s] + 1
         change = np.where(counts[s:size] > 0, change + 1, _NEVER)
         best = int(change.argmin()) if len(change) else 0
-        if len(change) and change[best] <= 2 * counts[size - s] + 1:
+        if len(change) and change[best] < _NEVER:  # a new sequence is opened only for what fits into no open one
             gap = s + best
             bin_ = open_at[gap].pop()
             counts[gap] -= 1

@@ -26,6 +26,7 @@ from leakscan.llm.common import utf8
 
 #: A space before these characters always begins a new part, whatever stands before it.
 _BREAK = re.compile(b" (?=[!-~\xc3])")
+CACHED_CHARS = 64  # of a word that is remembered; longer ones are counted each time
 
 
 @dataclass(frozen=True)
@@ -101,13 +102,13 @@ class TokenCounter(dict):
     def _part(self, text: str) -> int:
         if (count := self._parts.get(text)) is None:
             count = count_merged(text.encode(), self._table)
-            if len(self._parts) < self._cached:
+            if len(self._parts) < self._cached and len(text) <= CACHED_CHARS:
                 self._parts[text] = count
         return count
 
     def __missing__(self, word: bytes) -> int:
         count = sum(map(self._part, self._split(word.decode())))
-        if len(self) < self._cached:
+        if len(self) < self._cached and len(word) <= CACHED_CHARS:
             self[word] = count
         return count
 

@@ -35,6 +35,15 @@ def test_encoder_equals_library(cached):
         assert encoder.encode(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:40]
 
 
+def test_long_words_are_not_remembered():
+    text = " ".join(chr(97 + k) * 5000 for k in range(20)).encode()
+    counter, encoder = token_count.TokenCounter(BYTES), packing.WordEncoder(PACK.tokenizer, 300_000)
+    counter.count(text)
+    encoder.encode(text)
+    for held in (counter, counter._parts, encoder, encoder._parts):
+        assert sum(map(len, held)) < 200
+
+
 def test_count_tokens(spark):
     library = Tokenizer.from_file(BYTES.tokenizer)
     found = token_count.count_tokens(documents(spark, ODD), BYTES)
@@ -75,11 +84,24 @@ def test_pack_documents(spark):
     assert packing.pack_documents(documents(spark, []), PACK).count() == 0
 
 
-def test_groups_are_packed_side_by_side(spark):
+def best_fit_decreasing(lengths, size):
+    fills = []
+    for s in sorted(lengths, reverse=True):
+        if fitting := [(f, k) for k, f in enumerate(fills) if f + s <= size]:
+            fills[max(fitting)[1]] += s
+        else:
+            fills.append(s)
+    return len(fills)
+
+
+@pytest.mark.parametrize("group,apart", [(100, 3), (100_000, 0)])
+def test_as_few_sequences_as_best_fit_finds(spark, group, apart):
+    """At most one more for each group that is packed apart."""
     texts = [(k, words(k, 5 + k * 37 % 90)) for k in range(200)]
-    options = packing.PackingOptions(PACK.tokenizer, length=256, group_pieces=100)
-    used, least = check_packing(packing.pack_documents(documents(spark, texts), options).collect(), texts, 256)
-    assert used <= least * 1.1 + 3
+    options = packing.PackingOptions(PACK.tokenizer, length=256, group_pieces=group)
+    rows = packing.pack_documents(documents(spark, texts), options).collect()
+    used, _ = check_packing(rows, texts, 256)
+    assert used <= best_fit_decreasing([r["length"] for r in rows], 256) + apart
 
 
 def brute_sum_of_squares(lengths, size):
@@ -93,9 +115,8 @@ def brute_sum_of_squares(lengths, size):
             return sum(c * c for c in counts.values())
 
         options = [(total([f + s if k == j else f for k, f in enumerate(bins)]), size - bins[j], j) for j in range(len(bins)) if bins[j] + s <= size]
-        new = total([*bins, s])
         best = min(options, default=None)
-        if best and best[0] <= new:
+        if best:
             gap = best[1]
             j = max(k for k, f in enumerate(bins) if size - f == gap)
         else:
