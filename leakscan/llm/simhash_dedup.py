@@ -20,10 +20,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import utf8
+from leakscan.llm.common import unused, utf8
 from leakscan.llm.components import components
 from leakscan.sources.workspace import materialise
 
@@ -153,14 +153,20 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2) ->
     return joined.select("doc_id", "fp", F.col("root").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, words_each: int = 3, max_bits: int = 2) -> DataFrame:
+def keep_one(docs: DataFrame, words_each: int = 3, max_bits: int = 2, broadcast_ids: int = 2_000_000) -> DataFrame:
     """The rows of ``docs`` without those that are near copies: of each group the smallest doc_id stays.
 
-    Rows without an id are kept, as no result names them. Of rows that share a
-    kept id the one with the smallest text stays.
+    Rows without an id are kept, as no result names them, and join no groups.
+    Rows that share an id are compared each by itself: unlike ones all stay, of
+    near copies the one with the smallest text. Up to ``broadcast_ids`` ids of
+    8 bytes that go are sent to all tasks, so no text is exchanged.
     """
-    found = near_duplicates(docs, words_each, max_bits).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.where("doc_id IS NOT NULL").join(found, "doc_id", "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = kept.withColumn("_nth", F.row_number().over(order)).where("_nth = 1").drop("_nth")
-    return first.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    named, key = docs.where("doc_id IS NOT NULL"), unused(docs, "key")
+    if named.groupBy("doc_id").count().where("count > 1").isEmpty():
+        keyed = named.withColumn(key, F.col("doc_id").cast("long"))
+    else:
+        keyed = materialise(named.orderBy("doc_id", "text").withColumn(key, F.monotonically_increasing_id()), "numbered")
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words_each, max_bits)
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias(key)), "gone")
+    kept = keyed.join(F.broadcast(gone) if gone.count() <= broadcast_ids else gone, key, "left_anti")
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))

@@ -113,6 +113,15 @@ def test_keep_one(spark):
     assert ids.count(None) == 2 and ids.count(8) == 1 and 9 not in ids and 2 in ids and 3 not in ids and 91 not in ids and set(range(20, 30)) <= set(ids)
 
 
+def test_keep_one_of_rows_that_share_an_id(spark):
+    one, other = words(9100, 90), words(9101, 90)
+    rows = [(5, one), (5, other), (5, one), (6, other), (7, words(9102, 90)), (None, one)]
+    docs = documents(spark, rows, _nth=1, key_="x")
+    kept = simhash_dedup.keep_one(docs, broadcast_ids=0)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(5, one), (5, other), rows[4], (None, one)], key=str)
+
+
 def test_edited_fingerprints(spark):
     rows = [(k, t) for k, t in ODD if k is not None and k != 8] + [(40, words(4, 200)), (41, words(4, 200)), (12345678901, "last one of all here")]
     found = {r["doc_id"]: r for r in fingerprints.edited_fingerprints(documents(spark, rows)).collect()}
