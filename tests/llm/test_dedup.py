@@ -370,8 +370,8 @@ def test_linked_equals_brute_force():
     assert found == expected
 
 
-def test_chain_prefers_the_collinear(spark):
-    options = substring_dedup.PassageOptions()
+def test_chain_prefers_the_collinear():
+    options = substring_dedup.PassageOptions(min_links=3)
     pa_, pb = np.array([10, 20, 30, 40, 25]), np.array([110, 120, 131, 141, 5])
     runs = substring_dedup.diagonals(pa_, pb, options)
     best = substring_dedup.chain(runs, options)[0]
