@@ -174,13 +174,26 @@ def _stored_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def parse_raw_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-04: raw log text to numbered commits and change records."""
-    _, changes = raw_log.parse_raw_log(spread_small_input(_stored_logs(spark, sf_dir), ["repo", "part"]))
+    return _parsed(spread_small_input(_stored_logs(spark, sf_dir), ["repo", "part"]))
+
+
+def _parsed(logs: DataFrame) -> DataFrame:
+    _, changes = raw_log.parse_raw_log(logs)
     return changes.select(
         "repo", F.col("commit_index").cast("bigint").alias("commit_index"), "commit_sha",
         F.unix_seconds("commit_time").alias("epoch"), "new_mode", "blob", "status", "path",
     )
 
 
+@query
+def parse_cut_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-04: the same logs cut every 4999 characters, wherever that is."""
+    logs = _stored_logs(spark, sf_dir)
+    cut = logs.select("repo", "part", "log", F.explode(F.sequence(F.lit(0), F.expr("length(log) div 4999"))).alias("k"))
+    part = F.col("part").cast("bigint") * 4096 + F.col("k")
+    return _parsed(cut.select("repo", part.alias("part"), F.substring("log", F.col("k") * 4999 + 1, F.lit(4999)).alias("log")))
+
+
 @query
 def load_dotenv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-05: env files worth cross-referencing, by path and within limits on size and depth."""

@@ -55,6 +55,8 @@ SQL["parse_raw_log"] = (
     "concat(CASE WHEN pick % 7 = 0 THEN chr(1) WHEN pick % 7 = 1 THEN concat(':x', chr(10)) ELSE '' END, path) AS path FROM c"
 )
 
+SQL["parse_cut_log"] = SQL["parse_raw_log"]
+
 SQL["load_dotenv_files"] = (
     f"SELECT repo, path FROM ({corpora.planted_paths.sql()}) WHERE {s.is_dotenv()} AND {s.env_searched()} "
     f"AND length <= 1048576 AND {s.env_depth()} <= 5"

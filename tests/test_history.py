@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 from leakscan.operators import allowlist, history, report
 from leakscan.options import MAX_BLOB_BYTES, ScanOptions
 from leakscan.plans.history_scan import blob_hits, scan_history, wanted_blobs
-from leakscan.sources.raw_log import parse_log_parts, parse_raw_log
+from leakscan.sources.raw_log import parse_raw_log
 
 LEAK = b"DB_PASS=qwspl@558x\n"
 CHANGES = (
@@ -193,15 +194,69 @@ def test_raw_log_paths_and_merges(spark):
 
 
 def test_records_before_a_header_are_an_error(spark):
-    parts = [("r", 0, _log("\x01s1 1", _meta("b1"), "a")), ("r", 1, _log(_meta("x"), "whose?", "\x01s2 2", _meta("b2"), "b"))]
-    with pytest.raises(Exception, match="does not begin with a commit header: r 1"):
-        parse_raw_log(spark.createDataFrame(parts, "repo string, part int, log string"))
-
-
-def test_logs_are_parsed_without_python(spark):
-    plan = parse_log_parts(spark.createDataFrame([("r", 0, "")], "repo string, part int, log string"))
-    assert "Python" not in plan._jdf.queryExecution().executedPlan().toString().replace("PythonRDD", "")
-    assert plan.count() == 0
+    parts = [("r", 0, _log(_meta("x"), "whose?")), ("r", 1, _log("\x01s1 1", _meta("b1"), "a"))]
+    with pytest.raises(Exception, match="does not begin with a commit header: r 0"):
+        parse_raw_log(spark.createDataFrame(parts, "repo string, part int, log string"))[1].collect()
+
+
+def _walk(log):
+    """One log, token by token: (commit number, sha, epoch, new mode, blob, status, path) of each change, and the commits."""
+    tokens, commits, changes, k = log.split("\0"), [], [], 0
+    while k < len(tokens):
+        entry = tokens[k].lstrip("\n")
+        if entry.startswith("\x01"):
+            words = entry[1:].split(" ")
+            if not commits or commits[-1][0] != words[0]:
+                commits.append((words[0], int(words[1])))
+        elif entry.startswith(":") and k + 1 < len(tokens):
+            words = entry[1:].split(" ")
+            changes.append((len(commits) - 1, *commits[-1], words[1], words[3], words[4], tokens[k + 1]))
+            k += 1
+        k += 1
+    return commits, changes
+
+
+def _any_log(rng):
+    log = "\x01first 1\0"
+    for n in range(rng.randrange(1, 25)):
+        kind = rng.randrange(6)
+        if kind == 0:
+            log += f"\n\x01s{(sha := rng.randrange(4))} {sha * 10**8}\0"  # a commit has one time
+        elif kind == 1:
+            log += rng.choice(["", "\n", "junk", "é漢\n"]) + "\0"
+        else:
+            log += "\n" * rng.randrange(2) + f":100644 100755 aa b{n} {rng.choice('AMD')}\0"
+            log += rng.choice(["p", "dir/x.txt", ":100644 1 2 3 4", "\n:y", "\x01s1 5", "", "😀 q", "\n"]) + "\0"
+    return log if rng.randrange(3) else log + rng.choice([":1 2 3 4 5", "tail", ":1 2 3 4 5\0", ":1 2 3 4 5\0open"])
+
+
+@pytest.mark.parametrize("longest", [1, 3, 40])
+def test_logs_may_be_cut_anywhere(spark, longest):
+    rng = random.Random(longest)
+    rows, expected, listed = [], [], []
+    for repo in range(60):
+        log, at, part = _any_log(rng), 0, 0
+        commits, changes = _walk(log)
+        expected += [(f"r{repo}", *c) for c in changes]
+        listed += [(f"r{repo}", k, sha) for k, (sha, _) in enumerate(commits)]
+        while at < len(log):
+            size = rng.randrange(0, longest + 1)
+            rows.append((f"r{repo}", part, log[at : at + size]))
+            at, part = at + size, part + rng.randrange(1, 3)
+    frame = spark.createDataFrame(rows, "repo string, part int, log string").repartition(5)
+    commits, changes = parse_raw_log(frame)
+    found = changes.select("repo", "commit_index", "commit_sha", F.unix_seconds("commit_time"), "new_mode", "blob", "status", "path", "seq").collect()
+    assert sorted(tuple(r)[:8] for r in found) == sorted(expected)
+    # In order of place they are as they stand in the log.
+    assert [tuple(r)[:8] for r in sorted(found, key=lambda r: (int(r["repo"][1:]), r["seq"]))] == expected
+    assert sorted(map(tuple, commits.select("repo", "commit_index", "commit_sha").collect())) == sorted(listed)
+
+
+def test_an_empty_table_of_logs(spark):
+    commits, changes = parse_raw_log(spark.createDataFrame([], "repo string, part int, log string"))
+    assert commits.count() == changes.count() == 0
+    commits, changes = parse_raw_log(spark.createDataFrame([("r", 0, ""), ("s", 0, None)], "repo string, part int, log string"))
+    assert commits.count() == changes.count() == 0
 
 
 def test_unchanged_file_is_one_version(spark):
