@@ -323,10 +323,17 @@ def test_a_family_of_changed_copies(spark):
     passage = words(7500, 100)
     rows = [(k, f"{words(7600 + k, 40)} {changed(passage, 0.9, k + 1)} {words(7700 + k, 40)}") for k in range(30)]
     found = passages_of(spark, rows)
-    own = [t.split()[40:140] for _, t in rows]
-    alike = [(x, y) for x in range(30) for y in range(x) if sum(v == w for v, w in zip(own[x], own[y], strict=True)) >= 82]
-    pairs = {(r["b"], r["a"]) for r in found}
-    assert len(alike) > 30 and sum(p in pairs for p in alike) >= 0.9 * len(alike)
+    assert set(union(set(range(30)), [(r["a"], r["b"]) for r in found]).values()) == {0}
+    got = covered([{**r, "a": -1} for r in found])
+    assert sum(len(set(range(42, 138)) & got.get(k, set())) for k in range(1, 30)) >= 0.9 * 29 * 96
+
+
+def test_closest_partners():
+    options = substring_dedup.PassageOptions(partners=2, stretch=10)
+    rows = [(1, 9, 3, 4), (2, 9, 3, 4), (2, 9, 5, 4), (3, 9, 3, 4), (3, 9, 4, 4), (3, 9, 5, 4), (4, 9, 7, 50), (1, 9, 12, 4), (5, 9, 13, 4), (6, 9, 14, 4), (7, 8, 1, 4)]
+    a, b, at, words = (np.array(c) for c in zip(*sorted(rows, key=lambda r: (r[1], r[0])), strict=True))
+    kept = substring_dedup.closest(a, b, at, words, options)
+    assert sorted(set(a[kept].tolist())) == [1, 2, 3, 4, 5, 7]
 
 
 def test_equal_texts_are_paired_with_the_first(spark):
