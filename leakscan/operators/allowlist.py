@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 
 from leakscan.functions.dialect import WS, to_java_pattern, trim_ws, utf16_length
 from leakscan.functions.text import split_lines
-from leakscan.operators.lookup import attach
+from leakscan.operators.lookup import attach, fits_broadcast
+from leakscan.operators.path_index import flag_by_automata, flag_by_joins
 from leakscan.options import ScanOptions
 
 # Longest pattern that is run, and the nested-repeat shape that
@@ -65,7 +66,7 @@ def parse_allowlist(texts: DataFrame) -> DataFrame:
 
 
 def matchers_by_repo(entries: DataFrame) -> DataFrame:
-    """One row per repository with its distinct matchers (allowlists are small files).
+    """One row per repository with its distinct matchers, for lists of a bounded size.
 
     Its regular expressions become one alternation, which the engine compiles
     once for a run of rows of the repository. Those with groups that are
@@ -91,9 +92,19 @@ def path_allowlisted(path: Column, matchers: Column) -> Column:
 
 
 def flag_allowlisted(rows: DataFrame, entries: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:
-    """``rows(repo, path, …)`` with a boolean ``allowlisted``."""
-    joined = attach(rows, matchers_by_repo(entries), ["repo"], ["path"], options)
-    return joined.withColumn("allowlisted", path_allowlisted(F.col("path"), F.col("_allow"))).drop("_allow")
+    """``rows(repo, path, …)`` with a boolean ``allowlisted``.
+
+    Lists of up to ``joined_entries`` entries are one alternation for each
+    repository; longer ones are looked up by the literals they require, and
+    those beyond the broadcast limit in joins, which a stream cannot.
+    """
+    most = entries.groupBy("repo").count().agg(F.max("count")).first()[0] or 0
+    if most <= options.joined_entries:
+        joined = attach(rows, matchers_by_repo(entries), ["repo"], ["path"], options)
+        return joined.withColumn("allowlisted", path_allowlisted(F.col("path"), F.col("_allow"))).drop("_allow")
+    if fits_broadcast(entries, options.broadcast_limit_bytes):
+        return flag_by_automata(rows, entries)
+    return flag_by_joins(rows, entries, options)
 
 
 def apply_allowlist(rows: DataFrame, entries: DataFrame, options: ScanOptions = ScanOptions()) -> DataFrame:

@@ -20,6 +20,7 @@ class ScanOptions:
     silences a line. ``broadcast_limit_bytes`` bounds what a scan may broadcast
     (measured before it is used). Beyond it, and for keys that own more than
     ``hot_rows`` rows, joins spread a key over ``salt_buckets`` tasks.
+    Allowlists of up to ``joined_entries`` entries become one expression.
     ``max_blob_bytes`` leaves larger versions of a history unscanned and counts
     them as oversized; by default there is no limit.
     """
@@ -33,3 +34,4 @@ class ScanOptions:
     broadcast_limit_bytes: int = 32 * 1024 * 1024
     salt_buckets: int = 64
     hot_rows: int = 100_000
+    joined_entries: int = 200

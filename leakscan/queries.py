@@ -310,6 +310,21 @@ def path_allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return allowlist.flag_allowlisted(files, allowlist.parse_allowlist(_allow_texts(spark, sf_dir)))
 
 
+@query
+def path_allowlisted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-16 for long lists: entries looked up by the literals they require."""
+    files = stored_corpus(spark, sf_dir, "planted_paths").select("repo", "path")
+    return allowlist.flag_allowlisted(files, allowlist.parse_allowlist(_allow_texts(spark, sf_dir)), ScanOptions(joined_entries=0))
+
+
+@query
+def path_allowlisted_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-16 for lists beyond the broadcast limit: paths and entries meet by trigram."""
+    files = stored_corpus(spark, sf_dir, "planted_paths").select("repo", "path")
+    options = ScanOptions(joined_entries=0, broadcast_limit_bytes=0)
+    return allowlist.flag_allowlisted(files, allowlist.parse_allowlist(_allow_texts(spark, sf_dir)), options)
+
+
 @query
 def apply_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-47: the paths left after the allowlist."""

@@ -101,7 +101,7 @@ _ALLOWED = (
     "ELSE regexp_matches(path, 'b.c') OR regexp_matches(path, '^x') END"
 )
 _ALLOW_ROWS = f"SELECT repo, path, {_ALLOWED} AS allowlisted FROM (SELECT *, cast(substr(repo, 5) AS int) AS p_size FROM ({corpora.planted_paths.sql()}))"
-SQL["path_allowlisted"] = _ALLOW_ROWS
+SQL["path_allowlisted"] = SQL["path_allowlisted_index"] = SQL["path_allowlisted_joins"] = _ALLOW_ROWS
 SQL["apply_allowlist"] = f"SELECT repo, path FROM ({_ALLOW_ROWS}) WHERE NOT allowlisted"
 
 

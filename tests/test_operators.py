@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from leakscan.operators import allowlist, packs, report, xref
+from leakscan.operators import allowlist, packs, path_index, report, xref
 from leakscan.operators.lookup import attach, fits_broadcast, hot_salted_join, salted_join
 from leakscan.operators.scan import scan_coverage, scan_files, scan_texts
 from leakscan.options import ScanOptions
@@ -87,6 +87,33 @@ def test_joined_allowlists_match_like_single_entries(spark):
     assert found == {("r", p) for p in ["a/z", "xb", "xyx", "q7", "w8", "c-d", "lit[0", "uw"]} | {("s", "only")}
 
 
+@pytest.mark.parametrize(
+    "pattern, literal",
+    [("^fixtures/", "fixtures/"), (r"docs/.*\.md$", "docs/"), ("a|bcd", None), ("(foo|bar)/x+yz", None), ("(?:test)s?/abcd", "/abcd"), (r"\.env(?=x)local$", ".envlocal"), ("[abc]def{2}gh", "def"), ("(abcd)?x", None), ("a{3}bc", None), ("été漢$", "été漢")],
+)
+def test_literals_that_entries_require(spark, pattern, literal):
+    (entry,) = allowlist.parse_allowlist(spark.createDataFrame([("r", 1, pattern)], "repo string, ord int, text string")).collect()
+    found = path_index.required_literal(entry["matcher"], entry["is_regex"])
+    assert found == literal
+
+
+def test_long_allowlists_match_like_short_ones(spark):
+    rng = random.Random(3)
+    parts = ["src", "docs", "été", "x", "fixtures", "a.b", "test_1", "{k}"]
+    paths = list({"/".join(rng.choices(parts, k=rng.randrange(1, 5))).replace("{k}", str(k % 37)) + rng.choice(["", ".md", ".env"]) for k in range(500)})
+    entries = ["^docs/", r"\.md$", "s|q", "x/x", "12", r"(fix)tures/.*\d\.env$", "a.b/", "src/[^/]+/été", "é"] + [f"none{k}/z" for k in range(300)] + [f"src/{k}/" for k in range(40)]
+    texts = spark.createDataFrame([("r", 1, "\n".join(entries)), ("s", 1, "docs/x"), (None, 1, "x")], "repo string, ord int, text string")
+    rows = spark.createDataFrame([(r, p, 1) for r in ("r", "s", "t", None) for p in [*paths, None, ""]] * 2, "repo string, path string, literal int")
+    parsed = allowlist.parse_allowlist(texts)
+    flags = {}
+    for name, options in [("short", ScanOptions(joined_entries=1000)), ("index", ScanOptions()), ("joins", ScanOptions(broadcast_limit_bytes=0))]:
+        found = allowlist.flag_allowlisted(rows, parsed, options)
+        assert set(found.columns) == {"repo", "path", "literal", "allowlisted"}
+        flags[name] = sorted(map(str, found.select("repo", "path", "literal", "allowlisted").collect()))
+    assert flags["short"] == flags["index"] == flags["joins"]
+    assert 0 < sum("allowlisted=True" in f for f in flags["short"]) < len(flags["short"])
+
+
 def test_anchored_rules_match_lines_not_texts(spark):
     text = json.dumps({"rules": [{"id": "anchored", "description": "x", "regex": "^v$"}]})
     rules = packs.accepted_rules(_pack(spark, text), "p")
