@@ -328,6 +328,24 @@ def test_a_family_of_changed_copies(spark):
     assert sum(len(set(range(42, 138)) & got.get(k, set())) for k in range(1, 30)) >= 0.9 * 29 * 96
 
 
+@pytest.mark.parametrize("seed", range(30))
+def test_covering(seed):
+    rng = np.random.default_rng(seed)
+    low = rng.integers(0, 60, rng.integers(1, 25))
+    high = low + rng.integers(1, 20, len(low))
+    kept = substring_dedup.covering(low, high)
+    whole = lambda ks: {x for k in ks for x in range(low[k], high[k])}
+    assert whole(kept) == whole(range(len(low))) and len(set(kept)) == len(kept)
+    assert all(sum(low[k] <= x < high[k] for k in kept) <= 2 for x in whole(kept))
+
+
+def test_texts_that_repeat_themselves(spark):
+    line = words(7950, 9)
+    rows = [(1, " ".join([line] * 60)), (2, f"{words(7951, 30)} {' '.join([line] * 90)} {words(7952, 30)}")]
+    found = passages_of(spark, rows)
+    assert missed_windows(rows, covered(found)) == 0 and len(found) < 60
+
+
 def test_closest_partners():
     options = substring_dedup.PassageOptions(partners=2, stretch=10)
     rows = [(1, 9, 3, 4), (2, 9, 3, 4), (2, 9, 5, 4), (3, 9, 3, 4), (3, 9, 4, 4), (3, 9, 5, 4), (4, 9, 7, 50), (1, 9, 12, 4), (5, 9, 13, 4), (6, 9, 14, 4), (7, 8, 1, 4)]
