@@ -64,7 +64,7 @@ class CollocationOptions:
     scale: int = 2_000_000  # of the score
     top: int = 2000  # phrases of a language in the report
     segment_words: int = 1 << 19  # whose runs are counted at once
-    bucket_bytes: int = 8 << 20  # of text for each bucket of nodes: about 40 MB of hashes
+    bucket_bytes: int = 4 << 20  # of text for each bucket of nodes: about 20 MB of hashes
     filter_bits: int = 1 << 26  # of the filter of frequent runs, 8 MB; with more than 4 million runs, more others pass it
     broadcast_runs: int = 2_000_000  # edges up to which the steps between them are sent to all tasks, 24 bytes each
     path_edges: int = 64  # edges in a row of a path
