@@ -141,6 +141,11 @@ def _code(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
+def _lang_code(lang: str) -> int:
+    """Of another seed than words: a word that is spelled like its language must not cancel it out."""
+    return xxhash.xxh64_intdigest(lang.encode(), seed=1)
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     """(lang, class, text), by which a text has one class wherever it stands."""
     text = F.coalesce("text", F.lit(""))
@@ -168,7 +173,7 @@ def _parts(batches: Iterator[pa.RecordBatch], options: CollocationOptions) -> It
                 before = len(words)
                 words += words_of(data)
                 sizes.append((lang, len(words) - before))
-                hashed.setdefault(lang, _code(lang.encode()) | 1)
+                hashed.setdefault(lang, _lang_code(lang))
             codes = np.fromiter(map(_code, words), np.uint64, len(words))
             ends = np.array([k for k in np.flatnonzero(codes == end).tolist() if words[k] == _END], np.int64)
             each = [n for _, n in sizes]

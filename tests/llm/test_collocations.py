@@ -131,3 +131,10 @@ def test_query_against_sql(spark, tmp_path):
     assert [d[0] for d in result.description] == found.columns
     rows = sorted(map(tuple, found.collect()))
     assert rows == sorted(result.fetchall()) and len(rows) > 50
+
+
+def test_words_spelled_like_their_language(spark):
+    """Such a word must not cancel out the language: runs of one language would be counted with those of another."""
+    rows = [(lang, f"{lang} one two {lang} {lang} three") for lang in ("en", "de", "fr", "es", "it", "und") for _ in range(4)] + [(None, "und one two")] * 3
+    found = collocations.collocations(table(spark, rows), SMALL)
+    assert sorted(map(tuple, found.collect())) == brute(rows, SMALL)
