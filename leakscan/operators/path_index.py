@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.operators.lookup import attach
+from leakscan.operators.lookup import attach, fits_broadcast
 from leakscan.operators.membership import build_filters
 from leakscan.options import ScanOptions
 from leakscan.sources.workspace import materialise
@@ -149,12 +149,14 @@ def flag_by_joins(rows: DataFrame, entries: DataFrame, options: ScanOptions = Sc
     # Entries of one trigram stay apart, so that many of them are no single row.
     sought = sought.withColumn("part", F.pmod(F.xxhash64("matcher"), F.lit(1 << 20)))
     listed = sought.groupBy("repo", "gram", F.expr(f"part div {(1 << 20) // options.salt_buckets}")).agg(F.collect_list(F.struct("literal", "matcher", "is_regex")).alias("those"))
-    pairs = attach(held, listed, ["repo", "gram"], ["path"], options, "inner")
+    pairs = attach(held, listed, ["repo", "gram"], ["path"], options, "inner", stored=True)
     path = F.col("path")
     hits = pairs.where(F.exists("those", lambda e: F.contains(path, e["literal"]) & _holds(path, e["matcher"], e["is_regex"]))).select("repo", "path")
     rest = known.where("literal IS NULL").withColumn("part", F.expr(f"cast(entry % 1000000007 as bigint) div {at_once}"))
     rest = rest.groupBy("repo", "part").agg(F.collect_list(F.struct("matcher", "is_regex")).alias("those"))
-    tried = attach(paths, rest, ["repo"], ["path"], options, "inner")
+    tried = attach(paths, rest, ["repo"], ["path"], options, "inner", stored=True)
     hits = hits.unionByName(tried.where(F.exists("those", lambda e: _holds(path, e["matcher"], e["is_regex"]))).select("repo", "path")).distinct()
     flagged = materialise(hits.withColumn("allowlisted", F.lit(True)), "hits")
-    return attach(rows, flagged, ["repo", "path"], ["path"], options).withColumn("allowlisted", F.coalesce("allowlisted", F.lit(False)))
+    # Salting by path would part no rows of one key.
+    flagged = F.broadcast(flagged) if fits_broadcast(flagged, options.broadcast_limit_bytes) else flagged.hint("merge")
+    return rows.join(flagged, ["repo", "path"], "left").withColumn("allowlisted", F.coalesce("allowlisted", F.lit(False)))

@@ -309,6 +309,29 @@ def test_joins_keep_every_row_of_a_hot_key(spark):
         assert sorted(map(tuple, joined.collect()), key=str) == expected
 
 
+def test_salted_copies_are_not_broadcast(spark, tmp_path):
+    """Copies are taken for as small as the table they are made of: many times that would pass through the driver."""
+    spark.range(1000).select(F.col("id").alias("k"), F.lit("v").alias("v")).write.parquet(f"{tmp_path}/dim")
+    dim, facts = spark.read.parquet(f"{tmp_path}/dim"), spark.range(3000).select((F.col("id") % 7).alias("k"), "id")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" in plan(facts.join(dim, "k", "left"))
+    for how in ("left", "inner"):
+        assert "Broadcast" not in plan(salted_join(facts, dim, ["k"], ["id"], 5, how))
+        assert "SortMergeJoin" in plan(attach(facts, dim, ["k"], ["id"], ScanOptions(broadcast_limit_bytes=0), how, stored=True))
+
+
+def test_stored_facts_are_joined_to_few_copies(spark, tmp_path):
+    """Only hot keys are copied; the result is that of a plain join, null keys and keys without a match included."""
+    key = F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 3 == 1, F.col("id").cast("string"))
+    spark.range(2000).select(key.alias("k"), "id").write.parquet(f"{tmp_path}/facts")
+    facts = spark.read.parquet(f"{tmp_path}/facts")
+    dim = spark.range(500).select(F.col("id").cast("string").alias("k"), F.col("id").alias("v")).unionByName(spark.createDataFrame([("hot", -1), ("absent", -2)], "k string, v long"))
+    options = ScanOptions(hot_rows=50, salt_buckets=7, broadcast_limit_bytes=0)
+    for how in ("left", "inner"):
+        joined = attach(facts, dim, ["k"], ["id"], options, how, stored=True)
+        assert sorted(map(tuple, joined.collect()), key=str) == sorted(map(tuple, facts.join(dim, "k", how).collect()), key=str)
+
+
 def test_size_check(spark):
     dim = spark.range(100).select(F.repeat(F.lit("x"), 1000).alias("v"))
     assert fits_broadcast(dim, 200_000) and not fits_broadcast(dim, 50_000)
