@@ -20,8 +20,8 @@ from leakscan.operators.lookup import spread_small_input
 from leakscan.options import MAX_BLOB_BYTES, MAX_ENV_FILE_BYTES, MAX_ENV_FILE_DEPTH, ScanOptions
 from leakscan.plans import change_set
 from leakscan.plans.history_scan import HistoryScan, scan_history
-from leakscan.sources import raw_log, readers, writers
-from leakscan.sources.workspace import fresh_path, materialise
+from leakscan.sources import raw_log, readers, tree, writers
+from leakscan.sources.workspace import STORED_CODEC, fresh_path, materialise
 from leakscan.streaming import stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,7 +39,7 @@ def _stored(spark: SparkSession, sf_dir: str, corpus: str) -> str:
     path = fresh_path(spark, corpus)
     derived = getattr(corpora, corpus)
     table = spread_small_input(_table(spark, sf_dir, derived.table), [])
-    derived.of(table).write.parquet(path)
+    derived.of(table).write.option("compression", STORED_CODEC).parquet(path)
     return path
 
 
@@ -141,8 +141,15 @@ def _raw_logs(changes: DataFrame) -> DataFrame:
         F.when(F.col("pick") % 7 == 0, F.lit("\x01")).when(F.col("pick") % 7 == 1, F.lit(":x\n")).otherwise(""), "path", nul,
     )
     header = F.concat(F.lit("\x01"), "commit_sha", F.lit(" "), F.col("epoch").cast("string"), nul)
+    # All changes of a part go to one place once, their hashes as bytes; commits and parts are put together there.
+    part = F.floor(F.col("commit_index") / 1000).cast("int").alias("part")
+    bytes_of = lambda name: F.unhex(name).alias(name)
+    dealt = changes.select(
+        "repo", part, "commit_index", bytes_of("commit_sha"), "epoch", "seq", "new_mode", bytes_of("blob"), "status", "pick", "path"
+    ).repartition("repo", "part")
+    dealt = dealt.withColumns({name: F.lower(F.hex(name)) for name in ("commit_sha", "blob")})
     # Every other record repeats its commit's header, as merges do.
-    per_commit = changes.groupBy("repo", "commit_index", "commit_sha", "epoch").agg(
+    per_commit = dealt.groupBy("repo", "part", "commit_index", "commit_sha", "epoch").agg(
         F.sort_array(F.collect_list(F.struct("seq", record.alias("r")))).alias("rs")
     )
     body = F.array_join(
@@ -152,9 +159,7 @@ def _raw_logs(changes: DataFrame) -> DataFrame:
         ),
         "",
     )
-    logs = per_commit.select(
-        "repo", F.floor(F.col("commit_index") / 1000).cast("int").alias("part"), "commit_index", F.concat(header, body).alias("log")
-    )
+    logs = per_commit.select("repo", "part", "commit_index", F.concat(header, body).alias("log"))
     return logs.groupBy("repo", "part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("commit_index", "log"))), lambda c: c.getField("log")), "").alias("log")
     )
@@ -163,7 +168,8 @@ def _raw_logs(changes: DataFrame) -> DataFrame:
 @cache
 def _log_path(spark: SparkSession, sf_dir: str) -> str:
     path = fresh_path(spark, "raw_logs")
-    _raw_logs(stored_corpus(spark, sf_dir, "planted_changes")).write.parquet(path)
+    changes = corpora.planted_changes.of(spread_small_input(_table(spark, sf_dir, corpora.planted_changes.table), []))
+    _raw_logs(changes).write.option("compression", STORED_CODEC).parquet(path)
     return path
 
 
@@ -220,8 +226,9 @@ def _allow_files(spark: SparkSession, sf_dir: str, staged: bool) -> DataFrame:
 def read_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-01: files written to a directory tree, listed and read back."""
     root = fresh_path(spark, "tree")
-    written = stored_corpus(spark, sf_dir, "planted_paths").select("repo", "k", F.concat(F.lit("content of "), "path").alias("value"))
-    written.write.partitionBy("repo", "k").text(root)
+    of = lambda name: F.concat(F.lit(f"{name}="), F.coalesce(F.col(name).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__")))
+    folder = F.concat(of("repo"), F.lit("/"), of("k")).alias("folder")
+    tree.write_tree(stored_corpus(spark, sf_dir, "planted_paths").select(folder, F.concat(F.lit("content of "), "path").alias("line")), root)
     files = readers.read_file_tree(spark, root, "tree").where(F.col("path").endswith(".txt"))
     part = lambda name: F.regexp_extract("path", f"(?:^|/){name}=([^/]*)/", 1)
     return files.select(

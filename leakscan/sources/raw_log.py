@@ -183,7 +183,7 @@ def parse_raw_log(raw_logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     stretches = stretches.select("repo", "part", "end", "late", "carried", "commits", (F.col("commits") - F.col("shared")).alias("offset"))
 
     told = read.where("seq IS NOT NULL").select("repo", "part", F.lit(0).alias("end"), F.lit(1).alias("late"), "seq", "local", "sha", "epoch", "new_mode", "blob", "status", "path")
-    placed = attach(told.unionByName(walked), materialise(stretches, "stretches"), ["repo", "part", "end", "late"], ["seq"], ScanOptions())
+    placed = attach(told.unionByName(walked), materialise(stretches, "stretches"), ["repo", "part", "end", "late"], ["seq"], ScanOptions(), stored=True)
     own = F.col("local") >= 0
     stray = F.raise_error(F.concat(F.lit("a log does not begin with a commit header: "), F.coalesce(F.col("repo"), F.lit("")), F.lit(" "), F.col("part").cast("string")))
     placed = placed.select(

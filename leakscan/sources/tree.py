@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from leakscan.sources.workspace import materialise
 
 _BATCH_BYTES = 32 * 1024 * 1024
+_BATCH_ROWS = 10_000  # of a listing
 GROUP_BYTES = 64 * 1024 * 1024  # of files that one task reads, about
 
 
@@ -38,9 +39,10 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, skip
 
         system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
         base, local = base.rstrip("/"), isinstance(system, fs.LocalFileSystem)
+        as_table = lambda rows: pd.DataFrame(rows, columns=["path", "length", "is_dir"]).astype({"length": "Int64", "is_dir": bool})
         for batch in batches:
+            rows = []
             for folder in batch["path"]:
-                rows = []
                 for info in system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base, allow_not_found=bool(folder))):
                     is_dir = info.type == fs.FileType.Directory
                     if local and os.path.islink(info.path) or not (is_dir or info.type == fs.FileType.File):
@@ -48,7 +50,10 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, skip
                     if not (is_dir and info.base_name.lower() in skipped):
                         name = f"{folder}/{info.base_name}" if folder else info.base_name
                         rows.append((name, None if is_dir else info.size, is_dir))
-                yield pd.DataFrame(rows, columns=["path", "length", "is_dir"]).astype({"length": "Int64", "is_dir": bool})
+                if len(rows) >= _BATCH_ROWS:
+                    yield as_table(rows)
+                    rows = []
+            yield as_table(rows)
 
     level, depth, found = spark.createDataFrame([("",)], "path string"), 0, []
     while True:
@@ -57,13 +62,48 @@ def list_tree(spark: SparkSession, root: str, max_depth: int | None = None, skip
         level = listed.where("is_dir").select("path")
         if depth == max_depth or level.isEmpty():
             break
-        level, depth = level.repartition("path"), depth + 1
+        # So many tasks as there are cores for small rows too: what costs time is opening folders.
+        level, depth = level.repartition(4 * spark.sparkContext.defaultParallelism, "path"), depth + 1
     files = found[0]
     for more in found[1:]:
         files = files.unionByName(more)
     return files
 
 
+def write_tree(rows: DataFrame, root: str) -> None:
+    """Write ``rows(folder, line)`` as text files below ``root``: each task one file for each folder of which it has lines.
+
+    Written in place by the tasks, as ``read_contents`` reads: no file is moved
+    or listed by the driver. A task that is run again writes the same files. A
+    null line is an empty one.
+    """
+    spark = rows.sparkSession
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(top)
+    root = resolve_root(spark, root)
+
+    def write(batches: Iterator) -> Iterator:
+        import pandas as pd
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root) if "://" in root else (fs.LocalFileSystem(), root)
+        base, name, out, n = base.rstrip("/"), None, None, 0
+        for batch in batches:
+            for folder, line, task in zip(batch["folder"], batch["line"], batch["_task"], strict=True):
+                if folder != name:
+                    if out:
+                        out.close()
+                    system.create_dir(f"{base}/{folder}", recursive=True)
+                    name, out, n = folder, system.open_output_stream(f"{base}/{folder}/part-{task:05d}.txt"), n + 1
+                out.write((line or "").encode() + b"\n")
+        if out:
+            out.close()
+        yield pd.DataFrame({"files": [n]})
+
+    sorted_rows = rows.select("folder", "line").sortWithinPartitions("folder").withColumn("_task", F.spark_partition_id())
+    sorted_rows.mapInPandas(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 def resolve_root(spark: SparkSession, root: str) -> str:
     """``root`` as a full address, as Spark resolves a path: without a scheme it is in the default file system."""
     jvm = spark._jvm

@@ -239,3 +239,27 @@ def test_stream_first_seen_and_introduced(spark, tmp_path):
     ).foreachBatch(lambda batch, n: batch.write.mode("append").parquet(updates)).start().awaitTermination()
     first = spark.read.parquet(updates).groupBy("blob").agg(F.min("commit_index").alias("c"))
     assert {r["blob"]: r["c"] for r in first.collect()} == {"b0": 64, "b1": 63, "b2": 62, "b3": 61}
+
+
+def test_tasks_write_a_tree_in_place(spark, tmp_path):
+    """Each task writes one file for each folder of which it has lines; nothing is left to move or to clean up."""
+    from leakscan.sources.tree import list_tree, write_tree
+
+    lines = [(f"r=a b/k={k % 30}", None if k == 7 else f"é{k}") for k in range(90)]
+    write_tree(spark.createDataFrame(lines, "folder string, line string").coalesce(1), f"{tmp_path}/tree")
+    found = {p.parent.relative_to(tmp_path / "tree").as_posix(): p.read_text() for p in (tmp_path / "tree").rglob("*") if p.is_file()}
+    assert found == {f"r=a b/k={k}": "".join(f"{'' if n == 7 else f'é{n}'}\n" for n in range(k, 90, 30)) for k in range(30)}
+    write_tree(spark.createDataFrame(lines, "folder string, line string").repartition(3), f"{tmp_path}/more")
+    several = list_tree(spark, f"{tmp_path}/more").collect()
+    assert len(several) == len({r["path"] for r in several}) > 30 and sum(r["length"] for r in several) == sum(len(t.encode()) for t in found.values())
+
+
+def test_logs_are_built_in_one_exchange(spark):
+    """All changes of a part are put together where they are dealt to, with their hashes as bytes."""
+    from leakscan import queries
+
+    rows = [("r", 5, "ab" * 20, 9, k, "100644", "0c" * 20, "M", k, f"p{k}") for k in range(3)]
+    logs = queries._raw_logs(spark.createDataFrame(rows, "repo string, commit_index long, commit_sha string, epoch long, seq long, new_mode string, blob string, status string, pick long, path string"))
+    assert logs._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    (row,) = logs.collect()
+    assert row["part"] == 0 and row["log"].count("ab" * 20) == 2 and row["log"].count("0c" * 20) == 3
