@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from leakscan.operators.lookup import attach
 from leakscan.options import ScanOptions
-from leakscan.sources.workspace import materialise
+from leakscan.sources.workspace import STORED_CODEC, materialise
 
 _EPOCH = re.compile("[0-9]{1,18}")
 _EVENT = [("seq", pa.int64()), ("local", pa.int64()), ("sha", pa.string()), ("epoch", pa.int64())]
@@ -157,7 +157,7 @@ def parse_raw_log(raw_logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     goes on with that commit, also across parts. A record before the first
     header of its log raises: nothing says whose change it is.
     """
-    read = materialise(read_parts(raw_logs), "log")
+    read = materialise(read_parts(raw_logs), "log", STORED_CODEC)
     parts = read.where("seq IS NULL")
     ended = materialise(_stitched(parts), "parts")
     loose = materialise(_loose_events(ended), "loose")
