@@ -34,6 +34,8 @@ from leakscan.sources.workspace import materialise
 _PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿŒœ]+")
 #: What the pre-tokenizer parts such a word into, once in lower case.
 _PART = re.compile("[a-zß-öø-ÿœ]+|[0-9]|[^a-zß-öø-ÿœ0-9]+")
+#: Most words: letters, and signs behind them. These are the two parts.
+_LETTERS_SIGNS = re.compile(rb"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
 CACHED_CHARS = 64  # of a word that is remembered; longer ones are encoded each time
 _NEVER = np.iinfo(np.int64).max
 _PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -69,14 +71,18 @@ class WordEncoder(dict):
         bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
         self._letters = str.maketrans({c: bytes_as_letters.pre_tokenize_str(c)[0][0] for c in letters})
-        self._special = re.compile("|".join(re.escape(t.content) for t in self._tokenizer.get_added_tokens_decoder().values()) or "(?!)")
+        special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        # A special token that may stand in such a word would have to be looked for.
+        may_hide = any(re.fullmatch(rb"[A-Za-z]*[!-&(-/:-@\[-`{-~]*", t.encode()) for t in special)
+        self._two_parts = re.compile(rb"(?!)").fullmatch if may_hide else _LETTERS_SIGNS.fullmatch
 
     def _library(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _part(self, text: str) -> bytes:
         if text.isalpha():  # nothing left to normalise or to part: only the merges
-            ids = array("I", [t.id for t in self._merge(text.translate(self._letters))]).tobytes()
+            ids = array("I", [t.id for t in self._merge(text if text.isascii() else text.translate(self._letters))]).tobytes()
         else:
             ids = self._library(text)
         if len(self._parts) < self._cached and len(text) <= CACHED_CHARS:
@@ -84,8 +90,13 @@ class WordEncoder(dict):
         return ids
 
     def __missing__(self, word: bytes) -> bytes:
-        text, parts = word.decode(), self._parts
-        if _PLAIN.fullmatch(text) and not self._special.search(text):
+        parts = self._parts
+        if two := self._two_parts(word):
+            letters, signs = two[1].lower().decode(), two[2].decode()
+            ids = parts.get(letters) or self._part(letters)
+            if signs:
+                ids += parts.get(signs) or self._part(signs)
+        elif _PLAIN.fullmatch(text := word.decode()) and not self._special.search(text):
             ids = b"".join([parts.get(x) or self._part(x) for x in _PART.findall(text.lower())])
         else:
             ids = self._library(text)

@@ -35,6 +35,20 @@ def test_encoder_equals_library(cached):
         assert encoder.encode(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text[:40]
 
 
+def test_letters_and_signs_are_two_parts(monkeypatch, tmp_path):
+    encoder = packing.WordEncoder(PACK.tokenizer, 300_000)
+    library = Tokenizer.from_file(PACK.tokenizer)
+    monkeypatch.setattr(packing, "_PART", None)  # the general way to part a word
+    for word in ["theser$$$", "The.***", "A", "z`{|}~", "Word!\"#%&()*+,-./:;<=>?@[\\]^_", "x<|"]:
+        assert encoder.encode(word.encode()) == np.array(library.encode(word, add_special_tokens=False).ids, "<u4").tobytes(), word
+    monkeypatch.undo()
+    library.add_special_tokens(["er$$", "the"])  # such a token may hide in a word
+    library.save(str(tmp_path / "special.json"))
+    encoder = packing.WordEncoder(str(tmp_path / "special.json"), 300_000)
+    for text in ["theser$$$ er$$ the", "other"]:
+        assert encoder.encode(text.encode()) == np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_long_words_are_not_remembered():
     text = " ".join(chr(97 + k) * 5000 for k in range(20)).encode()
     counter, encoder = token_count.TokenCounter(BYTES), packing.WordEncoder(PACK.tokenizer, 300_000)
