@@ -354,6 +354,15 @@ def test_closest_partners():
     assert sorted(set(a[kept].tolist())) == [1, 2, 3, 4, 5, 7]
 
 
+def test_every_linked_document_is_a_partner(spark):
+    passage = words(7960, 64).split()
+    changed = [" ".join(f"c{k}x{i}" if i % 8 == k % 8 else w for i, w in enumerate(passage)) for k in range(20)]
+    rows = [(k, f"{words(7970 + k, 40)} {text} {words(8000 + k, 30)}") for k, text in enumerate(changed)]
+    rows.append((100, f"{words(8050, 64)} {' '.join(passage)} {words(8051, 30)}"))
+    assert {r["a"] for r in passages_of(spark, rows) if r["b"] == 100} == set(range(20))
+    assert len({r["a"] for r in passages_of(spark, rows, partners=4) if r["b"] == 100}) < 20
+
+
 def test_equal_texts_are_paired_with_the_first(spark):
     text = words(7800, 200)
     rows = [(k, text) for k in range(40)] + [(100, f"{words(1, 20)} {text[:900]}"), (101, words(2, 30)), (102, words(2, 30))]
