@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import by_bytes, utf8
+from leakscan.llm.common import by_bytes, giving_back, utf8
 from leakscan.sources.workspace import materialise
 
 #: Digits, lower-case letters and everything beyond ASCII are in words; capitals A-Z become lower case.
@@ -129,6 +129,7 @@ def build_index(docs: DataFrame, vocabulary: frozenset[bytes], options: Decontam
     """Segments of ``docs`` (row, doc_id, text) with the postings of the vocabulary's terms. A map over the input."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = sorted(shared.value)
         number = {t: k for k, t in enumerate(terms)}
@@ -189,9 +190,11 @@ def search(index: DataFrame, phrases: list[Phrase], slop: int | None = None) ->
         by_term.setdefault(phrase.words[phrase.rarest[0]], []).append(phrase)
     shared = index.sparkSession.sparkContext.broadcast(by_term)
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in batch.to_pylist():
+            for at in range(batch.num_rows):  # one segment at a time
+                (s,) = batch.slice(at, 1).to_pylist()
                 segment = Segment(np.array(s["words"], np.int64), s["terms"], np.array(s["postings"], np.int64), np.frombuffer(s["positions"], "<i4").astype(np.int64))
                 starts, ends, items = [], [], [set() for _ in s["words"]]
                 for term in s["terms"]:

@@ -1,11 +1,15 @@
 """Benchmark windows against brute force."""
 
+import ctypes
+import os
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from leakscan.llm import decontamination as dc
+from leakscan.llm.common import giving_back
 from tests.llm.helpers import ODD, documents, words
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -95,3 +99,23 @@ def test_equal_items_are_sent_once(spark, monkeypatch):
     found = dc.find_benchmark(docs, benchmark, dc.DecontaminationOptions(block_bytes=1000)).collect()
     assert sum(sent) == 12 and 1 < len(sent) < 12
     assert {(r["doc_id"], tuple(r["items"]), r["n_hit"]) for r in found} == {(k, (str(k),), 30) for k in range(1, 4)}
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="memory is returned by malloc_trim")
+def test_workers_give_memory_back():
+    def resident():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * os.sysconf("SC_PAGE_SIZE") >> 20
+
+    def run(batches):
+        # Blocks of the heap below one that is kept, as a task's results lie above what it has freed.
+        blocks = [bytes([1]) * 60_000 for _ in range(4000)]
+        kept.append(bytes([2]) * 60_000)
+        blocks.clear()
+        held.append(resident())
+        yield from batches
+
+    kept, held = [], []
+    batch = pa.RecordBatch.from_pydict({"x": [1]})
+    assert list(giving_back(run)(iter([batch, batch]))) == [batch, batch]
+    assert resident() < held[0] - 150
