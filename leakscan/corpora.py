@@ -7,6 +7,7 @@ hash differs. Credential-shaped values are built from hashes at run time.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -14,9 +15,12 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Corpus:
+    """``lazy``: names of ``base`` that few rows need; Spark computes them only where a column's case uses them."""
+
     table: str
     base: dict[str, str]
     columns: dict[str, str]
+    lazy: tuple[str, ...] = ()
 
     def sql(self) -> str:
         """The corpus for the checking engine."""
@@ -26,8 +30,11 @@ class Corpus:
 
     def of(self, table: DataFrame) -> DataFrame:
         """The corpus over ``table``, batch or streaming."""
-        inner = [f"{_spell(e, 'sha2({}, 256)')} AS {n}" for n, e in self.base.items()]
-        return table.selectExpr(*inner).selectExpr(*[f"{e} AS {n}" for n, e in self.columns.items()])
+        base = {n: _spell(e, "sha2({}, 256)") for n, e in self.base.items()}
+        late = {n: base.pop(n) for n in self.lazy}
+        columns = {n: _put_in(e, late) for n, e in self.columns.items()}
+        kept = {k for e in late.values() for k in table.columns if re.search(rf"\b{k}\b", e)}  # what late ones are made of
+        return table.selectExpr(*sorted(kept), *[f"{e} AS {n}" for n, e in base.items()]).selectExpr(*[f"{e} AS {n}" for n, e in columns.items()])
 
 
 def _spell(expression: str, sha: str) -> str:
@@ -36,6 +43,14 @@ def _spell(expression: str, sha: str) -> str:
     return "".join(p if i % 2 == 0 else sha.format(p) for i, p in enumerate(pieces))
 
 
+def _put_in(expression: str, named: dict[str, str]) -> str:
+    """Replace each name outside string literals by its expression."""
+    pieces = expression.split("'")
+    for i in range(0, len(pieces), 2):
+        pieces[i] = re.sub(r"\b\w+\b", lambda m: f"({named[m[0]]})" if m[0] in named else m[0], pieces[i])
+    return "'".join(pieces)
+
+
 def _alnum(key: str, copies: int) -> str:
     """Letters and digits from ``copies`` hashes, about 40 characters each."""
     text = f"cast({key} AS string)"
@@ -382,6 +397,7 @@ planted_blobs = Corpus(
         "size": "cast(CASE WHEN (pick + quantity) % 9 = 6 THEN 10485761 + quantity * 99999 ELSE 64 END AS bigint)",
         "content": _cycle("(pick + quantity)", _BLOBS),
     },
+    lazy=("h", "a"),
 )
 
 # Keyword values on their own, with the text they are assigned after.

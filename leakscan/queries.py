@@ -606,7 +606,7 @@ def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stored_corpus(spark, sf_dir, "planted_blobs").where(F.col("kind") != 5).distinct()
+    rows = materialise(stored_corpus(spark, sf_dir, "planted_blobs").where(F.col("kind") != 5).distinct(), "blobs")
     return rows.select("repo", "blob", "size", F.encode("content", "UTF-8").alias("content"))
 
 

@@ -266,3 +266,32 @@ def test_unchanged_file_is_one_version(spark):
     versions = history.introduce_versions(changes)
     assert versions.count() == 6
     assert history.distinct_blobs(versions).agg(F.sum("paths")).first()[0] == 6
+
+
+def test_derived_blobs_are_hashed_late_and_made_distinct_once(spark, tmp_path):
+    from dataclasses import replace
+
+    from leakscan import corpora, queries
+
+    rows = [(k % 45, k % 7, k % 60, float(k % 50 + 1)) for k in range(600)] + [(None, 1, None, 2.0), (3, None, 5, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_suppkey long, l_partkey long, l_quantity double")
+    late = corpora.planted_blobs.of(lines)
+    early = replace(corpora.planted_blobs, lazy=()).of(lines)
+    assert late.schema == early.schema and late.exceptAll(early).isEmpty() and early.exceptAll(late).isEmpty()
+    # A hash of each row for its name; those of its content stand inside the cases only.
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert all(" AS h#" not in line and " AS a#" not in line for line in plan.splitlines())
+    lines.write.parquet(str(tmp_path / "lineitem.parquet"))
+    blobs = queries._blobs(spark, str(tmp_path))
+    assert "Aggregate" not in blobs._jdf.queryExecution().optimizedPlan().toString()
+    assert blobs.count() == early.where("kind <> 5").distinct().count()
+
+
+def test_versions_are_grouped_by_a_hash_first(spark):
+    schema = "repo string, blob string, path string, commit_index long, seq long, commit_sha string, commit_time timestamp, status string, new_mode string"
+    rows = [("r", "b", f"p{k % 3}", 9 - k, k, f"c{k}", None, "M", "100644") for k in range(9)] + [(None, "b", None, 1, 1, "x", None, "A", "100644")] * 2
+    versions = history.introduce_versions(spark.createDataFrame(rows, schema))
+    assert sorted((r["path"], r["commit_index"], r["commit_sha"]) for r in versions.where("repo = 'r'").collect()) == [("p0", 3, "c6"), ("p1", 2, "c7"), ("p2", 1, "c8")]
+    assert versions.count() == 4
+    plan = versions._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(xxhash64" in plan or "hashpartitioning(_groupingexpression" in plan
