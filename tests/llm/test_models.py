@@ -259,3 +259,12 @@ def test_suffix_classes_agree(spark):
     segments = pitman_yor.read_segments(docs, SMALL)
     for r in segments.collect():
         assert [pitman_yor.word_class(bytes(w), SMALL) for w in r["words"]] == np.frombuffer(r["classes"], "<u2").tolist()
+
+
+def test_workers_return_memory(spark, monkeypatch):
+    """Every step that reads words or segments in Python returns what it has freed at a task's end."""
+    wrapped = []
+    monkeypatch.setattr(pitman_yor, "giving_back", lambda run: wrapped.append(run.__qualname__.split(".")[0]) or run)
+    docs, _ = training(spark)
+    assert pitman_yor.score_texts(docs, SMALL).count() == docs.count()
+    assert set(wrapped) == {"read_segments", "count_pairs", "_seat", "score_texts"}
