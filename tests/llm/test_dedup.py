@@ -421,3 +421,37 @@ def test_cut_repeats(spark):
     assert cut[0]["text"] == rows[0][1] and cut[None]["text"] == passage
     for k in (1, 2, 3):
         assert passage not in cut[k]["text"].lower() and cut[k]["text"].startswith(rows[k][1][:60]) and cut[k]["n_chars"] == len(cut[k]["text"])
+
+
+def test_packed_numbers_are_small():
+    rng = np.random.default_rng(2)
+    low = np.diff(np.sort(rng.integers(0, 1 << 32, 50_000)).astype("<u4"), prepend=np.uint32(0))
+    arrays = [low, rng.integers(5000, 6500, 50_000).astype("<i8"), rng.integers(0, 700, 50_000).astype("<u4")]
+    assert len(substring_dedup._planes(arrays)) < 0.48 * sum(a.nbytes for a in arrays)
+
+
+def test_shared_anchors_equal_brute_force(spark):
+    from collections import defaultdict
+
+    options = substring_dedup.PassageOptions()
+    shared, rare = words(3001, 120), words(3002, 90)
+    rows = [(k, f"{words(3100 + k, 30)} {shared} {words(3200 + k, 30)}") for k in range(5)]
+    rows += [(10, f"{rare} {words(3300, 40)}"), (11, f"{words(3301, 60)} {rare}"), (12, f"{words(3302, 60)} " * 3), (13, "too short")]
+    places = defaultdict(list)
+    for doc, text in rows:
+        hashes, at = substring_dedup.anchors_of(substring_dedup.codes_of(substring_dedup.words_of(text.encode())), options)
+        for h, p in zip(hashes.tolist(), at.tolist(), strict=True):
+            places[h].append((doc, p))
+    two, more = set(), set()
+    for found in places.values():
+        if len({d for d, _ in found}) > 1:
+            if len(found) == 2:
+                (a, p), (b, q) = sorted(found)
+                two.add((a, b, p, q))
+            else:
+                more |= {(d, None, p, None) for d, p in found}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for buckets in (1, 4):
+        got = substring_dedup.shared_anchors(substring_dedup.packed_anchors(docs, buckets, options), buckets).collect()
+        assert len(got) == len(two) + len(more) and {tuple(r) for r in got} == two | more
+    assert two and more
