@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leakscan.llm.common import by_bytes, utf8
+from leakscan.llm.common import by_bytes, giving_back, utf8
 from leakscan.sources.workspace import materialise
 
 #: Words in which lower case is letter by letter and accents are composed; apostrophes stand apart, as they part words.
@@ -48,7 +48,7 @@ class PackingOptions:
     end_id: int = 0
     group_pieces: int = 100_000  # pieces that one task packs, about
     batch_bytes: int = 4 << 20  # of text that is encoded at once
-    cached_words: int = 300_000  # in each Python worker; further words are encoded again each time
+    cached_words: int = 300_000  # of a task; further words are encoded again each time
 
 
 class WordEncoder(dict):
@@ -104,6 +104,11 @@ class WordEncoder(dict):
             self[word] = ids
         return ids
 
+    def forget(self) -> None:
+        """Drop the words; the tokenizer stays."""
+        self.clear()
+        self._parts.clear()
+
     def encode(self, data: bytes) -> bytes:
         return b"".join(map(self.__getitem__, data.replace(b"\n", b" ").split(b" ")))
 
@@ -112,7 +117,7 @@ _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
 def _encoder(path: str, cached: int) -> WordEncoder:
-    """One for each Python worker, kept between its tasks."""
+    """One for each Python worker, kept between its tasks without its words."""
     if (path, cached) not in _encoders:
         _encoders[path, cached] = WordEncoder(path, cached)
     return _encoders[path, cached]
@@ -121,6 +126,7 @@ def _encoder(path: str, cached: int) -> WordEncoder:
 def pieces(docs: DataFrame, options: PackingOptions) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): every document's ids and the end id, cut to the sequence length."""
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(options.tokenizer, options.cached_words), np.array([options.end_id], "<u4").tobytes()
         step = 4 * options.length
@@ -137,6 +143,7 @@ def pieces(docs: DataFrame, options: PackingOptions) -> DataFrame:
                     [pa.array(c, pa.int32() if k == 1 else pa.int64()) for k, c in enumerate(columns)],
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
+        encoder.forget()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _PIECE_SCHEMA)
 
@@ -173,6 +180,7 @@ def pack(cut: DataFrame, options: PackingOptions) -> DataFrame:
     groups = max(1, -(-cut.count() // options.group_pieces))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
+    @giving_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
         if rows is None or not rows.num_rows:

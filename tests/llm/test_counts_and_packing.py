@@ -151,3 +151,15 @@ def test_sum_of_squares_equals_brute_force(seed):
     bins, placed = brute_sum_of_squares(lengths.tolist(), 20)
     assert sorted(fills) == sorted(bins)
     assert list(zip(offset.tolist(), lengths.tolist(), strict=True)) == placed
+
+
+def test_workers_forget_words_after_a_task(spark):
+    def words_kept(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(e) + len(e._parts) for e in packing._encoders.values())])], ["kept"])
+
+    options = packing.PackingOptions(public_tokenizers.path("word_bpe_49k.json"))
+    assert packing.pack_documents(documents(spark, [(k, words(k, 300)) for k in range(40)]), options).count() >= 40
+    assert [r["kept"] for r in spark.range(0, 40, 1, 8).mapInArrow(words_kept, "kept long").where("kept > 0").collect()] == []
