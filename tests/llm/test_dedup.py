@@ -455,3 +455,61 @@ def test_shared_anchors_equal_brute_force(spark):
         got = substring_dedup.shared_anchors(substring_dedup.packed_anchors(docs, buckets, options), buckets).collect()
         assert len(got) == len(two) + len(more) and {tuple(r) for r in got} == two | more
     assert two and more
+
+
+@pytest.mark.parametrize("at_once", [1, 30, 1 << 16])
+def test_words_of_many_texts_are_hashed_at_once(at_once):
+    import zlib
+
+    rng = random.Random(at_once)
+    texts = [bytes(rng.choice(b"aAbZ \t\n\x0b\x0c\r\xc3\x1c\x85\x00") for _ in range(rng.randrange(60))) for _ in range(300)]
+    texts += [b"", b"  ", b"Long" * 100 + b" word", b"x" * 64, b"x" * 65]
+    found = substring_dedup.codes_of_texts(texts, at_once)
+    assert [c.tolist() for c in found] == [[zlib.crc32(w) for w in t.lower().split()] for t in texts]
+    assert substring_dedup.codes_of_texts([], at_once) == []
+
+
+@pytest.mark.parametrize("options", [{}, {"min_words": 14}, {"min_words": 3, "window": 4}])
+def test_anchors_of_many_texts_equal_those_of_windows(options):
+    options = substring_dedup.PassageOptions(**options)
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, 9, n).astype(np.uint32) for n in [*range(60), 400, 0, 700]]
+    expected = []
+    for k, codes in enumerate(texts):
+        runs, whole = substring_dedup.runs_of(codes, options.k), substring_dedup.runs_of(codes, substring_dedup.anchor_words(options))
+        width = min(options.window, len(runs))
+        at = {i + int(runs[i : i + width].argmin()) for i in range(len(runs) - width + 1) if width}
+        expected += [(int(whole[i]), i, k) for i in sorted(at) if i < len(whole)]
+    assert list(zip(*(x.tolist() for x in substring_dedup.anchors_of_texts(texts, options)), strict=True)) == expected
+
+
+def test_links_of_many_pairs_are_merged_at_once():
+    options = substring_dedup.PassageOptions()
+    rng = np.random.default_rng(8)
+    pair, at_a, at_b, words = np.sort(rng.integers(0, 12, 900)), rng.integers(0, 60, 900), rng.integers(0, 60, 900), rng.choice([4, 39, 50], 900, p=[0.9, 0.05, 0.05])
+    own, runs = substring_dedup.merged(pair, at_a, at_b, words, options)
+    expected = []
+    for k in range(12):
+        lines = {}
+        for a, b, n in zip(at_a[pair == k].tolist(), at_b[pair == k].tolist(), words[pair == k].tolist(), strict=True):
+            lines.setdefault(b - a, set()).add((a, n))
+        for shift, links in lines.items():
+            merged = []
+            for a, n in sorted(links):
+                if not merged or a > merged[-1][1] + options.window:
+                    merged.append([a, a, 0])
+                merged[-1][1] = max(merged[-1][1], a + n)
+                merged[-1][2] += options.min_links if n >= substring_dedup.anchor_words(options) else 1
+            expected += [(k, a, a + shift, end - a, count) for a, end, count in merged]
+    assert [(int(k), *r) for k, r in zip(own, runs.tolist(), strict=True)] == sorted(expected)
+
+
+def test_common_words_equal_brute_force():
+    rng = random.Random(6)
+    for _ in range(200):
+        x, y = ([rng.randrange(5) for _ in range(rng.randrange(12))] for _ in range(2))
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, v in enumerate(x):
+            for j, w in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if v == w else max(best[i][j + 1], best[i + 1][j])
+        assert substring_dedup.common_words(x, y) == best[-1][-1]
